@@ -4,9 +4,14 @@ from pubmart.verification.case import Registry
 
 
 def build_registry() -> Registry:
-    from pubmart.verification import dashboard_cases, derived_cases, session_cases
+    from pubmart.verification import (
+        dashboard_cases,
+        derived_cases,
+        reconcile_cases,
+        session_cases,
+    )
 
     registry = Registry()
-    for cases in (session_cases, dashboard_cases, derived_cases):
+    for cases in (session_cases, dashboard_cases, derived_cases, reconcile_cases):
         cases.register(registry)
     return registry
