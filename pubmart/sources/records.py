@@ -1,4 +1,9 @@
-"""JSON Lines scans: strict parsing, field checks and typed records."""
+"""JSON Lines scans: strict parsing, field checks and typed records.
+
+The typed frames carry a ``problems`` column. Write them as a table (or checkpoint them) before
+filtering or exploding: a filter placed directly on them is pushed below the projection, and
+every record is then parsed once per use instead of once.
+"""
 
 from __future__ import annotations
 
@@ -108,14 +113,14 @@ def work_rules(r: Column) -> dict[str, Column]:
     }
 
 
-def work_problems(works: DataFrame) -> Column:
-    """Names of broken rules for frames from ``parsed``; empty for a sound record."""
-    found = X.problems(work_rules(F.col("record")))
-    return F.when(F.col("malformed"), F.array(F.lit("malformed JSON object"))).otherwise(found)
+def _problems(rules: dict[str, Column]) -> Column:
+    malformed = F.array(F.lit("malformed JSON object"))
+    return F.when(F.col("malformed"), malformed).otherwise(X.problems(rules)).alias("problems")
 
 
 def typed_works(works: DataFrame) -> DataFrame:
-    """Typed columns of parsed works. Topics keep their order; authors are flattened."""
+    """Typed columns and broken rules of parsed works. Topics keep their order; authors are
+    flattened."""
     r = F.col("record")
     source = r["primary_location"]["source"]
 
@@ -157,13 +162,12 @@ def typed_works(works: DataFrame) -> DataFrame:
         F.flatten(
             F.transform(authors, lambda a: F.transform(_entries(a["institutions"]), institution))
         ).alias("institutions"),
+        _problems(work_rules(r)),
     )
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed works with a ``problems`` column, ready for ``typed_works``."""
-    works = parsed(json_lines(spark, path), WORK_RECORD)
-    return works.withColumn("problems", work_problems(works))
+    return typed_works(parsed(json_lines(spark, path), WORK_RECORD))
 
 
 # ---- country-year panel --------------------------------------------------------------
@@ -182,13 +186,6 @@ def panel_rules(r: Column) -> dict[str, Column]:
     return rules
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    rows = parsed(json_lines(spark, path), PANEL_RECORD)
-    found = X.problems(panel_rules(F.col("record")))
-    malformed = F.array(F.lit("malformed JSON object"))
-    return rows.withColumn("problems", F.when(F.col("malformed"), malformed).otherwise(found))
-
-
 def typed_panel(rows: DataFrame) -> DataFrame:
     r = F.col("record")
     measures = {name: X.decimal(r[name]) for name in MEASURES}
@@ -199,4 +196,9 @@ def typed_panel(rows: DataFrame) -> DataFrame:
         *[X.text(r[name]).alias(name) for name in _PANEL_TEXTS],
         X.integer(r["year"]).cast("int").alias("year"),
         *[value.alias(name) for name, value in measures.items()],
+        _problems(panel_rules(r)),
     )
+
+
+def read_panel(spark: SparkSession, path: str) -> DataFrame:
+    return typed_panel(parsed(json_lines(spark, path), PANEL_RECORD))

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from pubmart.plans.reconcile import place_policy, reconcile
 from pubmart.schemas import PANEL_RECORD, RECONCILED, WORK_RECORD
-from pubmart.sources.records import panel_rules, parsed, typed_panel, typed_works, work_problems
-from pubmart.functions import typed as X
+from pubmart.session import ensure_checkpoint_dir
+from pubmart.sources.records import parsed, typed_panel, typed_works
 from pubmart.verification.roles import ROLE_SQL, country_rows, panel_rows, table
 
 _KINDS = ("article", "review", "preprint", "book", "dataset", "book-chapter")
@@ -109,7 +109,6 @@ def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     copies = F.explode(F.when(k % 89 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
     orders = table(spark, sf_dir, "orders")
-    # A year without any topic would make "k % size" divide by zero; size 0 is guarded by when.
     orders = orders.withColumn("copy", copies)
     return orders.select(F.to_json(record).alias("value"))
 
@@ -120,20 +119,36 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("country_key").select(F.to_json(F.struct("*")).alias("value"))
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _staged(spark: SparkSession, sf_dir: str, name: str, typed) -> DataFrame:
+    """Typed records behind a reliable checkpoint, as a load stages them; kept per application."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _STAGED:
+        ensure_checkpoint_dir(spark)
+        _STAGED[at] = typed().checkpoint()
+    return _STAGED[at]
+
+
 def typed_role_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_works(parsed(raw_works(spark, sf_dir), WORK_RECORD))
+    def typed():
+        return typed_works(parsed(raw_works(spark, sf_dir), WORK_RECORD))
+
+    return _staged(spark, sf_dir, "works", typed)
 
 
 def typed_role_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_panel(parsed(raw_panel(spark, sf_dir), PANEL_RECORD))
+    def typed():
+        return typed_panel(parsed(raw_panel(spark, sf_dir), PANEL_RECORD))
+
+    return _staged(spark, sf_dir, "panel", typed)
 
 
 def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules over all raw records, counted by name."""
-    works = parsed(raw_works(spark, sf_dir), WORK_RECORD)
-    panel = parsed(raw_panel(spark, sf_dir), PANEL_RECORD)
-    found = works.select(work_problems(works).alias("problems")).unionAll(
-        panel.select(X.problems(panel_rules(F.col("record"))).alias("problems"))
+    found = typed_role_works(spark, sf_dir).select("problems").unionAll(
+        typed_role_panel(spark, sf_dir).select("problems")
     )
     return found.select(F.explode("problems").alias("problem")).groupBy("problem").count()
 
