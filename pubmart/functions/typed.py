@@ -23,31 +23,14 @@ def integer(leaf: Column) -> Column:
     return F.try_variant_get(leaf, "$", "bigint")
 
 
-def number(leaf: Column) -> Column:
-    return F.try_variant_get(leaf, "$", "double")
-
-
 def decimal(leaf: Column) -> Column:
     return F.try_variant_get(leaf, "$", DECIMAL)
 
 
-def flag(leaf: Column) -> Column:
-    return F.try_variant_get(leaf, "$", "boolean")
-
-
-def day(leaf: Column) -> Column:
-    return F.try_to_date(text(leaf), "yyyy-MM-dd")
-
-
 def not_text(leaf: Column) -> Column:
     return ~kind(leaf).isin("STRING", "VOID")
 
 
-def no_text(leaf: Column) -> Column:
-    """Neither wrong type nor content: a required text is missing."""
-    return ~not_text(leaf) & text(leaf).isNull()
-
-
 def not_integer(leaf: Column) -> Column:
     return ~kind(leaf).isin("BIGINT", "VOID")
 
@@ -61,11 +44,6 @@ def not_flag(leaf: Column) -> Column:
     return ~kind(leaf).isin("BOOLEAN", "VOID")
 
 
-def not_day(leaf: Column) -> Column:
-    shaped = text(leaf).rlike(r"^\d{4}-\d{2}-\d{2}\z") & day(leaf).isNotNull()
-    return not_text(leaf) | (text(leaf).isNotNull() & ~shaped)
-
-
 def not_code(leaf: Column, length: int) -> Column:
     """A required country code is missing or malformed."""
     return not_text(leaf) | ~F.coalesce(is_country_code(text(leaf), length), F.lit(False))

@@ -45,23 +45,28 @@ UNCOVERED_PLACES = (
 )
 
 # --------------------------------------------------------------------------------------
-# Raw records. VARIANT leaves keep the JSON type, so a number in a text field is seen as
-# a wrong type instead of being turned into text.
+# Raw records
 # --------------------------------------------------------------------------------------
-_NAMED = "STRUCT<id: VARIANT, display_name: VARIANT>"
+_NAMED = "STRUCT<id: STRING, display_name: STRING>"
 _TOPIC = (
-    "STRUCT<id: VARIANT, display_name: VARIANT, score: VARIANT, "
+    "STRUCT<id: STRING, display_name: STRING, score: DOUBLE, "
     f"subfield: {_NAMED}, field: {_NAMED}, domain: {_NAMED}>"
 )
-_INSTITUTION = "STRUCT<id: VARIANT, display_name: VARIANT, type: VARIANT, country_code: VARIANT>"
+_INSTITUTION = "STRUCT<id: STRING, display_name: STRING, type: STRING, country_code: STRING>"
 WORK_RECORD = (
-    "id VARIANT, doi VARIANT, title VARIANT, display_name VARIANT, publication_date VARIANT, "
-    "publication_year VARIANT, type VARIANT, language VARIANT, cited_by_count VARIANT, "
-    f"is_retracted VARIANT, primary_topic {_TOPIC}, topics ARRAY<{_TOPIC}>, "
-    f"authorships ARRAY<STRUCT<countries: ARRAY<VARIANT>, institutions: ARRAY<{_INSTITUTION}>>>, "
-    "primary_location STRUCT<source: STRUCT<id: VARIANT, display_name: VARIANT, type: VARIANT, issn_l: VARIANT>>, "
-    "open_access STRUCT<is_oa: VARIANT>"
+    "id STRING, doi STRING, title STRING, display_name STRING, publication_date STRING, "
+    "publication_year BIGINT, type STRING, language STRING, cited_by_count BIGINT, "
+    f"is_retracted BOOLEAN, primary_topic {_TOPIC}, topics ARRAY<{_TOPIC}>, "
+    f"authorships ARRAY<STRUCT<countries: ARRAY<STRING>, institutions: ARRAY<{_INSTITUTION}>>>, "
+    "primary_location STRUCT<source: STRUCT<id: STRING, display_name: STRING, type: STRING, issn_l: STRING>>, "
+    "open_access STRUCT<is_oa: BOOLEAN>"
 )
+# The text fields of a work at any depth.
+WORK_TEXTS = (
+    "id", "doi", "title", "display_name", "publication_date", "type", "language", "issn_l",
+    "country_code", "countries",
+)
+# VARIANT leaves keep the JSON type of each value.
 PANEL_RECORD = (
     "country_code_iso2 VARIANT, country_code_iso3 VARIANT, country_name VARIANT, region_id VARIANT, "
     "region_name VARIANT, income_level_id VARIANT, income_level_name VARIANT, year VARIANT, "

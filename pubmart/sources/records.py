@@ -7,12 +7,19 @@ every record is then parsed once per use instead of once.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pubmart.functions import typed as X
-from pubmart.functions.text import trimmed
-from pubmart.schemas import MEASURES, PANEL_RECORD, WORK_RECORD
+from pubmart.functions.text import clean_text, is_country_code, trimmed
+from pubmart.schemas import MEASURES, PANEL_RECORD, WORK_RECORD, WORK_TEXTS
+
+
+PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+MALFORMED = "malformed JSON object"
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,33 +30,24 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(lines: DataFrame, record: str) -> DataFrame:
     """One ``record`` struct per line; ``malformed`` marks bad JSON and non-objects."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    rows = lines.withColumn("record", F.from_json("value", f"{record}, _corrupt STRING", options))
+    rows = lines.withColumn("record", F.from_json("value", f"{record}, _corrupt STRING", PERMISSIVE))
     is_object = F.ltrim("value").startswith("{")
     bad = ~is_object | F.col("record").isNull() | F.col("record._corrupt").isNotNull()
     return rows.withColumn("malformed", F.coalesce(bad, F.lit(True)))
 
 
 # ---- works ---------------------------------------------------------------------------
-
+#
+# Works are parsed into plain types, which is fast but would turn a number in a text field into
+# text. The JSON types of the whole record, as one string, show whether any field of a text
+# field's name holds something else; only then is the record parsed again with VARIANT leaves
+# to name the wrong fields exactly.
+
+_STRICT_WORK = re.sub(r"\b(STRING|BIGINT|DOUBLE|BOOLEAN)\b", "VARIANT", WORK_RECORD)
+_WRONG_TEXT = rf"\b({'|'.join(WORK_TEXTS)}): (?!STRING|VOID|ARRAY<STRING>|ARRAY<VOID>)"
 _LEVELS = ("subfield", "field", "domain")
 
 
-def _topic(t: Column) -> list[Column]:
-    parts = [X.text(t["id"]).alias("topic_id"), X.text(t["display_name"]).alias("topic_name")]
-    for level in _LEVELS:
-        parts.append(X.text(t[level]["id"]).alias(f"{level}_id"))
-        parts.append(X.text(t[level]["display_name"]).alias(f"{level}_name"))
-    return parts
-
-
-def _topic_broken(t: Column) -> Column:
-    broken = X.not_text(t["id"]) | X.no_text(t["id"]) | X.not_text(t["display_name"])
-    for level in _LEVELS:
-        broken = broken | X.not_text(t[level]["id"]) | X.not_text(t[level]["display_name"])
-    return broken
-
-
 def _any(values: Column, test) -> Column:
     return F.coalesce(F.exists(values, test), F.lit(False))
 
@@ -58,116 +56,153 @@ def _entries(values: Column) -> Column:
     return F.coalesce(values, F.array())
 
 
-def _institution_broken(i: Column) -> Column:
-    code = i["country_code"]
-    blank = F.coalesce(F.try_variant_get(code, "$", "string") == "", F.lit(False))
-    return (
-        i.isNull()
-        | X.not_text(i["id"])
-        | X.no_text(i["id"])
-        | X.not_text(i["display_name"])
-        | X.not_text(i["type"])
-        | ((X.kind(code) != "VOID") & ~blank & X.not_code(code, 2))
-    )
+def _topic(t: Column) -> list[Column]:
+    parts = [clean_text(t["id"]).alias("topic_id"), clean_text(t["display_name"]).alias("topic_name")]
+    for level in _LEVELS:
+        parts.append(clean_text(t[level]["id"]).alias(f"{level}_id"))
+        parts.append(clean_text(t[level]["display_name"]).alias(f"{level}_name"))
+    return parts
 
 
-def work_rules(r: Column) -> dict[str, Column]:
-    """Field rules of a parsed work, by name; each is true when the record breaks it."""
+def _day(value: Column) -> Column:
+    return F.try_to_date(clean_text(value), "yyyy-MM-dd")
+
+
+def _bad_code(code: Column) -> Column:
+    return ~F.coalesce(is_country_code(trimmed(code), 2), F.lit(False))
+
+
+def work_value_rules(r: Column) -> dict[str, Column]:
+    """Rules on the values of a parsed work, by name; true when the record breaks one."""
     primary, source = r["primary_topic"], r["primary_location"]["source"]
-    title, shown = X.text(r["title"]), X.text(r["display_name"])
-    day, year = X.day(r["publication_date"]), X.integer(r["publication_year"])
-    primary_id = X.text(primary["id"])
-    related = _any(r["topics"], lambda t: X.text(t["id"]) == primary_id)
+    day, date_text = _day(r["publication_date"]), clean_text(r["publication_date"])
+    well_dated = date_text.rlike(r"^\d{4}-\d{2}-\d{2}\z") & day.isNotNull()
+    related = _any(r["topics"], lambda t: trimmed(t["id"]) == trimmed(primary["id"]))
+
+    def bad_institution(i: Column) -> Column:
+        code = i["country_code"]
+        wrong_code = code.isNotNull() & (code != "") & _bad_code(code)
+        return clean_text(i["id"]).isNull() | wrong_code
+
     return {
-        "id": X.not_text(r["id"]) | X.no_text(r["id"]),
-        "doi": X.not_text(r["doi"]),
-        "title": X.not_text(r["title"]) | X.not_text(r["display_name"]),
-        "title differs from display_name": title != shown,
-        "type": X.not_text(r["type"]),
-        "language": X.not_text(r["language"]),
-        "cited_by_count": X.not_integer(r["cited_by_count"]),
-        "cited_by_count is negative": X.integer(r["cited_by_count"]) < 0,
-        "publication_date": X.not_day(r["publication_date"]),
-        "publication_year": X.not_integer(r["publication_year"]),
-        "publication_date and publication_year differ": F.year(day) != year,
-        "is_retracted": X.not_flag(r["is_retracted"]),
-        "open_access.is_oa": X.not_flag(r["open_access"]["is_oa"]),
-        "topics": _any(r["topics"], lambda t: t.isNull() | _topic_broken(t) | X.not_number(t["score"])),
-        "primary_topic": primary.isNotNull() & _topic_broken(primary),
+        "id is missing": clean_text(r["id"]).isNull(),
+        "title differs from display_name": clean_text(r["title"]) != clean_text(r["display_name"]),
+        "cited_by_count is negative": r["cited_by_count"] < 0,
+        "publication_date is not a date": date_text.isNotNull() & ~well_dated,
+        "publication_date and publication_year differ": F.year(day) != r["publication_year"],
+        "topics without id": _any(r["topics"], lambda t: clean_text(t["id"]).isNull()),
+        "primary_topic without id": primary.isNotNull() & clean_text(primary["id"]).isNull(),
         "primary_topic is absent from topics": primary.isNotNull() & ~related,
-        "primary_location.source": source.isNotNull()
-        & (
-            X.not_text(source["id"])
-            | X.no_text(source["id"])
-            | X.not_text(source["display_name"])
-            | X.not_text(source["type"])
-            | X.not_text(source["issn_l"])
+        "source without id": source.isNotNull() & clean_text(source["id"]).isNull(),
+        "authorships with null": _any(r["authorships"], lambda a: a.isNull()),
+        "author country code": _any(
+            r["authorships"], lambda a: _any(a["countries"], lambda c: c.isNull() | _bad_code(c))
         ),
-        "authorships": _any(r["authorships"], lambda a: a.isNull()),
-        "authorships.countries": _any(
-            r["authorships"], lambda a: _any(a["countries"], lambda c: X.not_code(c, 2))
+        "institution id or country code": _any(
+            r["authorships"], lambda a: _any(a["institutions"], bad_institution)
+        ),
+    }
+
+
+def work_type_rules(r: Column) -> dict[str, Column]:
+    """Rules on the JSON types of a strictly parsed work."""
+
+    def bad_topic(t: Column) -> Column:
+        names = [t[level][part] for level in _LEVELS for part in ("id", "display_name")]
+        texts = [X.not_text(value) for value in (t["id"], t["display_name"], *names)]
+        return reduce(lambda a, b: a | b, texts) | X.not_number(t["score"])
+
+    def bad_named(entity: Column, *more: str) -> Column:
+        texts = [X.not_text(entity[part]) for part in ("id", "display_name", "type", *more)]
+        return reduce(lambda a, b: a | b, texts)
+
+    texts = ("id", "doi", "title", "display_name", "publication_date", "type", "language")
+    rules = {f"{name} is not text": X.not_text(r[name]) for name in texts}
+    return {
+        **rules,
+        "publication_year is not an integer": X.not_integer(r["publication_year"]),
+        "cited_by_count is not an integer": X.not_integer(r["cited_by_count"]),
+        "is_retracted is not a flag": X.not_flag(r["is_retracted"]),
+        "open_access.is_oa is not a flag": X.not_flag(r["open_access"]["is_oa"]),
+        "topics with wrong types": _any(r["topics"], bad_topic),
+        "primary_topic with wrong types": bad_topic(r["primary_topic"]),
+        "source with wrong types": bad_named(r["primary_location"]["source"], "issn_l"),
+        "author countries with wrong types": _any(
+            r["authorships"], lambda a: _any(a["countries"], X.not_text)
         ),
-        "authorships.institutions": _any(
-            r["authorships"], lambda a: _any(a["institutions"], _institution_broken)
+        "institutions with wrong types": _any(
+            r["authorships"],
+            lambda a: _any(a["institutions"], lambda i: bad_named(i, "country_code")),
         ),
     }
 
 
-def _problems(rules: dict[str, Column]) -> Column:
-    malformed = F.array(F.lit("malformed JSON object"))
-    return F.when(F.col("malformed"), malformed).otherwise(X.problems(rules)).alias("problems")
+def _work_problems() -> Column:
+    strict = F.from_json("value", f"{_STRICT_WORK}, _corrupt STRING", PERMISSIVE)
+    wrong_types = F.when(
+        strict.isNull() | strict["_corrupt"].isNotNull() | ~F.ltrim("value").startswith("{"),
+        F.array(F.lit(MALFORMED)),
+    ).otherwise(X.problems(work_type_rules(strict)))
+    suspect = F.col("malformed") | F.coalesce(F.col("kinds").rlike(_WRONG_TEXT), F.lit(True))
+    none = F.array().cast("array<string>")
+    return F.concat(
+        F.when(F.col("malformed"), none).otherwise(X.problems(work_value_rules(F.col("record")))),
+        F.when(suspect, wrong_types).otherwise(none),
+    )
 
 
-def typed_works(works: DataFrame) -> DataFrame:
-    """Typed columns and broken rules of parsed works. Topics keep their order; authors are
+def typed_works(lines: DataFrame) -> DataFrame:
+    """Typed columns and broken rules of JSON works. Topics keep their order; authors are
     flattened."""
+    works = parsed(lines, WORK_RECORD).withColumn(
+        "kinds", F.schema_of_variant(F.try_parse_json("value"))
+    )
     r = F.col("record")
     source = r["primary_location"]["source"]
 
     def institution(i: Column) -> Column:
         return F.struct(
-            X.text(i["id"]).alias("institution_id"),
-            X.text(i["display_name"]).alias("display_name"),
-            X.text(i["type"]).alias("institution_type"),
-            X.text(i["country_code"]).alias("country_code_iso2"),
+            clean_text(i["id"]).alias("institution_id"),
+            clean_text(i["display_name"]).alias("display_name"),
+            clean_text(i["type"]).alias("institution_type"),
+            clean_text(i["country_code"]).alias("country_code_iso2"),
         )
 
     authors = _entries(r["authorships"])
-    topics = F.transform(r["topics"], lambda t: F.struct(*_topic(t), X.number(t["score"]).alias("score")))
     return works.select(
-        X.text(r["id"]).alias("work_id"),
-        X.text(r["doi"]).alias("doi"),
-        F.coalesce(X.text(r["title"]), X.text(r["display_name"])).alias("title"),
-        X.day(r["publication_date"]).alias("publication_date"),
-        X.integer(r["publication_year"]).cast("int").alias("publication_year"),
-        X.text(r["type"]).alias("work_type"),
-        X.text(r["language"]).alias("language"),
-        X.integer(r["cited_by_count"]).alias("cited_by_count"),
-        X.flag(r["is_retracted"]).alias("is_retracted"),
-        X.flag(r["open_access"]["is_oa"]).alias("is_open_access"),
+        clean_text(r["id"]).alias("work_id"),
+        clean_text(r["doi"]).alias("doi"),
+        F.coalesce(clean_text(r["title"]), clean_text(r["display_name"])).alias("title"),
+        _day(r["publication_date"]).alias("publication_date"),
+        r["publication_year"].try_cast("int").alias("publication_year"),
+        clean_text(r["type"]).alias("work_type"),
+        clean_text(r["language"]).alias("language"),
+        r["cited_by_count"].alias("cited_by_count"),
+        r["is_retracted"].alias("is_retracted"),
+        r["open_access"]["is_oa"].alias("is_open_access"),
         F.when(r["primary_topic"].isNotNull(), F.struct(*_topic(r["primary_topic"]))).alias("primary_topic"),
-        topics.alias("topics"),
+        F.transform(r["topics"], lambda t: F.struct(*_topic(t), t["score"].alias("score"))).alias("topics"),
         F.when(
             source.isNotNull(),
             F.struct(
-                X.text(source["id"]).alias("source_id"),
-                X.text(source["display_name"]).alias("display_name"),
-                X.text(source["type"]).alias("source_type"),
-                X.text(source["issn_l"]).alias("issn_l"),
+                clean_text(source["id"]).alias("source_id"),
+                clean_text(source["display_name"]).alias("display_name"),
+                clean_text(source["type"]).alias("source_type"),
+                clean_text(source["issn_l"]).alias("issn_l"),
             ),
         ).alias("source"),
         F.flatten(
-            F.transform(authors, lambda a: F.transform(_entries(a["countries"]), X.text))
+            F.transform(authors, lambda a: F.transform(_entries(a["countries"]), clean_text))
         ).alias("author_countries"),
         F.flatten(
             F.transform(authors, lambda a: F.transform(_entries(a["institutions"]), institution))
         ).alias("institutions"),
-        _problems(work_rules(r)),
+        _work_problems().alias("problems"),
     )
 
 
 def read_works(spark: SparkSession, path: str) -> DataFrame:
-    return typed_works(parsed(json_lines(spark, path), WORK_RECORD))
+    return typed_works(json_lines(spark, path))
 
 
 # ---- country-year panel --------------------------------------------------------------
@@ -186,19 +221,21 @@ def panel_rules(r: Column) -> dict[str, Column]:
     return rules
 
 
-def typed_panel(rows: DataFrame) -> DataFrame:
+def typed_panel(lines: DataFrame) -> DataFrame:
+    """Typed columns and broken rules of JSON panel records."""
     r = F.col("record")
     measures = {name: X.decimal(r[name]) for name in MEASURES}
     measures["population"] = F.round(measures["population"], 0).cast("bigint")
-    return rows.select(
+    found = F.when(F.col("malformed"), F.array(F.lit(MALFORMED))).otherwise(X.problems(panel_rules(r)))
+    return parsed(lines, PANEL_RECORD).select(
         X.text(r["country_code_iso2"]).alias("country_code_iso2"),
         X.text(r["country_code_iso3"]).alias("country_code_iso3"),
         *[X.text(r[name]).alias(name) for name in _PANEL_TEXTS],
         X.integer(r["year"]).cast("int").alias("year"),
         *[value.alias(name) for name, value in measures.items()],
-        _problems(panel_rules(r)),
+        found.alias("problems"),
     )
 
 
 def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    return typed_panel(parsed(json_lines(spark, path), PANEL_RECORD))
+    return typed_panel(json_lines(spark, path))

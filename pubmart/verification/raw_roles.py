@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pubmart.plans.reconcile import place_policy, reconcile
-from pubmart.schemas import PANEL_RECORD, RECONCILED, WORK_RECORD
+from pubmart.schemas import RECONCILED
 from pubmart.session import ensure_checkpoint_dir
-from pubmart.sources.records import parsed, typed_panel, typed_works
+from pubmart.sources.records import typed_panel, typed_works
 from pubmart.verification.roles import ROLE_SQL, country_rows, panel_rows, table
 
 _KINDS = ("article", "review", "preprint", "book", "dataset", "book-chapter")
@@ -133,14 +133,14 @@ def _staged(spark: SparkSession, sf_dir: str, name: str, typed) -> DataFrame:
 
 def typed_role_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     def typed():
-        return typed_works(parsed(raw_works(spark, sf_dir), WORK_RECORD))
+        return typed_works(raw_works(spark, sf_dir))
 
     return _staged(spark, sf_dir, "works", typed)
 
 
 def typed_role_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def typed():
-        return typed_panel(parsed(raw_panel(spark, sf_dir), PANEL_RECORD))
+        return typed_panel(raw_panel(spark, sf_dir))
 
     return _staged(spark, sf_dir, "panel", typed)
 
