@@ -7,11 +7,12 @@ def build_registry() -> Registry:
     from pubmart.verification import (
         dashboard_cases,
         derived_cases,
+        extract_cases,
         reconcile_cases,
         session_cases,
     )
 
     registry = Registry()
-    for cases in (session_cases, dashboard_cases, derived_cases, reconcile_cases):
+    for cases in (session_cases, dashboard_cases, derived_cases, reconcile_cases, extract_cases):
         cases.register(registry)
     return registry
