@@ -20,7 +20,12 @@ def _result(rows: DataFrame, check: str, relation: str, violations: Column) -> D
 
 
 def all_checks(checks: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks)
+    """Union of checks, pairwise: every union is analysed anew, so the tree is kept flat."""
+    level = list(checks)
+    while len(level) > 1:
+        pairs = [level[i : i + 2] for i in range(0, len(level), 2)]
+        level = [pair[0].unionAll(pair[1]) if len(pair) == 2 else pair[0] for pair in pairs]
+    return level[0]
 
 
 def require(checks: DataFrame) -> None:
@@ -56,9 +61,13 @@ def duplicate_keys(rows: DataFrame, relation: str, key: tuple[str, ...]) -> Data
     return _result(repeated, "duplicate key", relation, F.count("*"))
 
 
+def present(columns: Iterable[str]) -> Column:
+    """All columns have a value."""
+    return reduce(lambda a, b: a & b, [F.col(column).isNotNull() for column in columns])
+
+
 def missing_values(rows: DataFrame, relation: str, columns: Iterable[str]) -> DataFrame:
-    broken = reduce(lambda a, b: a | b, [F.col(column).isNull() for column in columns])
-    return _result(rows, "missing value", relation, F.count_if(broken))
+    return holds(rows, "missing value", relation, present(columns))
 
 
 def orphans(
@@ -81,9 +90,20 @@ def same_count(left: DataFrame, right: DataFrame, relation: str) -> DataFrame:
     return _result(counts, "row count", relation, F.abs(F.sum("n")))
 
 
+def row_rules(rows: DataFrame, relation: str, rules: Mapping[str, Column]) -> DataFrame:
+    """Rows that contradict each predicate, all counted in one pass; an unknown outcome passes."""
+    counts = [F.count_if(~predicate).alias(f"n{i}") for i, predicate in enumerate(rules.values())]
+    entries = [
+        F.struct(
+            F.lit(check).alias("check"), F.lit(relation).alias("relation"), F.col(f"n{i}").alias("violations")
+        )
+        for i, check in enumerate(rules)
+    ]
+    return rows.agg(*counts).select(F.inline(F.array(*entries)))
+
+
 def holds(rows: DataFrame, check: str, relation: str, predicate: Column) -> DataFrame:
-    """Rows that contradict a predicate; an unknown outcome passes."""
-    return _result(rows, check, relation, F.count_if(~predicate))
+    return row_rules(rows, relation, {check: predicate})
 
 
 def same_nulls(left: DataFrame, right: DataFrame, relation: str, columns: Iterable[str]) -> DataFrame:

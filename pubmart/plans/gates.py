@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmart.functions.text import is_country_code
@@ -24,9 +24,9 @@ from pubmart.schemas import (
 )
 
 
-def _codes(rows: DataFrame, relation: str) -> DataFrame:
-    valid = is_country_code(F.col("country_code_iso2"), 2) & is_country_code(F.col("country_code_iso3"), 3)
-    return C.holds(rows, "country codes", relation, valid)
+def _codes() -> Column:
+    iso2, iso3 = F.col("country_code_iso2"), F.col("country_code_iso3")
+    return is_country_code(iso2, 2) & is_country_code(iso3, 3)
 
 
 def fabricated_indicators(
@@ -51,24 +51,23 @@ def reconciled_checks(r: Mapping[str, DataFrame], panel: DataFrame | None = None
     """Keys, references and row rules of the nine tables; NULL parity when the panel is given."""
     work, country, indicator = r["r_work"], r["r_country"], r["r_country_year_indicator"]
     year = F.col("publication_year")
+    rules = {name: {"missing value": C.present(key)} for name, key in RECONCILED_KEYS.items()}
+    rules["r_country"]["country codes"] = _codes()
+    rules["r_work"]["citations not negative"] = F.col("cited_by_count") >= 0
+    rules["r_work"]["year range"] = year.between(1, 9999)
+    rules["r_work"]["date and year agree"] = F.year("publication_date") == year
+    rules["r_work_topic"]["rank positive"] = F.col("topic_rank") > 0
+    rules["r_country_year_indicator"]["year range"] = F.col("year").between(1, 9999)
     found = [C.not_empty(r[name], name) for name in ("r_work", "r_country", "r_country_year_indicator")]
+    found += [C.row_rules(r[name], name, checks) for name, checks in rules.items()]
     found += [C.duplicate_keys(r[name], name, key) for name, key in RECONCILED_KEYS.items()]
-    found += [
-        C.missing_values(r[name], name, key) for name, key in RECONCILED_KEYS.items()
-    ]
     found += [
         C.orphans(r[child], column, r[parent], parent_column, child)
         for child, column, parent, parent_column in RECONCILED_REFERENCES
     ]
     found += [
         C.duplicate_keys(country, "r_country.country_code_iso3", ("country_code_iso3",)),
-        _codes(country, "r_country"),
         primary_topic_membership(work, r["r_work_topic"]),
-        C.holds(work, "citations not negative", "r_work", F.col("cited_by_count") >= 0),
-        C.holds(work, "year range", "r_work", year.between(1, 9999)),
-        C.holds(work, "date and year agree", "r_work", F.year("publication_date") == year),
-        C.holds(r["r_work_topic"], "rank positive", "r_work_topic", F.col("topic_rank") > 0),
-        C.holds(indicator, "year range", "r_country_year_indicator", F.col("year").between(1, 9999)),
         fabricated_indicators(indicator, country, "country_code_iso2", "r_country_year_indicator"),
     ]
     if panel is not None:
@@ -114,14 +113,21 @@ def warehouse_checks(
         "work_id", F.col("cited_by_count").alias("citation_count"), "is_open_access"
     )
     panel_codes = panel.join(w["dim_country"].select("country_key", "country_code_iso2"), "country_key")
+    weight = F.col("fractional_weight")
+    rules = {name: {"weight range": (weight > 0) & (weight <= 1)} for name in BRIDGES}
+    rules["bridge_publication_topic"]["rank positive"] = F.col("topic_rank") > 0
+    rules["dim_country"] = {"country codes": _codes()}
+    rules["fact_publication"] = {
+        "counted once": F.col("publication_count") == 1,
+        "citations not negative": F.col("citation_count") >= 0,
+    }
+    rules["fact_country_year"] = {"year range": F.col("year").between(first, last)}
+    found += [C.row_rules(w[name], name, checks) for name, checks in rules.items()]
+    found += [C.weight_sums(w[name], name) for name in BRIDGES]
     found += [
-        _codes(w["dim_country"], "dim_country"),
-        C.holds(fact, "counted once", "fact_publication", F.col("publication_count") == 1),
-        C.holds(fact, "citations not negative", "fact_publication", F.col("citation_count") >= 0),
         C.same_values(
             fact, source_works, "fact_publication", ("work_id",), ("citation_count", "is_open_access")
         ),
-        C.holds(panel, "year range", "fact_country_year", F.col("year").between(first, last)),
         C.same_values(
             panel_codes, indicator, "fact_country_year", ("country_code_iso2", "year"), MEASURES
         ),
@@ -132,12 +138,7 @@ def warehouse_checks(
             work.where(F.col("primary_topic_id").isNotNull()),
             "bridge_publication_topic.is_primary_topic",
         ),
-        C.holds(topic_bridge, "rank positive", "bridge_publication_topic", F.col("topic_rank") > 0),
     ]
-    weight = F.col("fractional_weight")
-    for name in BRIDGES:
-        found.append(C.holds(w[name], "weight range", name, (weight > 0) & (weight <= 1)))
-        found.append(C.weight_sums(w[name], name))
     return C.all_checks(found)
 
 

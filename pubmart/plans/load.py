@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,21 +36,16 @@ from pubmart.schemas import (
 from pubmart.sources import landed as L
 from pubmart.sources import sinks
 from pubmart.sources.records import json_lines, read_panel, typed_works
-from pubmart.sources.releases import Release, open_table, open_warehouse, table_path
+from pubmart.sources.releases import Release, open_table, open_warehouse, path_exists, table_path
 
 _SHOWN = 20  # examples named in an error; the counts are complete
 
 
 def read_manifest(spark: SparkSession, path: str | None) -> dict:
     """Checksums a manifest records; empty without a manifest."""
-    if path is None:
+    if path is None or not path_exists(spark, path):
         return {}
-    try:
-        document = spark.read.schema("sha256 STRING, digest STRING").json(path, multiLine=True).first()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return {}
-        raise
+    document = spark.read.schema("sha256 STRING, digest STRING").json(path, multiLine=True).first()
     return document.asDict() if document else {}
 
 

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import partial
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,20 +23,18 @@ class NotPublished(LookupError):
     pass
 
 
-def _log(spark: SparkSession, root: str) -> DataFrame | None:
-    try:
-        return spark.read.schema(_LOG_SCHEMA).json(f"{root}/_releases")
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on whatever file system its scheme names."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
 def current_version(spark: SparkSession, root: str) -> int:
     """Version readers see; 0 before the first release."""
-    log = _log(spark, root)
-    newest = log.agg(F.max("version").alias("version")).first() if log is not None else None
-    return (newest.version or 0) if newest else 0
+    log = f"{root}/_releases"
+    if not path_exists(spark, log):
+        return 0
+    return spark.read.schema(_LOG_SCHEMA).json(log).agg(F.max("version").alias("v")).first().v or 0
 
 
 def table_path(root: str, version: int, name: str) -> str:
