@@ -118,14 +118,16 @@ def load_warehouse(
     root: str,
     first: int = START_YEAR,
     last: int = END_YEAR,
+    buckets: int | None = None,
 ) -> Warehouse:
     """Reconciled tables to a checked and published warehouse.
 
-    Facts and bridges are written sorted by publication within each file, so row groups carry
-    narrow key ranges.
+    The fact and the bridges are written sorted by publication. With ``buckets`` they are also
+    bucketed by it, so that queries join them without a shuffle; choose the number so that one
+    bucket of the largest bridge fits a task.
     """
     C.require_columns(reconciled, WAREHOUSE_INPUT)
-    release = Release(spark, root)
+    release = Release(spark, root, buckets)
 
     def stage(name: str, rows: DataFrame) -> DataFrame:
         keyed = name == "fact_publication" or name.startswith("bridge_")

@@ -3,10 +3,15 @@
 Layout: ``<root>/version=<n>/<table>`` and the log ``<root>/_releases``. Readers use the highest
 logged version, so a run that fails before its log row leaves the previous version in place.
 One writer at a time is assumed.
+
+Tables may be written in hash buckets of one key. Tables bucketed alike then join and group on
+that key without a shuffle; buckets are part of a table's definition in the session catalog,
+which readers set up from the log.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from functools import partial
 
@@ -16,7 +21,8 @@ from pyspark.sql import functions as F
 from pubmart.plans.warehouse import Warehouse
 from pubmart.schemas import WAREHOUSE
 
-_LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>"
+_LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>, buckets BIGINT"
+BUCKET_KEY = "publication_key"
 
 
 class NotPublished(LookupError):
@@ -48,33 +54,70 @@ def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(root, version, name))
 
 
+def catalog_name(path: str) -> str:
+    return f"pubmart_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A bucketed table by its path, entered into the session catalog when it is new there."""
+    name = catalog_name(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(
+            f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
+        )
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet "
+            f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) INTO {int(buckets)} BUCKETS "
+            f"LOCATION '{path}'"
+        )
+    return spark.table(name)
+
+
 def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     """The current warehouse; every table of it comes from the same version."""
     version = current_version(spark, root)
     if version == 0:
         raise NotPublished(f"Nothing is published under {root}")
-    return Warehouse(
-        {name: partial(spark.read.parquet, table_path(root, version, name)) for name in WAREHOUSE}
-    )
+    log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/_releases")
+    buckets = log.where(F.col("version") == version).first().buckets
+
+    def opener(name: str):
+        path = table_path(root, version, name)
+        if buckets and BUCKET_KEY in WAREHOUSE[name]:
+            return partial(open_bucketed, spark, path, buckets)
+        return partial(spark.read.parquet, path)
+
+    return Warehouse({name: opener(name) for name in WAREHOUSE})
 
 
 class Release:
     """The next version of a table set while it is being written."""
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
+        self.spark, self.root, self.buckets = spark, root, buckets
         self.version = current_version(spark, root) + 1
         self.tables: list[str] = []
 
     def stage(self, name: str, rows: DataFrame, order: Iterable[str] = ()) -> DataFrame:
         """Write a table and give back the frame that reads what was written."""
         path = table_path(self.root, self.version, name)
+        if self.buckets and BUCKET_KEY in rows.columns:
+            return self._stage_bucketed(name, rows, path)
         if order:
             rows = rows.sortWithinPartitions(*order)
         rows.write.mode("overwrite").parquet(path)
         self.tables.append(name)
         return self.spark.read.parquet(path)
 
+    def _stage_bucketed(self, name: str, rows: DataFrame, path: str) -> DataFrame:
+        # Partitioned like the buckets, each task writes one bucket instead of a part of all.
+        placed = rows.repartition(self.buckets, BUCKET_KEY)
+        writer = placed.write.mode("overwrite").format("parquet").option("path", path)
+        writer = writer.bucketBy(self.buckets, BUCKET_KEY).sortBy(BUCKET_KEY)
+        writer.saveAsTable(catalog_name(path))
+        self.tables.append(name)
+        return open_bucketed(self.spark, path, self.buckets)
+
     def stage_observed(self, name: str, rows: DataFrame, **metrics) -> tuple[DataFrame, dict]:
         """Like ``stage``, with aggregates taken while the rows are written: no second pass."""
         observation = Observation(name)
@@ -83,6 +126,6 @@ class Release:
 
     def publish(self) -> int:
         """Make this version the current one."""
-        row = self.spark.createDataFrame([(self.version, sorted(self.tables))], _LOG_SCHEMA)
+        row = self.spark.createDataFrame([(self.version, sorted(self.tables), self.buckets)], _LOG_SCHEMA)
         row.coalesce(1).write.mode("append").json(f"{self.root}/_releases")
         return self.version
