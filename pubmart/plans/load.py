@@ -9,6 +9,7 @@ from pubmart.operators import checks as C
 from pubmart.operators import profile as P
 from pubmart.operators import reshape as R
 from pubmart.operators import sample as S
+from pubmart.operators.nested import work_countries
 from pubmart.plans import gates
 from pubmart.plans.build import build_warehouse
 from pubmart.plans.reconcile import (
@@ -65,7 +66,7 @@ def _stage_records(release: Release, name: str, typed: DataFrame) -> DataFrame:
 def _stage_merged(release: Release, name: str, merged: DataFrame) -> DataFrame:
     columns = RECONCILED[name]
     observed = F.count_if(F.size("conflicts") > 0)
-    # The conflicts column is dropped by the reader below; keeping it makes failures cheap to name.
+    # The written table keeps the conflicts, so that a failure is named without a second merge.
     staged, seen = release.stage_observed(name, merged, conflicts=observed)
     if seen["conflicts"]:
         rows = staged.where(F.size("conflicts") > 0).select(columns[0], "conflicts").limit(_SHOWN)
@@ -92,16 +93,17 @@ def load_reconciled(
     panel = _stage_records(release, "panel", read_panel(spark, panel_path))
     works = _stage_records(release, "works", typed_works(lines))
     policy = place_policy(spark)
-    tables = reconcile(works, panel, policy)
-    staged = {}
-    for name, merged in tables.items():
-        if name == "r_country":
-            uncovered = uncovered_codes(tables["r_work_country"], panel_countries(panel))
-            unknown = unrecognised_codes(uncovered, policy).orderBy("country_code_iso2")
-            codes = [row[0] for row in unknown.limit(_SHOWN).collect()]
-            if codes:
-                raise C.CheckFailed("Country codes without a panel entry or a policy: " + ", ".join(codes))
-        staged[name] = _stage_merged(release, name, merged)
+    # The pairs decide which places are needed, so they are written first.
+    countries = release.stage("r_work_country", work_countries(works))
+    uncovered = uncovered_codes(countries, panel_countries(panel))
+    unknown = unrecognised_codes(uncovered, policy).orderBy("country_code_iso2")
+    codes = [row[0] for row in unknown.limit(_SHOWN).collect()]
+    if codes:
+        raise C.CheckFailed("Country codes without a panel entry or a policy: " + ", ".join(codes))
+    staged = {"r_work_country": countries}
+    for name, merged in reconcile(works, panel, policy, countries).items():
+        if name not in staged:
+            staged[name] = _stage_merged(release, name, merged)
     C.require(gates.reconciled_checks(staged, panel))
     if not validate_only:
         release.publish()

@@ -47,13 +47,19 @@ def completed_countries(master: DataFrame, uncovered: DataFrame, policy: DataFra
     return master.unionByName(added)
 
 
-def reconcile(works: DataFrame, panel: DataFrame, policy: DataFrame) -> dict[str, DataFrame]:
+def reconcile(
+    works: DataFrame,
+    panel: DataFrame,
+    policy: DataFrame,
+    work_countries: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """The nine tables, each with a ``conflicts`` column naming contradictory fields.
 
     ``works`` and ``panel`` are typed frames. Stage them as tables first: each is read by
-    several of the nine, which then scan only the columns they need.
+    several of the nine, which then scan only the columns they need. ``work_countries`` takes
+    the finished work-country pairs when they are staged already.
     """
-    countries = N.work_countries(works)
+    countries = N.work_countries(works) if work_countries is None else work_countries
     master = panel_countries(panel)
     indicator = panel.select(*RECONCILED["r_country_year_indicator"])
     no_conflict = F.array().cast("array<string>").alias("conflicts")
