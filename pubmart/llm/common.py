@@ -157,10 +157,10 @@ def chunks_of(texts: list[str], most: int = 1 << 20) -> Iterator[slice]:
     """Slices of a batch with about ``most`` characters, one text at least."""
     at, size = 0, 0
     for i, text in enumerate(texts):
-        if i > at and size + len(text) > most:
+        if i > at and size + len(text or "") > most:
             yield slice(at, i)
             at, size = i, 0
-        size += len(text)
+        size += len(text or "")
     if at < len(texts):
         yield slice(at, len(texts))
 
