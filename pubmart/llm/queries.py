@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubmart.llm import bpe, packing, pii, quality, url_filter
+from pubmart.llm import bpe, chunks, near_dups, packing, pii, quality, url_filter
 from pubmart.llm.common import table
 
 
@@ -21,10 +21,18 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(packing.VOCABULARY))
 
@@ -40,7 +48,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op5_quality, op7_packing, op8_pii, op9_byte_bpe)
+    f.__name__: f for f in (op2_url_filters, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe)
 }
 
 OP2_SQL = r"""
