@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubmart.llm import bpe, chunks, near_dups, packing, pii, quality, url_filter
+from pubmart.llm import ann, bpe, chunks, near_dups, packing, pii, quality, spotsigs, url_filter
 from pubmart.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path(bpe.FILE), public_tokenizers.PATTERN)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.neighbours(vectors, ann.every_twentieth(vectors))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe)
+    f.__name__: f for f in (op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe, op10_nearest_neighbours)
 }
 
 OP2_SQL = r"""
