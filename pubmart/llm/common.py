@@ -15,10 +15,6 @@ from pubmart.session import ensure_checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
-#: The six characters that end a word: blank and tab to carriage return.
-BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
-TO_SPACE = str.maketrans(BLANKS, " " * 6)
 BATCH_BYTES = 8 << 20
 
 
@@ -56,8 +52,12 @@ def parts(spark: SparkSession) -> int:
 
 
 def split_words(text: str) -> list[str]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased."""
-    return [w for w in text.translate(ASCII_LOWER).translate(TO_SPACE).split(" ") if w]
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.
+
+    Bytes are lower-cased and split at exactly these letters and blanks.
+    """
+    joined = b" ".join(text.encode("utf-8", "replace").lower().split())
+    return joined.decode().split(" ") if joined else []
 
 
 def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -140,6 +140,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"Components did not settle in {rounds} rounds")
 
 
+def merged(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold so many bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 KINDS = {
     "long": pa.int64(),
     "int": pa.int32(),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubmart.llm import ann, bpe, chunks, near_dups, packing, pii, quality, spotsigs, url_filter
+from pubmart.llm import ann, bpe, chunks, lm_score, near_dups, packing, pii, quality, spotsigs, url_filter
 from pubmart.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe, op10_nearest_neighbours)
+    f.__name__: f for f in (op1_lm_scores, op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe, op10_nearest_neighbours)
 }
 
 OP2_SQL = r"""
