@@ -71,7 +71,7 @@ def borders(data: bytes) -> np.ndarray:
 def digests(data: bytes) -> tuple[np.ndarray, list[bytes]]:
     """Ends of the chunks and their digests."""
     ends = borders(data)
-    starts = [0, *ends[:-1].tolist()]
+    starts = [0, *ends.tolist()][: len(ends)]
     return ends, [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts, ends.tolist(), strict=True)]
 
 

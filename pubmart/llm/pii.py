@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pubmart.llm.common import per_text, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 2
+REACH = 4
 ROUNDS = 250
 COPIES = 6
 SEED = 7

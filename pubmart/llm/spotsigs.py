@@ -227,3 +227,60 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     borders = lasts.join(turns, lasts["part"] == turns["before"]).select("doc_id", "text", turns["part"])
     borders = borders.join(firsts, "part").select("doc_id", "text", "after")
     return inner.unionByName(borders.mapInArrow(run, f"doc_id long, {_COLUMNS}"))
+
+
+def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of different ids whose fingerprints are at least ``least`` (over 0) alike.
+
+    A set meets the sets of its own and the next length partition only, and only through the
+    smallest signatures that a pair of this likeness must share (prefix filter); the rest of the
+    comparison is pruned by length. Rare signatures come first, so that a common chain is no hot key.
+    """
+    spark = docs.sparkSession
+    sets = staged(fingerprints(docs.where("doc_id is not null")).where("fingerprint <> ''").distinct(), "fingerprints")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, codes = [], []
+            for i, text in enumerate(batch.column("fingerprint").to_pylist()):
+                own = np.frombuffer(bytes.fromhex(text), dtype=">u4").astype(np.int64)
+                owners += [i] * len(own)
+                codes.append(own)
+            codes = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(owners, type=pa.int64())), pa.array(codes)], names=["doc_id", "code"]
+            )
+
+    bounded_batches(spark)
+    codes = sets.mapInArrow(spread, "doc_id long, code long")
+    frequent = codes.groupBy("code").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("n", "code")
+    size = F.count("*").over(Window.partitionBy("doc_id"))
+    heads = (
+        codes.join(frequent.where("n > 1"), "code", "left")
+        .select("doc_id", "code", F.coalesce("n", F.lit(1)).alias("n"))
+        .withColumn("place", F.row_number().over(order))
+        .withColumn("size", size)
+        .where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
+        .where("n > 1")
+        .withColumn("partition", F.floor(F.log(F.col("size").cast("double")) / -np.log(least)))
+    )
+    heads = staged(heads.select("doc_id", "code", "size", "partition"), "heads")
+    one = heads.select(F.col("doc_id").alias("a"), "code", F.col("size").alias("size_a"), F.explode(F.array("partition", F.col("partition") + 1, F.col("partition") - 1)).alias("partition"))
+    two = heads.select(F.col("doc_id").alias("b"), "code", F.col("size").alias("size_b"), "partition")
+    pairs = one.join(two, ["code", "partition"]).where(
+        (F.col("a") < F.col("b")) & (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b"))
+    ).select("a", "b").distinct()
+    left = sets.select(F.col("doc_id").alias("a"), F.col("fingerprint").alias("of_a"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("fingerprint").alias("of_b"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = lambda text: np.frombuffer(bytes.fromhex(text), dtype=">u4").astype(np.uint32)
+        for batch in batches:
+            near = [
+                likeness(read(x), read(y), least)
+                for x, y in zip(batch.column("of_a").to_pylist(), batch.column("of_b").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, type=pa.float64())], names=["a", "b", "near"])
+
+    return pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long, near double").where(F.col("near") >= least)
