@@ -14,7 +14,7 @@ GRAINS = {"Year": ("year", 12), "Quarter": ("quarter", 3), "Month": ("month", 1)
 
 def _grain(grain: str) -> tuple[str, int]:
     if grain not in GRAINS:
-        raise ValueError(f"Unsupported time grain: {grain}")
+        raise ValueError(f"{grain} is not a period; choose Year, Quarter or Month")
     return GRAINS[grain]
 
 

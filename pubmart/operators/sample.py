@@ -12,7 +12,6 @@ from pubmart.schemas import (
     ALLOWED_WORK_TYPES,
     CORPUS_SUBFIELD,
     SAMPLE_SEED,
-    SAMPLE_STRATUM_LIMIT,
     SAMPLE_TARGET,
     YEARS,
 )
@@ -56,6 +55,12 @@ def reject_reason(
     )
 
 
+def one_line_each(corpus: DataFrame) -> DataFrame:
+    """work_id, line_hash and publication_year: for each work its line of smallest hash."""
+    line = F.min(F.struct("line_hash", "publication_year")).alias("line")
+    return corpus.groupBy("work_id").agg(line).select("work_id", "line.*")
+
+
 def population_by_year(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy(F.col("publication_year").alias("year")).agg(F.count("*").alias("population"))
 
@@ -90,18 +95,19 @@ def allocate(population: DataFrame, target: int = SAMPLE_TARGET) -> DataFrame:
 
 
 def allocation_checks(
-    allocation: DataFrame, target: int = SAMPLE_TARGET, limit: int = SAMPLE_STRATUM_LIMIT
+    allocation: DataFrame, target: int = SAMPLE_TARGET, limit: int | None = None
 ) -> DataFrame:
+    """``limit``: most works of one year, where a service behind the sample has such a quota."""
     sums = allocation.agg(
         F.sum("population").alias("population"), F.sum("allocation").alias("allocation")
     )
-    return C.all_checks(
-        [
-            C.holds(sums, "target within population", "allocation", F.col("population") >= target),
-            C.holds(sums, "target reached", "allocation", F.col("allocation") == target),
-            C.holds(allocation, "stratum limit", "allocation", F.col("allocation") <= limit),
-        ]
-    )
+    checks = [
+        C.holds(sums, "target within population", "allocation", F.col("population") >= target),
+        C.holds(sums, "target reached", "allocation", F.col("allocation") == target),
+    ]
+    if limit is not None:
+        checks.append(C.holds(allocation, "stratum limit", "allocation", F.col("allocation") <= limit))
+    return C.all_checks(checks)
 
 
 _PREFIX = 4  # hex digits: 65,536 steps of the hash range
@@ -114,8 +120,9 @@ def sample_ids(
 
     A year may hold most of all works, so no year is sorted as a whole. Works are counted per
     year and hash prefix, which partial aggregates reduce to a small table; its running sum
-    gives the prefix at which each year is full. Only works up to that prefix, the sample and
-    one step more, are then ranked. Work ids must be unique, which ``sample_checks`` verifies.
+    gives the prefix at which each year is full. Works below that prefix are in, unranked; only
+    those that share it, one of 65,536 steps, are ranked for the places left. Work ids must be
+    unique, which ``sample_checks`` verifies.
     """
     year = F.col("publication_year")
     text = F.concat((year + seed).cast("string"), F.lit(":"), F.col(work_id))
@@ -129,12 +136,14 @@ def sample_ids(
         .join(sizes, "year")
         .where(F.col("running") - F.col("works") < F.col("allocation"))
         .groupBy("year", "allocation")
-        .agg(F.max("prefix").alias("cut"))
+        .agg(F.max("prefix").alias("cut"), F.max(F.col("running") - F.col("works")).alias("before"))
     )
-    candidates = hashed.join(full_at, "year").where(prefix <= F.col("cut")).distinct()
+    near = hashed.join(full_at, "year").where(prefix <= F.col("cut"))
+    below = near.where(prefix < F.col("cut")).select("year", work_id)
     rank = F.row_number().over(Window.partitionBy("year").orderBy("hash", work_id))
-    ranked = candidates.withColumn("rank", rank).where(F.col("rank") <= F.col("allocation"))
-    return ranked.select("year", work_id)
+    ranked = near.where(prefix == F.col("cut")).withColumn("rank", rank)
+    last = ranked.where(F.col("rank") <= F.col("allocation") - F.col("before")).select("year", work_id)
+    return below.unionAll(last)
 
 
 def stratified_sample(

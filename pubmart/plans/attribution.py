@@ -76,16 +76,21 @@ def parent_participation(
     return rows.select("publication_key", "calendar_year", "member").distinct()
 
 
+def leading(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first rows of an ordered frame; all of them without a limit."""
+    return rows if limit is None else rows.limit(limit)
+
+
 def hierarchy_output(
     wh: Warehouse,
     f: FilterState,
     method: str,
     dimension: str,
     level: str,
-    limit: int = 30,
+    limit: int | None = None,
     evolution: bool = False,
 ) -> DataFrame:
-    """The leading members of a hierarchy level, over the whole period or per year.
+    """Members of a hierarchy level, over the whole period or per year: all, or the ``limit`` leading.
 
     Full counts a publication once per member of the level even when several of its leaves
     belong to it. Fractional adds the leaf weights, which are never scaled up again after
@@ -113,14 +118,16 @@ def hierarchy_output(
     else:
         measure = M.stable(F.sum("fractional_weight"))
     members = rows.groupBy(*by).agg(measure.alias("publications"))
-    leaders = (
-        members.groupBy("member_id")
-        .agg(M.stable(F.sum("publications")).alias("total"))
-        .orderBy(F.desc("total"), "member_id")
-        .limit(limit)
-        .select("member_id")
-    )
+    if limit is not None:
+        leaders = (
+            members.groupBy("member_id")
+            .agg(M.stable(F.sum("publications")).alias("total"))
+            .orderBy(F.desc("total"), "member_id")
+            .limit(limit)
+            .select("member_id")
+        )
+        members = members.join(leaders, "member_id")
     order = [F.desc("publications"), F.asc("member_name")]
     if evolution:
         order.insert(0, F.asc_nulls_last("calendar_year"))
-    return members.join(leaders, "member_id").select(*by, "publications").orderBy(*order)
+    return members.select(*by, "publications").orderBy(*order)

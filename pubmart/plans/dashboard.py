@@ -16,6 +16,7 @@ from pubmart.plans.attribution import (
     fractional_count,
     full_count,
     hierarchy_output,
+    leading,
     member_label,
     member_totals,
 )
@@ -213,7 +214,7 @@ def _leading(rows: DataFrame, metric: str, *names: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last(metric), *[F.asc_nulls_last(name) for name in names])
 
 
-def country_output(wh: Warehouse, f: FilterState, method: str, limit: int = 500) -> DataFrame:
+def country_output(wh: Warehouse, f: FilterState, method: str, limit: int | None = None) -> DataFrame:
     rows = member_totals(wh, f, "country", [], publications=counted(method)).select(
         "country_code_iso2",
         "country_code_iso3",
@@ -223,10 +224,10 @@ def country_output(wh: Warehouse, f: FilterState, method: str, limit: int = 500)
         "has_indicator_data",
         "publications",
     )
-    return _leading(rows, "publications", "country_name", "country_code_iso2").limit(limit)
+    return leading(_leading(rows, "publications", "country_name", "country_code_iso2"), limit)
 
 
-def institution_output(wh: Warehouse, f: FilterState, method: str, limit: int = 100) -> DataFrame:
+def institution_output(wh: Warehouse, f: FilterState, method: str, limit: int | None = None) -> DataFrame:
     rows = member_totals(wh, f, "institution", [], publications=counted(method)).select(
         "institution_id",
         member_label(RELATIONS["institution"]).alias("institution_name"),
@@ -234,7 +235,7 @@ def institution_output(wh: Warehouse, f: FilterState, method: str, limit: int =
         "country_code_iso2",
         "publications",
     )
-    return _leading(rows, "publications", "institution_name", "institution_id").limit(limit)
+    return leading(_leading(rows, "publications", "institution_name", "institution_id"), limit)
 
 
 def institution_evolution(
@@ -262,31 +263,31 @@ def institution_evolution(
 
 
 def topic_output(
-    wh: Warehouse, f: FilterState, method: str, level: str = "Topic", limit: int = 30
+    wh: Warehouse, f: FilterState, method: str, level: str = "Topic", limit: int | None = None
 ) -> DataFrame:
     return hierarchy_output(wh, f, method, "topic", level, limit)
 
 
 def topic_evolution(
-    wh: Warehouse, f: FilterState, method: str, level: str = "Subfield", limit: int = 8
+    wh: Warehouse, f: FilterState, method: str, level: str = "Subfield", limit: int | None = None
 ) -> DataFrame:
     return hierarchy_output(wh, f, method, "topic", level, limit, evolution=True)
 
 
 def regional_output(wh: Warehouse, f: FilterState, method: str) -> DataFrame:
-    rows = hierarchy_output(wh, f, method, "country", "Region", limit=50)
+    rows = hierarchy_output(wh, f, method, "country", "Region")
     return rows.select(F.col("member_name").alias("region"), "publications")
 
 
 def institution_type_output(wh: Warehouse, f: FilterState, method: str) -> DataFrame:
-    rows = hierarchy_output(wh, f, method, "institution", "Type", limit=50)
+    rows = hierarchy_output(wh, f, method, "institution", "Type")
     return rows.select(F.col("member_name").alias("institution_type"), "publications")
 
 
 # ---- sources, types and citations ----------------------------------------------------
 
 
-def source_output(wh: Warehouse, f: FilterState, limit: int | None = 30) -> DataFrame:
+def source_output(wh: Warehouse, f: FilterState, limit: int | None = None) -> DataFrame:
     """Sources by publications; publications without a source form one row."""
     publications = filtered_publications(wh, f)
     rows = (
@@ -301,7 +302,7 @@ def source_output(wh: Warehouse, f: FilterState, limit: int | None = 30) -> Data
         )
     )
     rows = _leading(rows, "publications", "source_name", "source_id")
-    return rows if limit is None else rows.limit(limit)
+    return leading(rows, limit)
 
 
 def source_type_output(wh: Warehouse, f: FilterState) -> DataFrame:
@@ -347,14 +348,14 @@ def citation_distribution(wh: Warehouse, f: FilterState) -> DataFrame:
 
 
 def citation_ranking(
-    wh: Warehouse, f: FilterState, dimension: str, method: str = FULL, limit: int = 20
+    wh: Warehouse, f: FilterState, dimension: str, method: str = FULL, limit: int | None = None
 ) -> DataFrame:
     """Citation snapshots by one dimension. Types have no bridge, so the method is ignored."""
     if dimension in ("Publication type", "Source type"):
-        return _citations_by_type(wh, f, dimension).limit(limit)
+        return leading(_citations_by_type(wh, f, dimension), limit)
     relation = RELATIONS.get(dimension.lower())
     if relation is None or dimension != dimension.capitalize():
-        raise ValueError(f"Unsupported citation dimension: {dimension}")
+        raise ValueError(f"No citations by {dimension}; choose a relation or a type")
     check_method(method)
     cited = F.col("citation_count")
     citations = (
@@ -367,7 +368,7 @@ def citation_ranking(
     )
     rows = rows.withColumn("member_name", member_label(relation))
     rows = _leading(rows, "cumulative_citations", "member_name", relation.key)
-    return rows.select("member_name", "cumulative_citations", "publications").limit(limit)
+    return leading(rows.select("member_name", "cumulative_citations", "publications"), limit)
 
 
 def _citations_by_type(wh: Warehouse, f: FilterState, dimension: str) -> DataFrame:
@@ -496,7 +497,7 @@ def country_group_capacity(wh: Warehouse, f: FilterState, hierarchy: str = "Regi
     """Output and capacity of regions or income levels, zero-output countries included."""
     parents = {"Region": "region_name", "Income level": "income_level_name"}
     if hierarchy not in parents:
-        raise ValueError(f"Unsupported country hierarchy: {hierarchy}")
+        raise ValueError(f"Countries are not grouped by {hierarchy}")
     predicate = country_members(f)
     countries = wh.dim_country if predicate is None else wh.dim_country.where(predicate)
     panel = wh.fact_country_year

@@ -183,9 +183,9 @@ def paired_changes(wh: Warehouse, f: FilterState, view: str) -> DataFrame:
 
 
 def topic_shares(
-    wh: Warehouse, f: FilterState, method: str = FRACTIONAL, level: str = "Subfield", limit: int = 8
+    wh: Warehouse, f: FilterState, method: str = FRACTIONAL, level: str = "Subfield", limit: int | None = None
 ) -> DataFrame:
-    """Evolution of the leading members of a level as shares of each year."""
+    """Evolution of the members of a level, or of the leading ones, as shares of each year."""
     return topic_annual_shares(
         D.topic_evolution(wh, f, method, level, limit), D.publications_by_year(wh, f)
     )

@@ -21,6 +21,8 @@ from pubmart.plans.reconcile import (
 )
 from pubmart.plans.warehouse import Warehouse
 from pubmart.schemas import (
+    ALLOWED_WORK_TYPES,
+    CORPUS_SUBFIELD,
     COUNTRY_RECORD,
     END_YEAR,
     INDICATOR_RECORD,
@@ -229,46 +231,75 @@ def extract_sample(
     target: int = SAMPLE_TARGET,
     seed: int = SAMPLE_SEED,
     years=YEARS,
+    stratum_limit: int | None = None,
 ) -> DataFrame:
-    """An exact year-stratified sample of qualifying raw works, with its manifest."""
+    """An exact year-stratified sample of qualifying raw works, with its manifest.
+
+    A work with several qualifying lines is drawn once, with the line of smallest hash. The
+    published lines are those of the chosen rows; they are read back, and the checks and the
+    manifest come from what was read.
+    """
     release = Release(spark, root)
-    lines = json_lines(spark, works_path)
-    works = release.stage("works", typed_works(lines))
-    corpus = works.where(S.in_corpus(years))
-    population = release.stage("population", S.population_by_year(corpus))
+    works = _stage_records(release, "works", typed_works(json_lines(spark, works_path), "value"))
+    corpus = works.where(S.in_corpus(years)).withColumn("line_hash", F.sha2("value", 256))
+    unique = release.stage("corpus", S.one_line_each(corpus))
+    population = release.stage("population", S.population_by_year(unique))
     C.require(S.population_checks(population, years))
     allocation = release.stage("allocation", S.allocate(population, target))
-    C.require(S.allocation_checks(allocation, target))
-    ids = release.stage("sample_ids", S.sample_ids(corpus, allocation, seed))
-    sample = corpus.join(ids.select("work_id"), "work_id", "left_semi")
-    C.require(S.sample_checks(sample, allocation, target, years=years))
+    C.require(S.allocation_checks(allocation, target, stratum_limit))
+    ids = release.stage("sample_ids", S.sample_ids(unique, allocation, seed))
 
-    chosen = lines.withColumn("work_id", F.trim(F.get_json_object("value", "$.id"))).join(
-        ids.select("work_id"), "work_id", "left_semi"
-    )
     at = table_path(root, release.version, "{}")
-    chosen.orderBy("work_id").select("value").write.mode("overwrite").text(at.format("sample"))
+    chosen = corpus.join(unique.join(ids, "work_id", "left_semi"), ["work_id", "line_hash"], "left_semi")
+    lines = chosen.select("work_id", "value").dropDuplicates(["work_id"])
+    lines.orderBy("work_id").select("value").write.mode("overwrite").text(at.format("sample"))
     written = spark.read.text(at.format("sample"))
-    sinks.write_document(sample_manifest(written, population, allocation, target, seed), at.format("manifest"))
+    read_back = _stage_records(release, "sample_read", typed_works(json_lines(spark, at.format("sample"))))
+    C.require(S.sample_checks(read_back, allocation, target, years=years))
+    copies = corpus.agg((F.count("*") - F.countDistinct("work_id")).alias("n")).scalar()
+    sinks.write_document(
+        sample_manifest(written, read_back, population, allocation, target, seed, years).withColumn(
+            "further_lines_of_chosen_corpus", copies
+        ),
+        at.format("manifest"),
+    )
     release.publish()
     return written
 
 
 def sample_manifest(
-    lines: DataFrame, population: DataFrame, allocation: DataFrame, target: int, seed: int
+    lines: DataFrame,
+    sample: DataFrame,
+    population: DataFrame,
+    allocation: DataFrame,
+    target: int,
+    seed: int,
+    years=YEARS,
 ) -> DataFrame:
-    """Method, sizes and row digest of a drawn sample as one row."""
-    return sinks.rows_digest(lines).select(
+    """Method of a sample and what its written lines, read back as ``sample``, hold: one row."""
+    drawn = sample.groupBy(F.col("publication_year").alias("year")).agg(F.count("*").alias("works"))
+    drawn = drawn.withColumn("seed", F.col("year") + seed)
+    rejected = F.count_if(S.reject_reason(years).isNotNull())
+    measured = sample.agg(
+        F.count("*").alias("actual_total"),
+        (F.count("*") - F.countDistinct("work_id")).alias("duplicate_count"),
+        rejected.alias("guardrail_failures"),
+    )
+    complete = (F.col("actual_total") == target) & (F.col("duplicate_count") == 0) & (F.col("guardrail_failures") == 0)
+    return measured.crossJoin(sinks.rows_digest(lines)).select(
         F.lit(target).alias("target_sample_size"),
         F.lit(seed).alias("seed"),
         F.lit("seed + publication year").alias("annual_seed_strategy"),
         F.lit("proportional by year, largest remainder, earlier year first").alias("allocation_method"),
+        F.lit(CORPUS_SUBFIELD).alias("subfield"),
+        F.array(*[F.lit(t) for t in ALLOWED_WORK_TYPES]).alias("allowed_types"),
         _entries(population, "year", "population").alias("population_by_year"),
         population.agg(F.sum("population").alias("n")).scalar().alias("qualifying_population"),
         _entries(allocation, "year", "allocation").alias("allocation_by_year"),
-        F.col("row_count").alias("actual_total"),
-        F.lit(0).alias("duplicate_count"),
-        F.lit(0).alias("guardrail_failures"),
+        _entries(drawn, "year", "works", "seed").alias("actual_by_year"),
+        "actual_total",
+        "duplicate_count",
+        "guardrail_failures",
         "digest",
-        F.lit(True).alias("complete"),
+        complete.alias("complete"),
     )

@@ -21,7 +21,6 @@ CORPUS_SUBFIELD = "1702"
 ALLOWED_WORK_TYPES = ("article", "review", "conference-paper", "preprint", "book", "book-chapter")
 SAMPLE_TARGET = 50_000
 SAMPLE_SEED = 20_260_910
-SAMPLE_STRATUM_LIMIT = 10_000
 
 INDICATORS = {
     "population": "SP.POP.TOTL",

@@ -151,9 +151,9 @@ def _work_problems() -> Column:
     )
 
 
-def typed_works(lines: DataFrame) -> DataFrame:
-    """Typed columns and broken rules of JSON works. Topics keep their order; authors are
-    flattened."""
+def typed_works(lines: DataFrame, *more: str) -> DataFrame:
+    """Typed columns and broken rules of JSON works, and ``more`` columns of the lines. Topics
+    keep their order; authors are flattened."""
     works = parsed(lines, WORK_RECORD).withColumn(
         "kinds", F.schema_of_variant(F.try_parse_json("value"))
     )
@@ -198,6 +198,7 @@ def typed_works(lines: DataFrame) -> DataFrame:
             F.transform(authors, lambda a: F.transform(_entries(a["institutions"]), institution))
         ).alias("institutions"),
         _work_problems().alias("problems"),
+        *more,
     )
 
 

@@ -45,7 +45,7 @@ def register(registry: Registry) -> None:
     for method, s in ((FULL, PERIOD), (FRACTIONAL, EVERYTHING)):
         add(
             f"topic_shares_{method.lower()}",
-            on(V.topic_shares, s, method),
+            on(V.topic_shares, s, method, "Subfield", 8),
             s.sql(
                 *hierarchy_ctes(s, method, "topic", "Subfield", 8, True),
                 _TREND,

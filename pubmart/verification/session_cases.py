@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pubmart.plans import sessions as S
 from pubmart.verification.case import Registry
+from pubmart.verification.dashboard_cases import dense_growth
 from pubmart.verification.roles import ROLE_SQL, role_warehouse
 
 FIRST, LAST = 1995, 2001
@@ -18,16 +19,10 @@ def _on(query, *args, **kwargs):
     return lambda spark, sf_dir: query(role_warehouse(spark, sf_dir), *args, **kwargs)
 
 
-def _dense(unit: str, months: int, first: int, last: int) -> str:
+def _dense(months: int, first: int, last: int) -> str:
+    ctes, select = dense_growth(months, "picked")
     return _sql(
-        f"picked AS (SELECT * FROM fact_publication WHERE calendar_year BETWEEN {first} AND {last})",
-        f"bounds AS (SELECT date_trunc('{unit}', min(full_date)) AS a, date_trunc('{unit}', max(full_date)) AS b FROM picked)",
-        f"periods AS (SELECT unnest(generate_series(a, b, INTERVAL {months} MONTH))::DATE AS period FROM bounds)",
-        f"counts AS (SELECT date_trunc('{unit}', full_date)::DATE AS period, count(*) AS n FROM picked GROUP BY 1)",
-        "series AS (SELECT period, coalesce(n, 0) AS publications FROM periods LEFT JOIN counts USING (period))",
-        select="SELECT period::VARCHAR AS period, publications::BIGINT AS publications, "
-        "round(100e0 * (publications - lag(publications) OVER (ORDER BY period)) "
-        "/ nullif(lag(publications) OVER (ORDER BY period), 0), 6) AS period_growth_pct FROM series",
+        f"picked AS (SELECT full_date FROM fact_publication WHERE calendar_year BETWEEN {first} AND {last})", *ctes, select=select
     )
 
 
@@ -85,8 +80,8 @@ def register(registry: Registry) -> None:
             "/ nullif(lag(n) OVER (ORDER BY calendar_year), 0), 6) AS year_over_year_growth_pct FROM counts",
         ),
     )
-    add("quarterly_growth", _on(S.quarterly_growth, 1998, LAST), _dense("quarter", 3, 1998, LAST))
-    add("monthly_growth", _on(S.monthly_growth, 2000, 2000), _dense("month", 1, 2000, 2000))
+    add("quarterly_growth", _on(S.quarterly_growth, 1998, LAST), _dense(3, 1998, LAST))
+    add("monthly_growth", _on(S.monthly_growth, 2000, 2000), _dense(1, 2000, 2000))
     add(
         "type_by_year",
         _on(S.type_by_year, FIRST, LAST),
@@ -146,26 +141,22 @@ def register(registry: Registry) -> None:
         "income_level_gap",
         _on(S.income_level_gap, FIRST, LAST + 1),
         _sql(
-            f"picked AS (SELECT * FROM fact_publication WHERE calendar_year BETWEEN {FIRST} AND {LAST + 1})",
-            "output AS (SELECT country_key, calendar_year, round(sum(fractional_weight), 9) AS fr FROM picked "
-            "JOIN bridge_publication_country USING (publication_key) GROUP BY 1, 2)",
-            "full_output AS (SELECT income_level_name AS income_level, calendar_year, count(DISTINCT publication_key) AS n "
-            "FROM picked JOIN bridge_publication_country USING (publication_key) JOIN dim_country USING (country_key) "
-            f"WHERE income_level_name IN {_INCOME} GROUP BY 1, 2)",
-            f"years AS (SELECT unnest(range({FIRST}, {LAST + 2})) AS calendar_year)",
-            "grid AS (SELECT income_level_name AS income_level, y.calendar_year, coalesce(fr, 0) AS fr, population "
-            "FROM dim_country c CROSS JOIN years y LEFT JOIN output o ON o.country_key = c.country_key AND o.calendar_year = y.calendar_year "
-            "LEFT JOIN fact_country_year f ON f.country_key = c.country_key AND f.year = y.calendar_year "
-            f"WHERE income_level_name IN {_INCOME})",
-            "levels AS (SELECT income_level, calendar_year, round(sum(fr), 9) AS fr, round(sum(fr) FILTER (WHERE population > 0), 9) AS matched, "
-            "sum(population) FILTER (WHERE population > 0) AS people, count(*) AS countries, "
-            "count(*) FILTER (WHERE population > 0) AS population_countries FROM grid GROUP BY 1, 2)",
-            "totals AS (SELECT calendar_year, round(sum(fr), 9) AS total FROM levels GROUP BY 1)",
-            select="""SELECT calendar_year, income_level, coalesce(n, 0)::BIGINT AS full_publications, round(fr, 3) AS fractional_publications,
-              round(total, 3) AS annual_known_fractional_publications, round(100 * fr / nullif(total, 0), 2) AS fractional_share_pct,
-              round(matched, 3) AS matched_fractional_publications, people::BIGINT AS matched_population,
-              round(1e6 * matched / nullif(people, 0), 3) AS publications_per_million, countries, population_countries
-            FROM levels JOIN totals USING (calendar_year) LEFT JOIN full_output USING (income_level, calendar_year)""",
+            f"""cell AS (SELECT c.country_key, c.income_level_name AS level, y AS year,
+              coalesce((SELECT round(sum(w.fractional_weight), 9) FROM fact_publication p JOIN bridge_publication_country w USING (publication_key)
+                WHERE w.country_key = c.country_key AND p.calendar_year = y), 0) AS own,
+              (SELECT max(i.population) FROM fact_country_year i WHERE i.country_key = c.country_key AND i.year = y AND i.population > 0) AS people
+              FROM dim_country c, (SELECT unnest(range({FIRST}, {LAST + 2})) AS y) WHERE c.income_level_name IN {_INCOME})""",
+            """heard AS (SELECT DISTINCT c.income_level_name AS level, calendar_year AS year, publication_key FROM fact_publication
+              JOIN bridge_publication_country USING (publication_key) JOIN dim_country c USING (country_key))""",
+            """level_year AS (SELECT level, year, round(sum(own), 9) AS own, round(sum(own * (people IS NOT NULL)::INT), 9) AS beside_people,
+              sum(people) AS people, count(*) AS countries, count(people) AS population_countries FROM cell GROUP BY level, year)""",
+            select="""SELECT year AS calendar_year, level AS income_level,
+              (SELECT count(*) FROM heard h WHERE h.level = l.level AND h.year = l.year) AS full_publications,
+              round(own, 3) AS fractional_publications,
+              round(sum(own) OVER (PARTITION BY year), 3) AS annual_known_fractional_publications,
+              round(100 * own / nullif(round(sum(own) OVER (PARTITION BY year), 9), 0), 2) AS fractional_share_pct,
+              round(CASE WHEN people IS NOT NULL THEN beside_people END, 3) AS matched_fractional_publications, people::BIGINT AS matched_population,
+              round(1e6 * beside_people / people, 3) AS publications_per_million, countries, population_countries FROM level_year l""",
         ),
     )
     add(

@@ -13,8 +13,8 @@ from pubmart.operators import reshape as R
 from pubmart.operators import sample as S
 from pubmart.operators.keys import ordered_keys
 from pubmart.operators.merge import merge_entities
-from pubmart.plans.load import extract_panel, extract_sample, load_reconciled, read_manifest
-from pubmart.schemas import COUNTRY_RECORD, INDICATORS, YEARS
+from pubmart.plans.load import extract_panel, extract_sample, load_reconciled, read_manifest, sample_manifest
+from pubmart.schemas import COUNTRY_RECORD, INDICATORS, SAMPLE_SEED, YEARS
 from pubmart.sources import landed as L
 from pubmart.sources import sinks
 from pubmart.sources.records import read_works
@@ -34,7 +34,9 @@ def test_allocation(spark):
     allocation = S.allocate(population)
     assert {r.year: r.allocation for r in allocation.collect()} == SHARES
     assert violations(S.allocation_checks(allocation)) == {}
-    assert violations(S.allocation_checks(S.allocate(population, 80_000), 80_000)) == {"stratum limit": 3}
+    assert violations(S.allocation_checks(S.allocate(population, 80_000), 80_000)) == {}
+    limited = S.allocation_checks(S.allocate(population, 80_000), 80_000, limit=10_000)
+    assert violations(limited) == {"stratum limit": 3}
     too_many = S.allocation_checks(S.allocate(population, 2_000_000), 2_000_000)
     assert "target within population" in violations(too_many)
     assert violations(S.population_checks(population.where("year <> 2020"))) == {"stratum not empty": 1}
@@ -111,16 +113,60 @@ def test_bad_sample_keeps_the_published_version(spark, tmp_path, write_lines):
     extract_sample(spark, write_lines("a.jsonl", sample_records()), root, target=4, years=(2018, 2019))
     # The only work of a stratum names no related topic: the corpus filter keeps it, a guardrail not.
     unrelated = [*sample_records()[:4], work(5, "2019-05-01", topics=[topic(2, "Language")])]
-    with pytest.raises(C.CheckFailed, match="guardrails"):
+    with pytest.raises(C.CheckFailed, match="absent from topics .1."):
         extract_sample(spark, write_lines("b.jsonl", unrelated), root, target=5, years=(2018, 2019))
     with pytest.raises(C.CheckFailed, match="stratum not empty"):
         extract_sample(spark, write_lines("c.jsonl", sample_records()), root, target=4, years=(2018, 2020))
     copies = [*sample_records(), work(0, "2018-05-01")]
-    with pytest.raises(C.CheckFailed, match="duplicate key|sample size"):
+    with pytest.raises(C.CheckFailed, match="target within population"):
         extract_sample(spark, write_lines("d.jsonl", copies), root, target=7, years=(2018, 2019))
     assert current_version(spark, root) == 1
 
 
+def test_sample_of_works_with_copies(spark, tmp_path, write_lines):
+    retracted = [{**r, "is_retracted": True} for r in sample_records()]
+    again = {**sample_records()[0], "title": "Work 0 again", "display_name": "Work 0 again"}
+    tab = {**work(7, "2019-05-02"), "id": "\thttps://ids.example/W7 "}
+    records = [*sample_records(), *retracted, sample_records()[1], again, tab]
+    root = str(tmp_path / "sample")
+    lines = extract_sample(spark, write_lines("w.jsonl", records), root, target=7, years=(2018, 2019))
+    found = [json.loads(r.value) for r in lines.collect()]
+    assert sorted(r["id"].strip()[-2:] for r in found) == [f"W{i}" for i in (0, 1, 2, 3, 4, 5, 7)]
+    assert not any(r["is_retracted"] for r in found)
+    manifest = spark.read.json(table_path(root, 1, "manifest")).first()
+    assert (manifest.actual_total, manifest.qualifying_population, manifest.further_lines_of_chosen_corpus) == (7, 7, 2)
+    assert manifest.complete and {(y.year, y.works, y.seed) for y in manifest.actual_by_year} == {
+        (2018, 4, SAMPLE_SEED + 2018),
+        (2019, 3, SAMPLE_SEED + 2019),
+    }
+
+
+def test_sample_names_bad_lines(spark, tmp_path, write_lines):
+    root = str(tmp_path / "sample")
+    records = [*sample_records(), "{broken", {**work(8, "2018-01-01"), "cited_by_count": "many"}]
+    with pytest.raises(C.CheckFailed, match="2 of 8 works records.*malformed JSON object"):
+        extract_sample(spark, write_lines("w.jsonl", records), root, target=4, years=(2018, 2019))
+    assert current_version(spark, root) == 0
+
+
+def test_manifest_counts_what_the_lines_hold(spark, write_lines):
+    records = [*sample_records()[:3], sample_records()[2], work(8, "2018-02-02", is_retracted=True)]
+    path = write_lines("w.jsonl", records)
+    population = spark.createDataFrame([(2018, 9)], "year INT, population BIGINT")
+    allocation = spark.createDataFrame([(2018, 5)], "year INT, allocation BIGINT")
+    row = sample_manifest(spark.read.text(path), read_works(spark, path), population, allocation, 5, 1, (2018,)).first()
+    assert (row.actual_total, row.duplicate_count, row.guardrail_failures, row.complete) == (5, 1, 1, False)
+
+
+def test_large_strata_are_sampled(spark):
+    corpus = spark.range(60_000).selectExpr("concat('W', id) AS work_id", "2018 + cast(id % 2 AS INT) AS publication_year")
+    allocation = S.allocate(S.population_by_year(corpus), 40_000)
+    assert violations(S.allocation_checks(allocation, 40_000)) == {}
+    ids = S.sample_ids(corpus, allocation, seed=3)
+    assert {(r.year, r["count"]) for r in ids.groupBy("year").count().collect()} == {(2018, 20_000), (2019, 20_000)}
+    assert ids.distinct().count() == 40_000
+
+
 def page(number: int, pages: int, total, records) -> str:
     return json.dumps([{"page": number, "pages": pages, "per_page": 2, "total": total}, records])
 
