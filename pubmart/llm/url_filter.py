@@ -34,9 +34,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 HASHES = 7
-LATER_HASHES = 1
+LATER_HASHES = 5
 BITS_PER_KEY = 10
-LATER_BITS_PER_KEY = 1.5
+LATER_BITS_PER_KEY = 8
 WORD = 64
 MOST_BITS = 1 << 31
 
