@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pubmart.functions.text import clean_text, is_country_code
 
-DECIMAL = "decimal(38,12)"
+# 20 digits before and 18 after the point: doubles of ordinary size keep all their digits.
+DECIMAL = "decimal(38,18)"
 
 
 def kind(leaf: Column) -> Column:
@@ -27,6 +28,12 @@ def decimal(leaf: Column) -> Column:
     return F.try_variant_get(leaf, "$", DECIMAL)
 
 
+def inexact(leaf: Column) -> Column:
+    """A number that ``decimal`` cannot hold: too large, or with digits beyond the last place."""
+    held, given = decimal(leaf), F.try_variant_get(leaf, "$", "double")
+    return given.isNotNull() & ~held.cast("double").eqNullSafe(given)
+
+
 def not_text(leaf: Column) -> Column:
     return ~kind(leaf).isin("STRING", "VOID")
 

@@ -87,6 +87,8 @@ def work_value_rules(r: Column) -> dict[str, Column]:
     return {
         "id is missing": clean_text(r["id"]).isNull(),
         "title differs from display_name": clean_text(r["title"]) != clean_text(r["display_name"]),
+        "publication_year is out of range": r["publication_year"].isNotNull()
+        & r["publication_year"].try_cast("int").isNull(),
         "cited_by_count is negative": r["cited_by_count"] < 0,
         "publication_date is not a date": date_text.isNotNull() & ~well_dated,
         "publication_date and publication_year differ": F.year(day) != r["publication_year"],
@@ -211,14 +213,20 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
 _PANEL_TEXTS = ("country_name", "region_id", "region_name", "income_level_id", "income_level_name")
 
 
+def _people(r: Column) -> Column:
+    return F.round(X.decimal(r["population"]), 0).try_cast("bigint")
+
+
 def panel_rules(r: Column) -> dict[str, Column]:
     rules = {
         "country_code_iso2": X.not_code(r["country_code_iso2"], 2),
         "country_code_iso3": X.not_code(r["country_code_iso3"], 3),
-        "year": X.not_integer(r["year"]) | X.integer(r["year"]).isNull(),
+        "year": X.not_integer(r["year"]) | X.integer(r["year"]).try_cast("int").isNull(),
+        "population is out of range": _people(r).isNull() & X.decimal(r["population"]).isNotNull(),
     }
     rules.update({name: X.not_text(r[name]) for name in _PANEL_TEXTS})
     rules.update({name: X.not_number(r[name]) for name in MEASURES})
+    rules.update({f"{name} cannot be held exactly": X.inexact(r[name]) for name in MEASURES})
     return rules
 
 
@@ -226,13 +234,13 @@ def typed_panel(lines: DataFrame) -> DataFrame:
     """Typed columns and broken rules of JSON panel records."""
     r = F.col("record")
     measures = {name: X.decimal(r[name]) for name in MEASURES}
-    measures["population"] = F.round(measures["population"], 0).cast("bigint")
+    measures["population"] = _people(r)
     found = F.when(F.col("malformed"), F.array(F.lit(MALFORMED))).otherwise(X.problems(panel_rules(r)))
     return parsed(lines, PANEL_RECORD).select(
         X.text(r["country_code_iso2"]).alias("country_code_iso2"),
         X.text(r["country_code_iso3"]).alias("country_code_iso3"),
         *[X.text(r[name]).alias(name) for name in _PANEL_TEXTS],
-        X.integer(r["year"]).cast("int").alias("year"),
+        X.integer(r["year"]).try_cast("int").alias("year"),
         *[value.alias(name) for name, value in measures.items()],
         found.alias("problems"),
     )

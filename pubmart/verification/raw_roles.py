@@ -153,6 +153,36 @@ def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.explode("problems").alias("problem")).groupBy("problem").count()
 
 
+def broken_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of the raw works after every 40th record of four kinds was damaged."""
+    k = F.regexp_extract("value", r"/W(\d+)", 1).cast("bigint")
+
+    def damaged(kind: int, pattern: str, text: str) -> Column:
+        return F.when(F.col("kind") == kind, F.regexp_replace("value", pattern, text))
+
+    value = F.coalesce(
+        damaged(0, ".{5}$", ""),
+        damaged(1, '"display_name":" Title [0-9]+ "', '"display_name":5'),
+        damaged(2, '"cited_by_count":', '"cited_by_count":-1,"cited_before":'),
+        damaged(3, '"publication_year":', '"publication_year":99999999999,"year_before":'),
+        F.col("value"),
+    )
+    lines = raw_works(spark, sf_dir).withColumn("kind", k % 40).select(value.alias("value"))
+    # staged first: an explode on the parsing projection would parse each record again
+    typed = _staged(spark, sf_dir, "broken works", lambda: typed_works(lines).select("problems"))
+    return typed.select(F.explode("problems").alias("problem")).groupBy("problem").count()
+
+
+BROKEN_SQL = """WITH damaged AS (
+  SELECT o_orderkey AS k, o_orderkey % 40 AS kind, CASE WHEN o_orderkey % 89 = 0 THEN 2 ELSE 1 END AS copies FROM orders)
+SELECT problem, sum(copies)::BIGINT AS count FROM (
+  SELECT copies, CASE kind WHEN 0 THEN ['malformed JSON object']
+    WHEN 1 THEN CASE WHEN k % 7 = 0 THEN ['display_name is not text'] ELSE ['display_name is not text', 'title differs from display_name'] END
+    WHEN 2 THEN CASE WHEN k % 97 = 0 THEN [] ELSE ['cited_by_count is negative'] END
+    WHEN 3 THEN CASE WHEN k % 101 = 0 THEN [] ELSE ['publication_year is out of range', 'publication_date and publication_year differ'] END
+    ELSE [] END AS problems FROM damaged), unnest(problems) AS u(problem) GROUP BY problem"""
+
+
 def role_reconciled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     tables = reconcile(
         typed_role_works(spark, sf_dir), typed_role_panel(spark, sf_dir), place_policy(spark)

@@ -9,7 +9,7 @@ from pubmart.plans import gates
 from pubmart.plans.reconcile import coverage_summary
 from pubmart.schemas import RECONCILED, WAREHOUSE
 from pubmart.verification.case import Registry
-from pubmart.verification.raw_roles import RAW_SQL, record_problems, role_reconciled
+from pubmart.verification.raw_roles import BROKEN_SQL, RAW_SQL, broken_works, record_problems, role_reconciled
 
 _TYPES = {
     "publication_date": "publication_date::VARCHAR",
@@ -121,6 +121,7 @@ def register(registry: Registry) -> None:
         record_problems,
         "SELECT NULL::VARCHAR AS problem, 0::BIGINT AS count WHERE false",
     )
+    add("broken_works", broken_works, BROKEN_SQL)
     for name, columns in WAREHOUSE.items():
         add(
             f"build_{name}",

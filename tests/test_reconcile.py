@@ -96,6 +96,7 @@ BROKEN_WORKS = [
     ({"title": 5, "display_name": None}, "title is not text"),
     ({"title": "Another title"}, "title differs from display_name"),
     ({"id": "  "}, "id is missing"),
+    ({"publication_year": 99999999999, "publication_date": None}, "publication_year is out of range"),
     ({"cited_by_count": -1}, "cited_by_count is negative"),
     ({"cited_by_count": 1.5}, "cited_by_count is not an integer"),
     ({"cited_by_count": True}, "cited_by_count is not an integer"),
@@ -157,6 +158,20 @@ def test_broken_panel_records(spark, write_lines):
     assert [row.problems for row in rows] == [[name] for name in changes]
 
 
+def test_numbers_are_kept_or_named(spark, write_lines):
+    kept = {"internet_users_pct": 1e-14, "rd_expenditure_pct_gdp": 1.1234567890123456, "gdp_current_usd": 123456789012.25}
+    lost = {"gdp_current_usd": 1e27, "internet_users_pct": 1e-19}
+    records = [{**cell("DE", 2022, 1), **kept}, {**cell("DE", 2023, 1), **lost}, {**cell("DE", 2024, 1), "year": 99999999999}]
+    records.append({**cell("DE", 2025, 1), "population": 1e19})
+    first, *others = read_panel(spark, write_lines("panel.jsonl", records)).collect()
+    assert first.problems == [] and {name: float(first[name]) for name in kept} == kept
+    assert [row.problems for row in others] == [
+        [f"{name} cannot be held exactly" for name in ("gdp_current_usd", "internet_users_pct")],
+        ["year"],
+        ["population is out of range"],
+    ]
+
+
 def test_panel_keys(load):
     with pytest.raises(CheckFailed, match="duplicate key on r_country_year_indicator"):
         load(core_works(), [*CORE_CELLS, cell("IT", 2022, 5)])
