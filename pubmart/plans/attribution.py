@@ -24,7 +24,7 @@ def full_count() -> Column:
 
 
 def fractional_count() -> Column:
-    return M.stable(F.sum(F.col("publication_count") * F.col("fractional_weight")))
+    return M.stable(M.exact_sum(F.col("publication_count") * F.col("fractional_weight")))
 
 
 def counted(method: str) -> Column:
@@ -116,12 +116,12 @@ def hierarchy_output(
         rows = rows.select("publication_key", "raw_name", "calendar_year", *by[:2]).distinct()
         measure = F.count("*").cast("double")
     else:
-        measure = M.stable(F.sum("fractional_weight"))
+        measure = M.stable(M.exact_sum(F.col("fractional_weight")))
     members = rows.groupBy(*by).agg(measure.alias("publications"))
     if limit is not None:
         leaders = (
             members.groupBy("member_id")
-            .agg(M.stable(F.sum("publications")).alias("total"))
+            .agg(M.stable(M.exact_sum(F.col("publications"))).alias("total"))
             .orderBy(F.desc("total"), "member_id")
             .limit(limit)
             .select("member_id")

@@ -361,7 +361,7 @@ def citation_ranking(
     citations = (
         F.sum(cited).cast("double")
         if method == FULL
-        else M.stable(F.sum(cited * F.col("fractional_weight")))
+        else M.stable(M.exact_sum(cited * F.col("fractional_weight")))
     )
     rows = member_totals(
         wh, f, relation.name, [], cumulative_citations=citations, publications=counted(method)

@@ -250,12 +250,12 @@ def group_year(
     fractional = F.coalesce("fractional_publications", F.lit(0.0))
     peopled, moneyed = F.col("population") > 0, F.col("gdp_current_usd") > 0
     groups = cells.groupBy("member", "calendar_year").agg(
-        M.stable(F.sum(fractional)).alias("fractional_publications"),
+        M.stable(M.exact_sum(fractional)).alias("fractional_publications"),
         F.sum("population").alias("population"),
         F.sum("gdp_current_usd").alias("gdp_current_usd"),
-        M.stable(F.sum(F.when(peopled, fractional))).alias("matched_fractional_publications"),
+        M.stable(M.exact_sum(F.when(peopled, fractional))).alias("matched_fractional_publications"),
         F.sum(F.when(peopled, F.col("population"))).alias("matched_population"),
-        M.stable(F.sum(F.when(moneyed, fractional))).alias("gdp_fractional_publications"),
+        M.stable(M.exact_sum(F.when(moneyed, fractional))).alias("gdp_fractional_publications"),
         F.sum(F.when(moneyed, F.col("gdp_current_usd"))).alias("matched_gdp"),
         F.count("*").alias("countries"),
         F.count_if(peopled).alias("population_countries"),
@@ -293,7 +293,7 @@ def income_level_gap(
     countries = wh.dim_country.where(F.col("income_level_name").isin(list(groups)))
     years = literal_years(range(first, last + 1))
     rows = group_year(wh, FilterState(first, last), "income_level_name", countries, years)
-    annual = F.sum("fractional_publications").over(Window.partitionBy("calendar_year"))
+    annual = M.exact_sum(F.col("fractional_publications")).over(Window.partitionBy("calendar_year"))
     rows = rows.withColumn("annual_known_fractional_publications", M.stable(annual))
     share = M.rate(
         F.col("fractional_publications"), F.col("annual_known_fractional_publications"), 100
