@@ -8,7 +8,7 @@ comparison stops as soon as the words left over cannot lift the likeness to the
 
 ``edited_pairs`` compares every document with its own edited text and with the next document by id.
 The next one is found without a global sort of texts in one task: documents are cut into ranges of
-ids, each range walks its own rows, and the borders (one row per range) are matched afterwards.
+ids, each range walks its own rows, and the row that begins a range is also sent to the one before.
 
 Defined results: null texts are empty; an empty text has the empty fingerprint; two empty sets are
 alike (1.0), an empty and a filled one are not (0.0). A text without a spot of full length has one
@@ -24,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,103 +129,85 @@ _DIGEST = {
 }
 
 
-class Comparer:
-    """The digest columns of a text and the one that follows it."""
-
-    def __init__(self) -> None:
-        self.spotted = Spotter()
-
-    def rows(self, texts: list[str], last: str | None) -> list[tuple]:
-        """For texts in order; ``last`` follows the last one, None if it is not known here."""
-        following = [*texts[1:], *([] if last is None else [last])]
-        sets = [self.spotted(t) for t in texts]
-        sets_after = [*sets[1:], *([] if last is None else [self.spotted(last)])]
-        out = []
-        for text, after, own, then in zip(texts, following, sets, sets_after, strict=False):
-            changed = edited(text, after)
-            other = self.spotted(changed)
-            out.append(
-                (
-                    len(text),
-                    hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(),
-                    written(own),
-                    written(other),
-                    likeness(own, other),
-                    likeness(own, then),
-                )
-            )
-        return out
-
-
-def _arrays(rows: list[tuple]) -> list[pa.Array]:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_DIGEST)
-    return [pa.array(c, type=k) for c, k in zip(columns, _DIGEST.values(), strict=True)]
+def _row(text: str, own: np.ndarray, after: str, then: np.ndarray, spotted: Spotter) -> tuple:
+    """The digest columns of a text with signatures ``own`` that ``after`` follows."""
+    changed = edited(text, after)
+    other = spotted(changed)
+    return (
+        len(text),
+        hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(),
+        written(own),
+        written(other),
+        likeness(own, other),
+        likeness(own, then),
+    )
 
 
 _COLUMNS = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _walked(docs: DataFrame) -> DataFrame:
-    """Digests inside each range of ids; the first and the last text of a range as border rows."""
+def _dealt(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Rows with the range of ids they belong to; the rows that begin a range are also sent to the
+    range before, as the texts that follow its last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer, part = Comparer(), TaskContext.get().partitionId()
-        names = ["doc_id", *_DIGEST, "part", "border", "text"]
-
-        def border(doc_id: pa.Array, which: int, text: str) -> pa.RecordBatch:
-            empty = [pa.nulls(1, type=k) for k in _DIGEST.values()]
-            more = [pa.array([part], type=pa.int32()), pa.array([which], type=pa.int32()), pa.array([text])]
-            return pa.RecordBatch.from_arrays([doc_id, *empty, *more], names=names)
-
-        held: list[str] = []
-        held_id = None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids = batch.column("doc_id")
-            if texts and held_id is None:
-                yield border(ids.slice(0, 1), 0, texts[0])
-            for piece in chunks_of(texts):
-                group = held + texts[piece]
-                own = ids.slice(piece.start, piece.stop - piece.start)
-                group_ids = own if held_id is None else pa.concat_arrays([held_id, own])
-                rows = comparer.rows(group, None)
-                n = len(rows)
-                more = [pa.array(np.full(n, part, dtype=np.int32)), pa.nulls(n, type=pa.int32()), pa.nulls(n, type=pa.string())]
-                yield pa.RecordBatch.from_arrays([group_ids.slice(0, n), *_arrays(rows), *more], names=names)
-                held, held_id = group[n:], group_ids.slice(n)
-        if held:
-            yield border(held_id, 1, held[0])
+            ids = np.array([-1 if i is None else np.searchsorted(bounds, i, side="right") for i in batch.column("doc_id").to_pylist()])
+            starts = np.array([i in first for i in batch.column("doc_id").to_pylist()], dtype=bool)
+            index = np.concatenate([np.arange(len(ids)), np.flatnonzero(starts)])
+            ranges = np.concatenate([np.maximum(ids, 0), ids[starts] - 1]).astype(np.int32)
+            ahead = np.arange(len(index)) >= len(ids)
+            yield pa.RecordBatch.from_arrays(
+                [c.take(pa.array(index)) for c in batch.columns] + [pa.array(ranges), pa.array(ahead)],
+                names=["doc_id", "text", "range", "ahead"],
+            )
 
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    ranges = whole_texts(docs).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return ranges.mapInArrow(run, f"doc_id long, {_COLUMNS}, part int, border int, text string")
+    first = set(bounds.tolist())
+    return rows.mapInArrow(run, "doc_id long, text string, range int, ahead boolean")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id with the digest columns, for every document."""
+    """doc_id with the digest columns, for every document.
+
+    The bounds of the ranges are ids of the table at its quantiles, so the first row of a range is
+    known by its id; texts are shuffled once.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    rows, n = whole_texts(docs), 2 * parts(spark)
+    steps = F.array(*[F.lit(i / n) for i in range(n)])
+    bounds = np.array(sorted(set(rows.agg(F.percentile_approx("doc_id", steps, F.lit(10_000))).first()[0] or [])), dtype=np.int64)
+    beginning = rows.orderBy(F.asc_nulls_first("doc_id"), "text").limit(1).collect()
+    first_text = beginning[0]["text"] if beginning else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        comparer = Comparer()
+        spotted, held = Spotter(), None
+        first_set = spotted(first_text)
         for batch in batches:
-            rows = []
-            for text, after in zip(batch.column("text").to_pylist(), batch.column("after").to_pylist(), strict=True):
-                rows += comparer.rows([text], after)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_arrays(rows)], names=["doc_id", *_DIGEST])
-
-    walked = staged(_walked(docs), "spots")
-    inner = walked.where("border is null").select("doc_id", *_DIGEST)
-    firsts = walked.where("border = 0").select("part", F.col("text").alias("after"))
-    lasts = walked.where("border = 1").select("doc_id", "text", "part")
-    # a row for each range, without texts: the range that follows, the first one behind the last
-    order = Window.orderBy("part")
-    turns = walked.where("border = 0").select("part").select(
-        F.col("part").alias("before"),
-        F.coalesce(F.lead("part").over(order), F.first("part").over(order)).alias("part"),
-    )
-    borders = lasts.join(turns, lasts["part"] == turns["before"]).select("doc_id", "text", turns["part"])
-    borders = borders.join(firsts, "part").select("doc_id", "text", "after")
-    return inner.unionByName(borders.mapInArrow(run, f"doc_id long, {_COLUMNS}"))
+            texts = batch.column("text").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "range", "ahead")]
+            for piece in chunks_of(texts):
+                ids, found = [], []
+                for doc_id, place, ahead, text in zip(*[c[piece] for c in columns], texts[piece], strict=True):
+                    own = spotted(text)
+                    if held is not None:
+                        follows = (text, own) if held[1] == place else (first_text, first_set)
+                        ids.append(held[0])
+                        found.append(_row(*held[2:], *follows, spotted))
+                    held = None if ahead else (doc_id, place, text, own)
+                yield _batch(ids, found)
+        if held is not None:
+            yield _batch([held[0]], [_row(*held[2:], first_text, first_set, spotted)])
+
+    order = ("range", "ahead", F.asc_nulls_first("doc_id"), "text")
+    ranges = _dealt(rows, bounds).repartition(parts(spark), "range").sortWithinPartitions(*order)
+    return ranges.mapInArrow(run, f"doc_id long, {_COLUMNS}")
+
+
+def _batch(ids: list, found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) if found else [[]] * len(_DIGEST)
+    arrays = [pa.array(c, type=k) for c, k in zip(columns, _DIGEST.values(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), *arrays], names=["doc_id", *_DIGEST])
 
 
 def similar_pairs(docs: DataFrame, least: float) -> DataFrame:
