@@ -177,7 +177,9 @@ def _slopes(w: Weights, ids: np.ndarray, target: np.ndarray, h: np.ndarray, weig
         carry = (d * z + through @ w["again"].T) * (ids[t] != START)[:, None]
     flat = to_read.reshape(-1, 3 * UNITS)
     slopes["bias"] = flat.sum(axis=0)
-    np.add.at(slopes["read"], ids.reshape(-1), flat)
+    order = np.argsort(ids.reshape(-1), kind="stable")
+    read, starts = np.unique(ids.reshape(-1)[order], return_index=True)
+    slopes["read"][read] = np.add.reduceat(flat[order], starts, axis=0)
     return slopes, h
 
 

@@ -38,7 +38,7 @@ HELD_OUT = 2
 KNOWN = 200_000
 SHARE = 16
 ROUNDS = 2
-REPLICA_TOKENS = 2_000_000
+REPLICA_TOKENS = 500_000
 FLUSH = 300_000
 SCORED_BYTES = 24 << 20
 
@@ -85,7 +85,7 @@ class _Index(dict):
 
 
 class Vocabulary:
-    """The KNOWN most frequent words with their counts, and what the model's classes hold."""
+    """The most frequent words, at most KNOWN, with their counts, and what the model's classes hold."""
 
     def __init__(self, words: list[str], counts: np.ndarray, ends: int, tokens: int, types: int, tail_mass: np.ndarray):
         self.tokens, self.types, self.ends = tokens, types, ends
@@ -110,7 +110,11 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    known = counts.orderBy(F.desc("c"), "word").limit(KNOWN).toPandas()
+    # the lowest count of which no more than KNOWN words have as much: found on a row per count
+    by_count = counts.groupBy("c").agg(F.count("*").alias("words")).toPandas().sort_values("c", ascending=False)
+    fit = by_count["c"][by_count["words"].cumsum() <= KNOWN]
+    known = counts.where(F.col("c") >= int(fit.min())).toPandas() if len(fit) else counts.limit(0).toPandas()
+    known = known.sort_values(["c", "word"], ascending=[False, True])
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count("*").alias("types")).first()
     code = (F.crc32(F.substring("word", -2, 2).cast("binary")) % gru.TAILS).alias("tail")
     mass = np.zeros(gru.TAILS)
@@ -166,7 +170,9 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
     weights = vocab.started()
     for turn in range(ROUNDS):
         means = (
-            sample.groupBy("replica")
+            # more partitions than replicas, so that few replicas share a task
+            sample.repartition(4 * replicas, "replica")
+            .groupBy("replica")
             .applyInPandas(_learner(weights, gru.RATE / 2**turn), "place long, value double, tokens long")
             .groupBy("place")
             .agg((F.sum("value") / F.sum("tokens")).alias("value"))
