@@ -6,6 +6,9 @@ product with a node's centre first. The number of leaves to visit is widened on
 queries, whose true neighbours are found by brute force over all rows, until their recall reaches
 TARGET; a query goes on while its leaves hold fewer rows than it asks for.
 
+A first search of each query's FIRST nearest leaves gives it K scores; in the other leaves only rows
+that reach the lowest of these are sent on, so that the number of rows does not grow with the leaves.
+
 Leaves are searched in blocks of at most BLOCK vectors and BLOCK queries, so that neither a leaf
 with a third of all rows nor a leaf that all queries visit lands in one task. Each block gives at
 most K rows for each query; the last step ranks these.
@@ -32,7 +35,8 @@ SAMPLE = 20_000
 CALIBRATION = 200
 TARGET = 0.95
 BRANCH = 8
-LEAF = 256
+LEAF = 512
+FIRST = 3
 BLOCK = 4096
 STEPS = 12
 SEED = 11
@@ -52,6 +56,8 @@ def usable(frame: DataFrame) -> DataFrame:
 def matrix(vectors, width: int) -> np.ndarray:
     """Rows of vectors, filled up with zeros."""
     vectors = list(vectors)
+    if vectors and all(len(v) == width for v in vectors):
+        return np.concatenate(vectors).reshape(-1, width).astype(np.float64)
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -136,19 +142,24 @@ def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.einsum("qd,vd->qv", queries, rows)
 
 
-def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pd.DataFrame:
-    """The K nearest of a block for each query; ties to the smaller id."""
+def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, least: np.ndarray | None = None) -> pd.DataFrame:
+    """The K nearest of a block for each query, if they reach ``least``; ties to the smaller id."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
-    found = []
+    if least is None:
+        least = np.full(len(queries), -np.inf)
+    found = [pd.DataFrame({"query_id": query_ids[:0], "vec_id": ids[:0], "score": np.zeros(0)})]
     for at in range(0, len(queries), 256):
-        scores = products(queries[at : at + 256], rows)
-        scores[query_ids[at : at + 256, None] == ids[None]] = -np.inf
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :K]
-        kept = np.take_along_axis(scores, top, axis=1)
-        some = np.isfinite(kept)
-        owner = np.repeat(query_ids[at : at + 256], some.sum(axis=1))
-        found.append(pd.DataFrame({"query_id": owner, "vec_id": ids[top[some]], "score": kept[some]}))
+        part = slice(at, at + 256)
+        scores = products(queries[part], rows)
+        scores[query_ids[part, None] == ids[None]] = -np.inf
+        scores[scores < least[part, None]] = -np.inf
+        some = np.flatnonzero(np.isfinite(scores).any(axis=1))
+        top = np.argsort(-scores[some], axis=1, kind="stable")[:, :K]
+        kept = np.take_along_axis(scores[some], top, axis=1)
+        real = np.isfinite(kept)
+        owner = np.repeat(query_ids[part][some], real.sum(axis=1))
+        found.append(pd.DataFrame({"query_id": owner, "vec_id": ids[top[real]], "score": kept[real]}))
     return pd.concat(found, ignore_index=True)
 
 
@@ -208,33 +219,61 @@ def neighbours(vectors: DataFrame, queries: DataFrame) -> DataFrame:
             for query_id, given, vector in zip(batch["id"], batch["vector"], matrix(batch["vector"], width), strict=True):
                 seen = rows_seen = 0
                 for leaf in tree.best_first(vector):
-                    if seen >= visits and rows_seen > K:
+                    enough = rows_seen > K
+                    if seen >= visits and enough:
                         break
                     if sizes[leaf]:
+                        out.append((query_id, given, leaf, seen < FIRST or not enough))
                         seen, rows_seen = seen + 1, rows_seen + sizes[leaf]
-                        out.append((query_id, given, leaf))
-            yield pd.DataFrame(out, columns=["query_id", "query", "leaf"])
+            yield pd.DataFrame(out, columns=["query_id", "query", "leaf", "first"])
+
+    schema = f"query_id long, query {kind}, leaf long, first boolean"
+    visiting = staged(asked.mapInPandas(to_leaves, schema), "visits")
+    none = F.lit(float("-inf"))
+    near = staged(_searched(placed, visiting.where("first").withColumn("least", none), width), "nearest")
+    reached = (
+        ranked(near).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == K)
+    )
+    rest = visiting.where("not first").join(reached.drop("n"), "query_id", "left")
+    return ranked(near.unionByName(_searched(placed, rest.withColumn("least", F.coalesce("least", none)), width)))
+
 
-    visiting = staged(asked.mapInPandas(to_leaves, f"query_id long, query {kind}, leaf long"), "visits")
+def _searched(placed: DataFrame, visiting: DataFrame, width: int) -> DataFrame:
+    """The best rows of every visited leaf, block by block."""
     blocks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("row_blocks")).join(
         visiting.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("query_blocks")), "leaf"
     )
     blocks = F.broadcast(blocks)  # a row for each leaf, at most SAMPLE
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = placed.join(blocks, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("id"), "row_blocks").alias("row_block"), every(F.col("query_blocks")).alias("query_block"), "id", "vector"
+        "leaf",
+        F.pmod(F.xxhash64("id"), "row_blocks").alias("row_block"),
+        every(F.col("query_blocks")).alias("query_block"),
+        "id",
+        "vector",
     )
     right = visiting.join(blocks, "leaf").select(
-        "leaf", every(F.col("row_blocks")).alias("row_block"), F.pmod(F.xxhash64("query_id"), "query_blocks").alias("query_block"), "query_id", "query"
+        "leaf",
+        every(F.col("row_blocks")).alias("row_block"),
+        F.pmod(F.xxhash64("query_id"), "query_blocks").alias("query_block"),
+        "query_id",
+        "query",
+        "least",
     )
 
     def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return best(theirs["query_id"].to_numpy(), matrix(theirs["query"], width), mine["id"].to_numpy(), matrix(mine["vector"], width))
+        return best(
+            theirs["query_id"].to_numpy(),
+            matrix(theirs["query"], width),
+            mine["id"].to_numpy(),
+            matrix(mine["vector"], width),
+            theirs["least"].to_numpy(),
+        )
 
     key = ["leaf", "row_block", "query_block"]
-    return ranked(left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, _FOUND))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, _FOUND)
 
 
 def _calibrated(tree: Tree, sizes: np.ndarray, placed: DataFrame, queries: DataFrame, width: int) -> int:
