@@ -7,11 +7,15 @@ candidates are its neighbours there, so that in a dense region only those of lon
 are met: the depth adapts to the region. Candidates whose sizes or sketches rule out the
 threshold are dropped; the rest are confirmed on the full sets.
 
-Rounds keep the work linear and lose nothing in dense regions: first every document is confirmed
-against its best neighbour; then, round after round, rows that lie inside a run of one component
-are passed over and neighbours of other components are confirmed, until no new link appears.
+Rounds keep the work linear where they can: first every document is confirmed against its best
+neighbour; then, round after round, rows that lie inside a run of one component are passed over and
+neighbours of other components are confirmed, until no new link appears. Links are not transitive,
+so that this may leave links out. Last, every row meets its whole region: sketches of all rows of
+different components are compared, and each row's best partners not yet confirmed go on, more in
+each round, until no row has one. Only the regions that several components share are left then, and
+of their largest component only the comparisons with others.
 Nothing is gathered in the driver but counts; no group is held in one task, because orders are cut
-into even ranges and a neighbourhood is WIDTH rows.
+into even ranges, a neighbourhood is WIDTH rows, and a large region is met as pairs of blocks.
 
 A pair at the threshold misses all regions with probability (1 - 0.75**2)**16 < 2e-6.
 
@@ -35,6 +39,7 @@ from pubmart.llm.common import (
     bounded_batches,
     chunks_of,
     components,
+    flat_ranges,
     mix64,
     parts,
     split_words,
@@ -51,6 +56,10 @@ SIMILARITY = (75, 100)
 LEAST_ESTIMATE = 0.6
 NEAREST = 2
 WIDTH = 8
+BLOCK = 1024
+#: Partners of a row that go on from the first comparison of whole regions; later ones: MORE times as many.
+FIRST_BEST = 2
+MORE = 4
 SKETCH_BITS = 4
 
 _SEEDS = mix64(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
@@ -213,6 +222,17 @@ def _regions(orders: DataFrame) -> DataFrame:
     )
 
 
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard estimates of rows of packed sketches."""
+    differ = a.view("<u8") ^ b.view("<u8")
+    differ |= differ >> np.uint64(2)
+    differ |= differ >> np.uint64(1)
+    differ &= np.uint64(0x1111111111111111)
+    equal = TREES * DEPTH - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    chance = 1 / 2**SKETCH_BITS
+    return (equal / (TREES * DEPTH) - chance) / (1 - chance)
+
+
 def _neighbours(rows: DataFrame, width: int) -> DataFrame:
     """Candidate pairs a < b with their estimate; rows need a column ``component``."""
 
@@ -236,10 +256,7 @@ def _neighbours(rows: DataFrame, width: int) -> DataFrame:
             ok = (region[i] == region[j]) & (component[i] != component[j])
             ok &= SIMILARITY[1] * np.minimum(size[i], size[j]) >= SIMILARITY[0] * np.maximum(size[i], size[j])
             i, j = i[ok], j[ok]
-            differ = sketch[i] ^ sketch[j]
-            equal = ((differ & 15) == 0).sum(axis=1) + ((differ >> 4) == 0).sum(axis=1)
-            chance = 1 / 2**SKETCH_BITS
-            estimate = (equal / (TREES * DEPTH) - chance) / (1 - chance)
+            estimate = _estimates(sketch[i], sketch[j])
             ok = estimate >= LEAST_ESTIMATE
             out.append((ids[i[ok]], ids[j[ok]], estimate[ok]))
         a, b, estimate = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -260,6 +277,111 @@ def _neighbours(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, estimate double")
 
 
+def _best_partners(table: pa.Table, most: int) -> pa.RecordBatch:
+    """For each asking row of each block pair its ``most`` best partners that are not confirmed yet."""
+    n = table.num_rows
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
+    ids, size, component, asks = (table.column(c).to_numpy() for c in ("id", "n", "component", "asks"))
+    key = [table.column(c).to_numpy() for c in ("tree", "head", "ask_block", "block")]
+    turn = np.zeros(n, dtype=bool)
+    turn[0] = True
+    for column in key:
+        turn[1:] |= column[1:] != column[:-1]
+    start = np.flatnonzero(turn)
+    group = np.cumsum(turn) - 1
+    askers = np.flatnonzero(asks)
+    # rows are sorted: in a group those that are asked come first
+    asked = np.bincount(group[~asks], minlength=len(start))
+    count = asked[group[askers]]
+    done = table.column("done")
+    none = np.zeros(0, dtype=np.int64)
+    out = [(none, none, np.zeros(0))]
+    cuts = np.flatnonzero(np.diff(np.cumsum(count) >> 18)) + 1
+    for some in np.split(np.arange(len(askers)), cuts):
+        i = np.repeat(askers[some], count[some])
+        j = flat_ranges(start[group[askers[some]]], count[some])
+        ok = component[i] != component[j]
+        ok &= SIMILARITY[1] * np.minimum(size[i], size[j]) >= SIMILARITY[0] * np.maximum(size[i], size[j])
+        i, j = i[ok], j[ok]
+        estimate = _estimates(sketch[i], sketch[j])
+        ok = estimate >= LEAST_ESTIMATE
+        i, j, estimate = i[ok], j[ok], estimate[ok]
+        at = 0
+        while at < len(i):
+            stop = int(np.searchsorted(i, i[at], "right"))
+            partners, likely = ids[j[at:stop]], estimate[at:stop]
+            known = done[int(i[at])].as_py()
+            if known:
+                fresh = ~np.isin(partners, known)
+                partners, likely = partners[fresh], likely[fresh]
+            best = np.lexsort((partners, -likely))[:most]
+            out.append((np.full(len(best), ids[i[at]]), partners[best], likely[best]))
+            at = stop
+    row, partner, estimate = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(partner), pa.array(estimate)], names=["row", "partner", "estimate"])
+
+
+def _whole_regions(rows: DataFrame, tested: DataFrame, most: int) -> DataFrame:
+    """Pairs a < b not yet tested: the best partners of each row among all rows of its regions.
+
+    ``rows`` are the regions with a column ``component``.
+    """
+    spark = rows.sparkSession
+    rows = rows.select("tree", F.expr(f"substring(prefix, 1, {4 * LEAST_PREFIX})").alias("code"), "id", "n", "sketch", "component")
+    region = ["tree", "code"]
+    shares = rows.groupBy(*region, "component").agg(F.count("*").alias("rows")).groupBy(*region).agg(
+        F.sum("rows").alias("rows"),
+        F.max("rows").alias("main_rows"),
+        F.max_by("component", F.struct("rows", "component")).alias("main"),
+    )
+    # the largest component of a region is asked by the others and need not ask
+    shares = shares.where("main_rows < rows").select(
+        *region,
+        "main",
+        F.ceil(F.col("rows") / BLOCK).alias("blocks"),
+        F.ceil((F.col("rows") - F.col("main_rows")) / BLOCK).alias("ask_blocks"),
+    )
+    shares = staged(shares, "open-regions")
+    open_rows = rows.join(shares, region)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    asked = open_rows.select("*", at("blocks").alias("block"), every("ask_blocks").alias("ask_block"), F.lit(False).alias("asks"))
+    asking = open_rows.where("component <> main").select(
+        "*", every("blocks").alias("block"), at("ask_blocks").alias("ask_block"), F.lit(True).alias("asks")
+    )
+    # partners that were confirmed not to be near, to be passed over
+    failed = tested.where("not linked")
+    failed = failed.select("a", "b").union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    failed = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("done"))
+    asking = asking.join(failed, F.col("id") == F.col("node"), "left").drop("node")
+    columns = ["tree", F.expr("cast(conv(hex(code), 16, -10) as bigint)").alias("head"), "ask_block", "block", "asks", "id", "n", "component", "sketch", "done"]
+    both = asked.withColumn("done", F.lit(None).cast("array<bigint>")).unionByName(asking).select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _whole(batches):
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            # the last group may go on in the next batch
+            last = [table.column(c).to_numpy() for c in groups]
+            same = np.logical_and.reduce([c == c[-1] for c in last])
+            cut = table.num_rows - int(same.sum())
+            if cut:
+                yield _best_partners(table.slice(0, cut), most)
+            held = table.slice(cut)
+        if held is not None:
+            yield _best_partners(held, most)
+
+    groups = ["tree", "head", "ask_block", "block"]
+    bounded_batches(spark)
+    dealt = both.repartition(parts(spark), *groups).sortWithinPartitions(*groups, "asks")
+    found = dealt.mapInArrow(run, "row long, partner long, estimate double")
+    best = found.groupBy("row").agg(F.collect_set(F.struct((-F.col("estimate")).alias("far"), "partner")).alias("found"))
+    best = best.select("row", F.explode(F.slice(F.array_sort("found"), 1, most)).alias("one"))
+    return best.select(F.least("row", "one.partner").alias("a"), F.greatest("row", "one.partner").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs a, b with a flag: do the full sets reach the similarity?"""
 
@@ -311,17 +433,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = near.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
     tested = staged(_confirmed(best, texts), "confirmed")
     links = staged(links.union(tested.where("linked").select("a", "b")), "links")
+    labels, changed, most = None, True, 0
     while True:
-        labels = components(links)
+        if changed:
+            labels = components(links)
         rows = regions.join(labels, F.col("id") == F.col("node"), "left").select(
             *[regions[c] for c in regions.columns], F.coalesce("component", "id").alias("component")
         )
-        pairs = _neighbours(ordered(rows), WIDTH).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        if most:  # whole regions, until no row has a partner left
+            pairs = _whole_regions(rows, tested, most)
+        else:
+            pairs = _neighbours(ordered(rows), WIDTH).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
         more = staged(_confirmed(pairs, texts), "confirmed")
-        if not more.where("linked").limit(1).count():
+        if most and not more.limit(1).count():
             break
+        changed = more.where("linked").limit(1).count() > 0
         tested = staged(tested.union(more), "confirmed")
-        links = staged(links.union(more.where("linked").select("a", "b")), "links")
+        if changed:
+            links = staged(links.union(more.where("linked").select("a", "b")), "links")
+        if most or not changed:
+            most = most * MORE or FIRST_BEST
 
     found = members.select("doc_id", "id").join(
         labels.select(F.col("node").alias("id"), "component"), "id", "left"

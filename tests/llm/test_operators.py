@@ -244,6 +244,20 @@ def test_similar_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in found.collect()} == want
 
 
+def test_a_star_of_near_duplicates_is_linked_through_its_hub(spark):
+    rng = random.Random(31)
+    hub = [f"h{i}" for i in range(400)]
+    texts = [(5000, " ".join(hub))]
+    for i in range(1100):  # each near the hub, hardly any two near each other
+        words = list(hub)
+        for at in rng.sample(range(2, 398), 10):
+            words[at] = f"s{i}x{at}"
+        texts.append((6000 + i, " ".join(words)))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows_of(texts), DOCS).repartition(3)).collect()
+    # ten changed words change 50 of 396 shingles at most: 346 / 446 with the hub
+    assert len(got) == 1101 and {r.component_id for r in got} == {5000} and sum(r.kept for r in got) == 1
+
+
 # 4 substring deduplication
 
 
