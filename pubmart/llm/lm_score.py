@@ -1,8 +1,8 @@
 """Log-likelihood of documents under a gated recurrent language model (operator 1).
 
 Counts of all training tokens give the unigram base and the shares inside tail classes. The
-recurrent part learns by truncated backpropagation on every SHARE-th training document: replicas of
-at most about REPLICA_TOKENS tokens start from the same weights, and their results are averaged
+recurrent part learns by truncated backpropagation on all training documents: replicas of
+about REPLICA_TOKENS tokens start from the same weights, and their results are averaged
 by tokens, ROUNDS times. Counting, learning and scoring all grow with the corpus and are split over
 it; the driver holds the weights and the KNOWN most frequent words, both of fixed size.
 
@@ -36,7 +36,6 @@ from pubmart.llm.common import bounded_batches, chunks_of, merged, split_words,
 FOLDS = 7
 HELD_OUT = 2
 KNOWN = 200_000
-SHARE = 16
 ROUNDS = 2
 REPLICA_TOKENS = 500_000
 FLUSH = 300_000
@@ -151,10 +150,8 @@ def _learner(before: gru.Weights, rate: float) -> Callable[[pd.DataFrame], pd.Da
     return learn
 
 
-def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
-    """Weights after ROUNDS of averaged learning on every SHARE-th document."""
-    replicas = max(1, -(-vocab.tokens // SHARE // REPLICA_TOKENS))
-    code = F.xxhash64("doc_id", "text")
+def dealt(docs: DataFrame, vocab: Vocabulary, replicas: int) -> DataFrame:
+    """replica and ids of every document."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,15 +160,20 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
                 [batch.column("replica"), pa.array(ids, type=pa.list_(pa.int32()))], names=["replica", "ids"]
             )
 
-    chosen = docs.where(F.pmod(code, F.lit(SHARE)) == 0).select(
-        "text", F.pmod(F.floor(code / SHARE), F.lit(replicas)).alias("replica")
-    )
-    sample = staged(chosen.mapInArrow(encode, "replica long, ids array<int>"), "lm-sample")
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(replicas).cast("long")).alias("replica"))
+    return rows.mapInArrow(encode, "replica long, ids array<int>")
+
+
+def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
+    """Weights after ROUNDS of averaged learning on all documents."""
+    replicas = max(1, -(-vocab.tokens // REPLICA_TOKENS))
+    lessons = staged(dealt(docs, vocab, replicas), "lm-lessons")
     weights = vocab.started()
     for turn in range(ROUNDS):
         means = (
             # more partitions than replicas, so that few replicas share a task
-            sample.repartition(4 * replicas, "replica")
+            lessons.repartition(4 * replicas, "replica")
             .groupBy("replica")
             .applyInPandas(_learner(weights, gru.RATE / 2**turn), "place long, value double, tokens long")
             .groupBy("place")

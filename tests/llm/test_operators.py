@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pubmart.llm import ann, bpe, chunks, gru, lm_score, near_dups, packing, pii, quality, queries, spotsigs, url_filter
+from pubmart.llm import ann, bpe, chunks, common, gru, lm_score, near_dups, packing, pii, quality, queries, spotsigs, url_filter
 from pubmart.llm.common import components, split_words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, component_id int, `part` int"
@@ -98,6 +98,23 @@ def test_language_model_of_no_documents(no_docs):
     assert lm_score.scores(no_docs).collect() == []
 
 
+def test_the_language_model_learns_from_all_training_documents(spark, monkeypatch):
+    rng = random.Random(17)
+    docs = spark.createDataFrame(rows_of([(i, prose(rng, 20)) for i in range(200)]), DOCS)
+    training = docs.where(~lm_score.held_out())
+    kept = []
+
+    def seen(frame, name):
+        kept.append((name, frame))
+        return common.staged(frame, name)
+
+    monkeypatch.setattr(lm_score, "staged", seen)
+    lm_score.scores(docs)
+    (lessons,) = [f for _, f in kept if set(f.columns) == {"replica", "ids"}]
+    # the end of a text is a token
+    assert Counter(len(r.ids) for r in lessons.collect()) == {21: training.count()}
+
+
 def test_chances_sum_to_one_and_windows_do_not_matter():
     rng = np.random.default_rng(1)
     w = gru.started(rng.integers(1, 99, gru.HEAD).astype(float), rng.integers(1, 99, gru.TAILS).astype(float))
