@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pubmart.llm import ann, bpe, chunks, lm_score, near_dups, packing, pii, quality, spotsigs, url_filter
+from pubmart.llm import (
+    ann,
+    bpe,
+    chunks,
+    lm_score,
+    near_dups,
+    packing,
+    pii,
+    quality,
+    spotsigs,
+    toxicity,
+    url_filter,
+)
 from pubmart.llm.common import table
 
 
@@ -60,8 +72,25 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, ann.every_twentieth(vectors))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scores, op2_url_filters, op3_fingerprints, op4_substring_dedup, op5_quality, op6_near_duplicates, op7_packing, op8_pii, op9_byte_bpe, op10_nearest_neighbours)
+    f.__name__: f
+    for f in (
+        op1_lm_scores,
+        op2_url_filters,
+        op3_fingerprints,
+        op4_substring_dedup,
+        op5_quality,
+        op6_near_duplicates,
+        op7_packing,
+        op8_pii,
+        op9_byte_bpe,
+        op10_nearest_neighbours,
+        op12_toxicity,
+    )
 }
 
 OP2_SQL = r"""
