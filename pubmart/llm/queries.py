@@ -10,6 +10,7 @@ from pubmart.llm import (
     ann,
     bpe,
     chunks,
+    hard_negatives,
     lm_score,
     near_dups,
     packing,
@@ -76,6 +77,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_byte_bpe,
         op10_nearest_neighbours,
         op12_toxicity,
+        op13_hard_negatives,
     )
 }
 
@@ -115,4 +121,29 @@ SELECT page_id, parts.host, parts.path, rule,
 FROM parts LEFT JOIN fitting ON parts.host = fitting.host AND parts.path = fitting.path
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL.strip()}
+OP13_SQL = """
+WITH vectors AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS whole
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same,
+           CAST(list_dot_product(a.whole, b.whole) AS BIGINT) AS score
+    FROM vectors a JOIN vectors b ON a.id <> b.id
+    WHERE a.id % 100 = 0
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score
+    FROM scored WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip()}
