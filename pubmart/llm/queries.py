@@ -15,6 +15,7 @@ from pubmart.llm import (
     near_dups,
     packing,
     pii,
+    prefix_trie,
     quality,
     spotsigs,
     toxicity,
@@ -73,6 +74,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(vectors, ann.every_twentieth(vectors))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_byte_bpe,
         op10_nearest_neighbours,
+        op11_prefix_trie,
         op12_toxicity,
         op13_hard_negatives,
     )
@@ -121,6 +127,53 @@ SELECT page_id, parts.host, parts.path, rule,
 FROM parts LEFT JOIN fitting ON parts.host = fitting.host AND parts.path = fitting.path
 """
 
+OP11_SQL = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    -- crc32 of the id's decimal digits, a bit at a time
+    SELECT conv_id, count(*) AS n,
+           xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+               lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, step:
+                   CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 6 AS head
+    FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT conv_id, place, role, text FROM convs JOIN turns USING (conv_id) WHERE place >= head
+    UNION ALL
+    SELECT c.conv_id, t.place - 1000000, t.role, t.text
+    FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.place < c.head
+), steps AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, length(text) AS size,
+           sha256(length(role) || ':' || role || text) AS unit
+    FROM rebuilt
+), paths AS (
+    SELECT conv_id, 0 AS depth, 0 AS size, '' AS path FROM convs
+    UNION ALL
+    SELECT conv_id, depth, size, string_agg(unit, '') OVER (PARTITION BY conv_id ORDER BY depth) FROM steps
+), ends AS (
+    SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id
+), nodes AS (
+    SELECT path, any_value(p.depth) AS depth, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CAST(e.conv_id AS VARCHAR), ',' ORDER BY e.conv_id), '')) AS ends_sha256
+    FROM paths p LEFT JOIN ends e USING (conv_id, depth) GROUP BY path
+), shape AS (
+    SELECT n.path, n.depth, n.conv_id, n.n_convs, n.ends_sha256, (n.n_convs - 1) * n.size AS saved,
+           any_value(up.conv_id) AS parent_conv_id, count(down.path) AS n_children
+    FROM nodes n
+    LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, 64 * (n.depth - 1))
+    LEFT JOIN nodes down ON down.depth = n.depth + 1 AND left(down.path, 64 * n.depth) = n.path
+    GROUP BY ALL
+)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, a.n_children,
+       CAST(count(*) FILTER (WHERE b.n_children = 0) AS BIGINT) AS n_leaves,
+       CAST(sum(b.saved) AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM shape a JOIN (SELECT s.*, unnest(range(s.depth + 1)) AS above FROM shape s) b
+     ON b.above = a.depth AND left(b.path, 64 * a.depth) = a.path
+GROUP BY ALL
+"""
+
 OP13_SQL = """
 WITH vectors AS (
     SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -146,4 +199,8 @@ WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_scor
 QUALIFY rank <= 5
 """
 
-ORACLES: dict[str, str] = {"op2_url_filters": OP2_SQL.strip(), "op13_hard_negatives": OP13_SQL.strip()}
+ORACLES: dict[str, str] = {
+    "op2_url_filters": OP2_SQL.strip(),
+    "op11_prefix_trie": OP11_SQL.strip(),
+    "op13_hard_negatives": OP13_SQL.strip(),
+}
