@@ -2,22 +2,21 @@
 
 A document is the set of its distinct word shingles. Documents with equal sets form a class with
 one representative. The signature of a representative is cut into TREES sorted orders of DEPTH
-minima each. In every order, rows that share their first LEAST_PREFIX minima form a region; a row's
-candidates are its neighbours there, so that in a dense region only those of longest common prefix
-are met: the depth adapts to the region. Candidates whose sizes or sketches rule out the
-threshold are dropped; the rest are confirmed on the full sets.
-
-Rounds keep the work linear where they can: first every document is confirmed against its best
-neighbour; then, round after round, rows that lie inside a run of one component are passed over and
-neighbours of other components are confirmed, until no new link appears. Links are not transitive,
-so that this may leave links out. Last, every row meets its whole region: sketches of all rows of
-different components are compared, and each row's best partners not yet confirmed go on, more in
-each round, until no row has one. Only the regions that several components share are left then, and
-of their largest component only the comparisons with others.
-Nothing is gathered in the driver but counts; no group is held in one task, because orders are cut
-into even ranges, a neighbourhood is WIDTH rows, and a large region is met as pairs of blocks.
-
-A pair at the threshold misses all regions with probability (1 - 0.75**2)**16 < 2e-6.
+minima each. In every order, rows that share their first LEAST_PREFIX minima form a region; only
+regions of two and more go on. A row's first candidates are its neighbours there, so that in a dense
+region those of longest common prefix are met: the depth adapts to the region. Then every row meets
+its whole region, but for rows that are already in one clump with it. Candidates are pairs whose sketches
+reach LEAST_ESTIMATE; a clump is a connected group of candidates.
+
+The full sets of a clump are compared exactly inside the tasks: all pairs of a block at once, as products
+of incidence matrices of the shingles that repeat there. Clumps of more than a block are met block by
+block, then as pairs of blocks, where only rows outside the largest component ask. Tasks give a star for
+each component that they find, never more rows than they read: neither candidates nor links are listed pair
+by pair. Nothing is gathered in the driver but counts, and no group is held in one task.
+
+Two sets of similarity 0.75 miss all regions with probability (1 - 0.75**2)**16 < 2e-6. The sketches of such sets
+are estimated below LEAST_ESTIMATE, over six deviations lower, with probability 2e-9; only sets that also share
+no chain of candidates are lost then.
 
 Defined results: null, empty or blank texts have an empty set, are linked with nothing and kept.
 Rows that share a doc_id are one node, each row with its own n_shingles. A null doc_id is never
@@ -40,8 +39,10 @@ from pubmart.llm.common import (
     chunks_of,
     components,
     flat_ranges,
+    merged,
     mix64,
     parts,
+    per_text,
     split_words,
     staged,
     whole_texts,
@@ -52,14 +53,13 @@ TREES = 16
 DEPTH = 8
 LEAST_PREFIX = 2
 SIMILARITY = (75, 100)
-#: Lowest estimate that is confirmed: nearly four deviations of the sketch below the threshold.
-LEAST_ESTIMATE = 0.6
-NEAREST = 2
+#: Lowest estimate of a candidate: over six deviations of the sketch below the threshold.
+LEAST_ESTIMATE = 0.5
 WIDTH = 8
+#: Rows and shingles of a block.
 BLOCK = 1024
-#: Partners of a row that go on from the first comparison of whole regions; later ones: MORE times as many.
-FIRST_BEST = 2
-MORE = 4
+BLOCK_SHINGLES = 1 << 20
+COLUMNS = 8192
 SKETCH_BITS = 4
 
 _SEEDS = mix64(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
@@ -233,36 +233,51 @@ def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / (TREES * DEPTH) - chance) / (1 - chance)
 
 
-def _neighbours(rows: DataFrame, width: int) -> DataFrame:
-    """Candidate pairs a < b with their estimate; rows need a column ``component``."""
+def _codes(heads: DataFrame) -> DataFrame:
+    """tree, code (the first LEAST_PREFIX minima) and id of every representative."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            minima = np.frombuffer(b"".join(batch.column("signature").to_pylist()), dtype=">u4").reshape(n, TREES, DEPTH)
+            codes = np.ascontiguousarray(minima[:, :, :LEAST_PREFIX]).view(">i8").astype(np.int64).reshape(-1)
+            trees = np.tile(np.arange(TREES, dtype=np.int32), n)
+            ids = batch.column("id").to_numpy().repeat(TREES)
+            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(codes), pa.array(ids)], names=["tree", "code", "id"])
+
+    bounded_batches(heads.sparkSession)
+    return heads.select("id", "signature").mapInArrow(run, "tree int, code long, id long")
+
+
+def _with_company(heads: DataFrame) -> DataFrame:
+    """The representatives that share a region with another one."""
+    codes = _codes(heads)
+    crowded = codes.groupBy("tree", "code").agg(F.count("*").alias("rows")).where("rows > 1").select("tree", "code")
+    return heads.join(codes.join(crowded, ["tree", "code"], "left_semi").select("id").distinct(), "id", "left_semi")
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """Candidate pairs a, b among the next WIDTH rows of a region, in sorted order."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         n = table.num_rows
         minima = _minima(table.column("prefix"), n)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
-        part, tree, ids, size, component = (
-            table.column(c).to_numpy() for c in ("part", "tree", "id", "n", "component")
-        )
+        part, tree, ids, size = (table.column(c).to_numpy() for c in ("part", "tree", "id", "n"))
         region = (
             (part[1:] != part[:-1]) | (tree[1:] != tree[:-1]) | (minima[1:, :LEAST_PREFIX] != minima[:-1, :LEAST_PREFIX]).any(axis=1)
         )
         region = np.concatenate([[0], np.cumsum(region)])
-        # only the ends of a run of one component inside a region are compared with others
-        turn = (component[1:] != component[:-1]) | (region[1:] != region[:-1])
-        ends = np.flatnonzero(np.concatenate([[True], turn]) | np.concatenate([turn, [True]]))
-        out = []
-        for step in range(1, width + 1):
-            i, j = ends[:-step], ends[step:]
-            ok = (region[i] == region[j]) & (component[i] != component[j])
-            ok &= SIMILARITY[1] * np.minimum(size[i], size[j]) >= SIMILARITY[0] * np.maximum(size[i], size[j])
+        every, out = np.arange(n), []
+        for step in range(1, WIDTH + 1):
+            i, j = every[:-step], every[step:]
+            ok = (region[i] == region[j]) & _sizes_fit(size[i], size[j])
             i, j = i[ok], j[ok]
-            estimate = _estimates(sketch[i], sketch[j])
-            ok = estimate >= LEAST_ESTIMATE
-            out.append((ids[i[ok]], ids[j[ok]], estimate[ok]))
-        a, b, estimate = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(estimate)], names=["a", "b", "estimate"]
-        )
+            ok = _estimates(sketch[i], sketch[j]) >= LEAST_ESTIMATE
+            out.append((ids[i[ok]], ids[j[ok]]))
+        return star(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -271,135 +286,234 @@ def _neighbours(rows: DataFrame, width: int) -> DataFrame:
             if held is not None:
                 table = pa.concat_tables([held, table])
             yield pairs(table)
-            held = table.slice(max(0, table.num_rows - 4 * width))
+            held = table.slice(max(0, table.num_rows - WIDTH))
 
     bounded_batches(rows.sparkSession)
-    return rows.mapInArrow(run, "a long, b long, estimate double")
-
-
-def _best_partners(table: pa.Table, most: int) -> pa.RecordBatch:
-    """For each asking row of each block pair its ``most`` best partners that are not confirmed yet."""
-    n = table.num_rows
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
-    ids, size, component, asks = (table.column(c).to_numpy() for c in ("id", "n", "component", "asks"))
-    key = [table.column(c).to_numpy() for c in ("tree", "head", "ask_block", "block")]
-    turn = np.zeros(n, dtype=bool)
-    turn[0] = True
-    for column in key:
-        turn[1:] |= column[1:] != column[:-1]
-    start = np.flatnonzero(turn)
-    group = np.cumsum(turn) - 1
-    askers = np.flatnonzero(asks)
-    # rows are sorted: in a group those that are asked come first
-    asked = np.bincount(group[~asks], minlength=len(start))
-    count = asked[group[askers]]
-    done = table.column("done")
-    none = np.zeros(0, dtype=np.int64)
-    out = [(none, none, np.zeros(0))]
-    cuts = np.flatnonzero(np.diff(np.cumsum(count) >> 18)) + 1
-    for some in np.split(np.arange(len(askers)), cuts):
-        i = np.repeat(askers[some], count[some])
-        j = flat_ranges(start[group[askers[some]]], count[some])
-        ok = component[i] != component[j]
-        ok &= SIMILARITY[1] * np.minimum(size[i], size[j]) >= SIMILARITY[0] * np.maximum(size[i], size[j])
-        i, j = i[ok], j[ok]
-        estimate = _estimates(sketch[i], sketch[j])
-        ok = estimate >= LEAST_ESTIMATE
-        i, j, estimate = i[ok], j[ok], estimate[ok]
-        at = 0
-        while at < len(i):
-            stop = int(np.searchsorted(i, i[at], "right"))
-            partners, likely = ids[j[at:stop]], estimate[at:stop]
-            known = done[int(i[at])].as_py()
-            if known:
-                fresh = ~np.isin(partners, known)
-                partners, likely = partners[fresh], likely[fresh]
-            best = np.lexsort((partners, -likely))[:most]
-            out.append((np.full(len(best), ids[i[at]]), partners[best], likely[best]))
-            at = stop
-    row, partner, estimate = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(partner), pa.array(estimate)], names=["row", "partner", "estimate"])
-
-
-def _whole_regions(rows: DataFrame, tested: DataFrame, most: int) -> DataFrame:
-    """Pairs a < b not yet tested: the best partners of each row among all rows of its regions.
-
-    ``rows`` are the regions with a column ``component``.
-    """
-    spark = rows.sparkSession
-    rows = rows.select("tree", F.expr(f"substring(prefix, 1, {4 * LEAST_PREFIX})").alias("code"), "id", "n", "sketch", "component")
-    region = ["tree", "code"]
-    shares = rows.groupBy(*region, "component").agg(F.count("*").alias("rows")).groupBy(*region).agg(
-        F.sum("rows").alias("rows"),
-        F.max("rows").alias("main_rows"),
-        F.max_by("component", F.struct("rows", "component")).alias("main"),
-    )
-    # the largest component of a region is asked by the others and need not ask
-    shares = shares.where("main_rows < rows").select(
-        *region,
-        "main",
-        F.ceil(F.col("rows") / BLOCK).alias("blocks"),
-        F.ceil((F.col("rows") - F.col("main_rows")) / BLOCK).alias("ask_blocks"),
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Could sets of these sizes reach the similarity?"""
+    return SIMILARITY[1] * np.minimum(a, b) >= SIMILARITY[0] * np.maximum(a, b)
+
+
+def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The links a, b as a star for each component: fewer rows than there are nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in np.unique(np.stack([a, b], axis=1), axis=0).tolist() if len(a) else ():
+        x, y = find(root.setdefault(x, x)), find(root.setdefault(y, y))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    found = [(find(x), x) for x in root]
+    found = [p for p in found if p[0] != p[1]]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([p[k] for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"]
     )
-    shares = staged(shares, "open-regions")
-    open_rows = rows.join(shares, region)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """The rows with the label of their id, or else the id itself."""
+    labels = labels.select(F.col("node").alias("id"), F.col("component").alias("found"))
+    return rows.join(labels, "id", "left").withColumn(name, F.coalesce("found", "id")).drop("found")
+
+
+def _blocks(rows: DataFrame, group: list[str], shares: DataFrame) -> DataFrame:
+    """The rows of open groups as pairs of blocks, sorted: asked rows first, then those that ask.
+
+    ``shares`` has for each group its largest label (main), which need not ask, and the number of blocks and
+    of asking blocks.
+    """
+    open_rows = rows.join(shares, group)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     asked = open_rows.select("*", at("blocks").alias("block"), every("ask_blocks").alias("ask_block"), F.lit(False).alias("asks"))
-    asking = open_rows.where("component <> main").select(
+    asking = open_rows.where("label <> main").select(
         "*", every("blocks").alias("block"), at("ask_blocks").alias("ask_block"), F.lit(True).alias("asks")
     )
-    # partners that were confirmed not to be near, to be passed over
-    failed = tested.where("not linked")
-    failed = failed.select("a", "b").union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    failed = failed.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("done"))
-    asking = asking.join(failed, F.col("id") == F.col("node"), "left").drop("node")
-    columns = ["tree", F.expr("cast(conv(hex(code), 16, -10) as bigint)").alias("head"), "ask_block", "block", "asks", "id", "n", "component", "sketch", "done"]
-    both = asked.withColumn("done", F.lit(None).cast("array<bigint>")).unionByName(asking).select(*columns)
+    keys = [*group, "ask_block", "block"]
+    both = asked.unionByName(asking).drop("main", "blocks", "ask_blocks")
+    return both.repartition(parts(rows.sparkSession), *keys).sortWithinPartitions(*keys, "asks")
+
+
+def _shares(rows: DataFrame, group: list[str], block: int) -> DataFrame:
+    """Groups of several labels, with their blocks: as many as their rows' weights fill."""
+    shares = rows.groupBy(*group, "label").agg(F.sum("weight").alias("weight")).groupBy(*group).agg(
+        F.sum("weight").alias("weight"),
+        F.max("weight").alias("main_weight"),
+        F.max_by("label", F.struct("weight", "label")).alias("main"),
+        F.count("*").alias("labels"),
+    )
+    return shares.where("labels > 1").select(
+        *group,
+        "main",
+        F.ceil(F.col("weight") / block).alias("blocks"),
+        F.ceil((F.col("weight") - F.col("main_weight")) / block).alias("ask_blocks"),
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _whole(batches):
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            # the last group may go on in the next batch
-            last = [table.column(c).to_numpy() for c in groups]
-            same = np.logical_and.reduce([c == c[-1] for c in last])
-            cut = table.num_rows - int(same.sum())
-            if cut:
-                yield _best_partners(table.slice(0, cut), most)
-            held = table.slice(cut)
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str], least_bytes: int = 8 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of sorted rows, with the groups' starts and the end."""
+    held = None
+
+    def cuts(table: pa.Table) -> np.ndarray:
+        n = table.num_rows
+        turn = np.zeros(n, dtype=bool)
+        turn[:1] = True
+        for name in names:
+            column = table.column(name).to_numpy()
+            turn[1:] |= column[1:] != column[:-1]
+        return np.append(np.flatnonzero(turn), n)
+
+    for batch in merged(batches, least_bytes):
+        table = pa.Table.from_batches([batch])
         if held is not None:
-            yield _best_partners(held, most)
+            table = pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        starts = cuts(table)
+        if len(starts) > 2:
+            yield table.slice(0, starts[-2]).combine_chunks(), starts[:-1]
+        held = table.slice(starts[-2])
+    if held is not None:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
+
+
+def _region_links(rows: DataFrame) -> DataFrame:
+    """Links between the labels of candidates: every row against its whole regions."""
+    group = ["tree", "code"]
+    rows = rows.select(
+        "tree", F.expr(f"cast(conv(hex(substring(prefix, 1, {4 * LEAST_PREFIX})), 16, -10) as bigint)").alias("code"), "id", "n", "sketch", "label"
+    )
+    shares = staged(_shares(rows.withColumn("weight", F.lit(1)), group, BLOCK), "open-regions")
 
-    groups = ["tree", "head", "ask_block", "block"]
-    bounded_batches(spark)
-    dealt = both.repartition(parts(spark), *groups).sortWithinPartitions(*groups, "asks")
-    found = dealt.mapInArrow(run, "row long, partner long, estimate double")
-    best = found.groupBy("row").agg(F.collect_set(F.struct((-F.col("estimate")).alias("far"), "partner")).alias("found"))
-    best = best.select("row", F.explode(F.slice(F.array_sort("found"), 1, most)).alias("one"))
-    return best.select(F.least("row", "one.partner").alias("a"), F.greatest("row", "one.partner").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _groups(batches, [*group, "ask_block", "block"]):
+            n = table.num_rows
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(n, -1)
+            size, label, asks = (table.column(c).to_numpy() for c in ("n", "label", "asks"))
+            which = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            askers = np.flatnonzero(asks)
+            # rows are sorted: in a group those that are asked come first
+            count = np.bincount(which[~asks], minlength=len(starts) - 1)[which[askers]]
+            out = [(np.zeros(0, dtype=np.int64),) * 2]
+            for some in np.split(np.arange(len(askers)), np.flatnonzero(np.diff(np.cumsum(count) >> 18)) + 1):
+                i = np.repeat(askers[some], count[some])
+                j = flat_ranges(starts[which[askers[some]]], count[some])
+                ok = (label[i] != label[j]) & _sizes_fit(size[i], size[j])
+                i, j = i[ok], j[ok]
+                ok = _estimates(sketch[i], sketch[j]) >= LEAST_ESTIMATE
+                i, j = label[i[ok]], label[j[ok]]
+                found = np.unique(np.stack([i, j], axis=1), axis=0)
+                out.append((found[:, 0], found[:, 1]))
+            yield star(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    bounded_batches(rows.sparkSession)
+    return _blocks(rows, group, shares).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs a, b with a flag: do the full sets reach the similarity?"""
+def _clump_sets(docs: DataFrame, clumps: DataFrame) -> DataFrame:
+    """clump, id, n and the sorted shingles of every distinct set of a clump's representatives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles_of = Shingler()
         for batch in batches:
-            flags = [
-                linked(shingles_of(x), shingles_of(y))
-                for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(flags, type=pa.bool_())], names=["a", "b", "linked"]
-            )
+            texts = batch.column("text").to_pylist()
+            for part in chunks_of(texts):
+                own = [shingles_of(t) for t in texts[part]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(part.start, len(own)) for c in ("clump", "id")),
+                        pa.array([len(x) for x in own], type=pa.int64()),
+                        pa.array([x.tobytes() for x in own], type=pa.binary()),
+                    ],
+                    names=["clump", "id", "n", "shingles"],
+                )
 
-    bounded_batches(pairs.sparkSession)
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, linked boolean")
+    bounded_batches(docs.sparkSession)
+    texts = whole_texts(docs).where("doc_id is not null").withColumnRenamed("doc_id", "id")
+    found = texts.join(clumps, "id").select("clump", "id", "text").mapInArrow(run, "clump long, id long, n long, shingles binary")
+    # an id may come in many rows: each of its sets once, gathered by partial aggregates
+    found = found.where("n > 0").withColumn("digest", F.sha2("shingles", 256))
+    once = found.groupBy("clump", "id", "n", "digest").agg(F.first("shingles").alias("shingles")).drop("digest")
+    return staged(once, "clump-sets")
+
+
+def linked_rows(values: np.ndarray, sizes: np.ndarray, asked: int) -> np.ndarray:
+    """Boolean matrix [row, row]: which of the sets, laid one after the other, are linked.
+
+    Shingles that no two rows share are left out first, then rows that keep too few; the sizes of all
+    intersections are the product of the incidence matrix with itself, exact in single precision. With
+    ``asked``, only pairs of one of the first ``asked`` rows and a later row are computed.
+    """
+    n = len(sizes)
+    out = np.zeros((n, n), dtype=bool)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    for _ in range(2):
+        same = values[1:] == values[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(values) else np.zeros(0, dtype=bool)
+        enough = SIMILARITY[1] * np.bincount(owner[shared], minlength=n) >= SIMILARITY[0] * sizes
+        kept = shared & enough[owner]
+        values, owner = values[kept], owner[kept]
+    rows = np.unique(owner)
+    if len(rows) < 2:
+        return out
+    column = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+    place = np.searchsorted(rows, owner)
+    split = np.searchsorted(rows, asked) if asked else 0
+    both = np.zeros((len(rows) - split, split or len(rows)), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [first, first + COLUMNS])
+        incidence = np.zeros((len(rows), min(COLUMNS, int(column[-1]) + 1 - first)), dtype=np.float32)
+        incidence[place[lo:hi], column[lo:hi] - first] = 1
+        both += incidence[split:] @ (incidence[:split] if asked else incidence).T
+    left, right = sizes[rows[split:]], sizes[rows[:split] if asked else rows]
+    union = left[:, None] + right[None, :] - both
+    out[np.ix_(rows[split:], rows[:split] if asked else rows)] = SIMILARITY[1] * both.astype(np.float64) >= SIMILARITY[0] * union
+    return out | out.T
+
+
+def _set_links(rows: DataFrame, names: list[str], crossed: bool) -> DataFrame:
+    """Exact links inside each group of rows, as stars; ``crossed``: between rows that ask and that are asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in _groups(batches, names):
+            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
+            values = np.frombuffer(b"".join(table.column("shingles").to_pylist()), dtype="<u8")
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            asks = table.column("asks").to_numpy() if crossed else None
+            label = table.column("label").to_numpy() if crossed else ids
+            out = [(np.zeros(0, dtype=np.int64),) * 2]
+            for s, e in zip(starts[:-1], starts[1:], strict=True):
+                asked = int((~asks[s:e]).sum()) if crossed else 0
+                if e - s < 2 or (crossed and asked in (0, e - s)):
+                    continue
+                links = linked_rows(values[ends[s] : ends[e]], sizes[s:e], asked)
+                # row by row: all that its links reach
+                todo = links.any(axis=0)
+                while todo.any():
+                    seen = np.zeros(e - s, dtype=bool)
+                    start = int(todo.argmax())
+                    front = np.array([start])
+                    seen[start] = True
+                    while len(front):
+                        near = links[front].any(axis=0) & ~seen
+                        seen |= near
+                        front = np.flatnonzero(near)
+                    todo &= ~seen
+                    out.append((np.full(int(seen.sum()), label[s + start]), label[s:e][seen]))
+            yield star(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    bounded_batches(rows.sparkSession)
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -410,53 +524,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key = ["low", "high"]
     # a class: equal sets. Its representative is the smallest id, with one of its (equal) signatures
     classes = named.groupBy(*key).agg(F.min("doc_id").alias("id"))
-    members = staged(named.join(classes, key).select("doc_id", "id"), "classes")
-    heads = (
-        named.join(classes, key)
-        .where("doc_id = id")
-        .select("id", F.col("n_shingles").alias("n"), "signature")
-    )
-    regions = staged(_regions(_orders(heads)), "regions")
-    # rows that share a doc_id are one node: each of their texts may confirm a link
-    texts = whole_texts(docs).where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-
+    members = staged(named.join(classes, key).select("doc_id", "id").distinct(), "classes")
+    heads = named.join(classes, key).where("doc_id = id").select("id", F.col("n_shingles").alias("n"), "signature")
+    heads = heads.dropDuplicates(["id", "n", "signature"])
+    regions = staged(_regions(_orders(staged(_with_company(heads), "heads"))), "regions")
+
+    # candidates: neighbours in the sorted orders, then whole regions; a clump is what they connect
+    ordered = regions.repartitionByRange(parts(spark), "part", "place").sortWithinPartitions("part", "place")
+    labels = components(_neighbours(ordered))
+    more = _region_links(_labelled(regions, labels, "label"))
+    clumps = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    clumps = clumps.select(F.col("node").alias("id"), F.col("component").alias("clump"))
+
+    # exact links in blocks of a clump's sets, then between the blocks
+    rows = _clump_sets(docs, clumps)
+    weight = F.greatest(F.lit(BLOCK_SHINGLES // BLOCK), "n")
+    blocks = rows.groupBy("clump").agg(F.ceil(F.sum(weight) / BLOCK_SHINGLES).alias("blocks"))
+    dealt = rows.join(blocks, "clump").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    names = ["clump", "block"]
+    near = _set_links(dealt.repartition(parts(spark), *names).sortWithinPartitions(*names), names, False)
     # ids with several sets are one node, and so are their classes
     shared = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
-    links = members.join(shared.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
-
-    def ordered(rows: DataFrame) -> DataFrame:
-        return rows.repartitionByRange(parts(spark), "part", "place").sortWithinPartitions("part", "place")
-
-    # round 1: every document against its best neighbour
-    near = _neighbours(ordered(regions.withColumn("component", F.col("id"))), NEAREST)
-    near = near.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-    best = near.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a")).select("a", "b")
-    tested = staged(_confirmed(best, texts), "confirmed")
-    links = staged(links.union(tested.where("linked").select("a", "b")), "links")
-    labels, changed, most = None, True, 0
-    while True:
-        if changed:
-            labels = components(links)
-        rows = regions.join(labels, F.col("id") == F.col("node"), "left").select(
-            *[regions[c] for c in regions.columns], F.coalesce("component", "id").alias("component")
-        )
-        if most:  # whole regions, until no row has a partner left
-            pairs = _whole_regions(rows, tested, most)
-        else:
-            pairs = _neighbours(ordered(rows), WIDTH).select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        more = staged(_confirmed(pairs, texts), "confirmed")
-        if most and not more.limit(1).count():
-            break
-        changed = more.where("linked").limit(1).count() > 0
-        tested = staged(tested.union(more), "confirmed")
-        if changed:
-            links = staged(links.union(more.where("linked").select("a", "b")), "links")
-        if most or not changed:
-            most = most * MORE or FIRST_BEST
-
-    found = members.select("doc_id", "id").join(
-        labels.select(F.col("node").alias("id"), "component"), "id", "left"
-    ).groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
+    same = members.join(shared.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b"))
+    labels = components(near.union(same))
+    large = _labelled(rows.join(blocks.where("blocks > 1"), "clump").drop("blocks"), labels, "label").withColumn("weight", weight)
+    shares = staged(_shares(large, ["clump"], BLOCK_SHINGLES), "open-clumps")
+    across = _set_links(_blocks(large.drop("weight"), ["clump"], shares), ["clump", "ask_block", "block"], True)
+    labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(across))
+
+    found = _labelled(members, labels, "component").groupBy("doc_id").agg(F.min("component").alias("component"))
     found = found.select(F.col("doc_id").alias("named"), "component")
     return sets.join(found, F.col("doc_id") == F.col("named"), "left").select(
         "doc_id",
@@ -467,12 +563,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns: that of the smallest id.
+    """The documents of each group's smallest id, with their own columns.
 
-    Of rows that share the kept doc_id one stays; rows with a null doc_id all stay.
+    Of rows that share the kept doc_id, those of equal sets count once: the row of smallest text, then of
+    smallest hash, stays. Rows of other sets under that id, rows without words and rows with a null doc_id stay.
     """
     names = docs.columns
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    given = docs.select(*[F.col(f"`{c}`") for c in names])
-    named = given.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(given.where("doc_id is null"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    given = docs.select(whole, F.col("doc_id").alias("id"))
+    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"))
+    named = given.join(kept, "id")
+
+    def start():
+        shingles_of = Shingler()
+
+        def of_texts(texts):
+            sets = [shingles_of(t or "") for t in texts]
+            return [[xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]]
+
+        return of_texts
+
+    several = per_text(named.where("rows > 1").select("row", "id", F.col("row.text").alias("text")), start, {"digest": "binary"})
+    first = F.min_by("row", F.struct(F.col("row.text"), F.xxhash64("row")))
+    several = several.where("digest is null").select("row").union(
+        several.where("digest is not null").groupBy("id", "digest").agg(first.alias("row")).select("row")
+    )
+    return named.where("rows = 1").select("row").union(several).union(given.where("id is null").select("row")).select("row.*")
