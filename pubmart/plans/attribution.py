@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +21,56 @@ def check_method(method: str) -> None:
         raise ValueError(f"Unsupported counting method: {method}")
 
 
+@dataclass(frozen=True)
+class Fractional:
+    """The total of a whole-numbered measure times the weight 1/n of its bridge row.
+
+    It is shown rounded, or else kept as the exact decimal, to be added up further.
+    """
+
+    measure: Column
+    shown: bool = True
+
+
 def full_count() -> Column:
     return F.sum("publication_count")
 
 
-def fractional_count() -> Column:
-    return M.stable(M.exact_sum(F.col("publication_count") * F.col("fractional_weight")))
+def fractional_count(shown: bool = True) -> Fractional:
+    return Fractional(F.col("publication_count"), shown)
 
 
-def counted(method: str) -> Column:
+def counted(method: str) -> Column | Fractional:
     """Publications by the chosen counting method."""
     check_method(method)
     return full_count().cast("double") if method == FULL else fractional_count()
 
 
+def totals_by(rows: DataFrame, keys: list[str], **totals: Column | Fractional) -> DataFrame:
+    """Totals per key. With fractional ones, rows are first added up per key and number of members n.
+
+    That first step adds whole numbers only, in the partial aggregate of one hash aggregation; the second
+    reads a row per key and n. Plain totals next to fractional ones must be sums or counts, which add up.
+    """
+    if not any(isinstance(total, Fractional) for total in totals.values()):
+        return rows.groupBy(*keys).agg(*[total.alias(name) for name, total in totals.items()])
+    members = M.members_of(F.col("fractional_weight")).alias("_members")
+    first = rows.groupBy(*keys, members).agg(
+        *[
+            (F.sum(total.measure.cast("bigint")) if isinstance(total, Fractional) else total).alias(name)
+            for name, total in totals.items()
+        ]
+    )
+
+    def added(name: str, total: Column | Fractional) -> Column:
+        if not isinstance(total, Fractional):
+            return F.sum(name)
+        exact = M.sum_of_fractions(F.col(name), F.col("_members"))
+        return M.stable(exact) if total.shown else exact
+
+    return first.groupBy(*keys).agg(*[added(name, total).alias(name) for name, total in totals.items()])
+
+
 def relation_for(dimension: str) -> Relation:
     if dimension not in RELATIONS:
         raise ValueError(f"Unsupported dimension: {dimension}")
@@ -47,7 +85,7 @@ def attributed(wh: Warehouse, f: FilterState, dimension: str) -> DataFrame:
 
 
 def member_totals(
-    wh: Warehouse, f: FilterState, dimension: str, by: list[str], **totals: Column
+    wh: Warehouse, f: FilterState, dimension: str, by: list[str], **totals: Column | Fractional
 ) -> DataFrame:
     """Totals per member (and ``by``) with the member's attributes.
 
@@ -55,8 +93,7 @@ def member_totals(
     holds a large part of all rows is reduced by the partial aggregate before the shuffle.
     """
     relation = relation_for(dimension)
-    sums = attributed(wh, f, dimension).groupBy(relation.key, *by)
-    sums = sums.agg(*[total.alias(name) for name, total in totals.items()])
+    sums = totals_by(attributed(wh, f, dimension), [relation.key, *by], **totals)
     return sums.join(relation.dimension(wh), relation.key)
 
 
@@ -114,19 +151,19 @@ def hierarchy_output(
     if method == FULL:
         # raw_name keeps a member without a name apart from one named like its identifier.
         rows = rows.select("publication_key", "raw_name", "calendar_year", *by[:2]).distinct()
-        measure = F.count("*").cast("double")
+        members = totals_by(rows, by, publications=F.count("*"))
     else:
-        measure = M.stable(M.exact_sum(F.col("fractional_weight")))
-    members = rows.groupBy(*by).agg(measure.alias("publications"))
+        members = totals_by(rows, by, publications=Fractional(F.lit(1), shown=False))
     if limit is not None:
         leaders = (
             members.groupBy("member_id")
-            .agg(M.stable(M.exact_sum(F.col("publications"))).alias("total"))
+            .agg(M.stable(F.sum("publications")).alias("total"))
             .orderBy(F.desc("total"), "member_id")
             .limit(limit)
             .select("member_id")
         )
         members = members.join(leaders, "member_id")
+    members = members.withColumn("publications", M.stable(F.col("publications")))
     order = [F.desc("publications"), F.asc("member_name")]
     if evolution:
         order.insert(0, F.asc_nulls_last("calendar_year"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pubmart.functions import measures as M
 from pubmart.operators.keys import ordered_keys
 from pubmart.plans.warehouse import Warehouse
-from pubmart.schemas import RECONCILED, WAREHOUSE
+from pubmart.schemas import BRIDGES, BY_YEAR, PUBLICATION_YEAR, RECONCILED, WAREHOUSE
 
 
 def dim_date(r: Mapping[str, DataFrame]) -> DataFrame:
@@ -56,6 +56,7 @@ def fact_publication(r: Mapping[str, DataFrame], sources: DataFrame) -> DataFram
     works = r["r_work"].select(
         "work_id",
         M.date_key(F.col("publication_date")).alias("date_key"),
+        F.year("publication_date").alias(PUBLICATION_YEAR),
         "source_id",
         F.col("work_type").alias("publication_type"),
         "language",
@@ -75,6 +76,9 @@ def fact_country_year(r: Mapping[str, DataFrame], countries: DataFrame) -> DataF
     return ordered_keys(rows, ("country_code_iso2", "year"), "country_year_key")
 
 
+_PUBLICATION = ("work_id", "publication_key", PUBLICATION_YEAR)
+
+
 def _bridge(
     pairs: DataFrame, publications: DataFrame, members: DataFrame, member_id: str
 ) -> DataFrame:
@@ -93,7 +97,7 @@ def bridge_publication_topic(
     r: Mapping[str, DataFrame], publications: DataFrame, topics: DataFrame
 ) -> DataFrame:
     primary = r["r_work"].select("work_id", "primary_topic_id")
-    keys = publications.select("work_id", "publication_key").join(primary, "work_id")
+    keys = publications.select(*_PUBLICATION).join(primary, "work_id")
     rows = _bridge(r["r_work_topic"], keys, topics.select("topic_id", "topic_key"), "topic_id")
     is_primary = F.coalesce(F.col("topic_id") == F.col("primary_topic_id"), F.lit(False))
     return rows.withColumn("is_primary_topic", is_primary)
@@ -102,7 +106,7 @@ def bridge_publication_topic(
 def bridge_publication_country(
     r: Mapping[str, DataFrame], publications: DataFrame, countries: DataFrame
 ) -> DataFrame:
-    keys = publications.select("work_id", "publication_key")
+    keys = publications.select(*_PUBLICATION)
     members = countries.select("country_code_iso2", "country_key")
     return _bridge(r["r_work_country"], keys, members, "country_code_iso2")
 
@@ -110,7 +114,7 @@ def bridge_publication_country(
 def bridge_publication_institution(
     r: Mapping[str, DataFrame], publications: DataFrame, institutions: DataFrame
 ) -> DataFrame:
-    keys = publications.select("work_id", "publication_key")
+    keys = publications.select(*_PUBLICATION)
     members = institutions.select("institution_id", "institution_key")
     return _bridge(r["r_work_institution"], keys, members, "institution_id")
 
@@ -133,14 +137,27 @@ BUILDERS = {
 }
 
 
+def stored_columns(name: str) -> tuple[str, ...]:
+    return (*WAREHOUSE[name], PUBLICATION_YEAR) if name in BY_YEAR else WAREHOUSE[name]
+
+
+def with_years(wh: Warehouse) -> dict[str, DataFrame]:
+    """The tables of a warehouse that was not stored by year, with the year that its folders need."""
+    tables = wh.tables()
+    facts = tables["fact_publication"].withColumn(PUBLICATION_YEAR, M.year_of(F.col("date_key")))
+    years = facts.select("publication_key", PUBLICATION_YEAR)
+    bridges = {name: tables[name].join(years, "publication_key", "left") for name in BRIDGES}
+    return {**tables, "fact_publication": facts, **bridges}
+
+
 def build_warehouse(r: Mapping[str, DataFrame], stage=None) -> Warehouse:
-    """All ten tables in dependency order.
+    """All ten tables in dependency order; the fact and the bridges also carry the publication's year.
 
     ``stage(name, rows)`` writes a finished table and gives back the frame to go on with, so
     that later tables look keys up in what was written.
     """
     built: dict[str, DataFrame] = {}
     for name, (builder, lookups) in BUILDERS.items():
-        rows = builder(r, *[built[lookup] for lookup in lookups]).select(*WAREHOUSE[name])
+        rows = builder(r, *[built[lookup] for lookup in lookups]).select(*stored_columns(name))
         built[name] = stage(name, rows) if stage else rows
     return Warehouse(built)

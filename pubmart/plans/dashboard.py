@@ -10,6 +10,7 @@ from pubmart.functions import measures as M
 from pubmart.operators.reshape import observed_years
 from pubmart.plans.attribution import (
     FULL,
+    Fractional,
     attributed,
     check_method,
     counted,
@@ -249,7 +250,7 @@ def institution_evolution(
     chosen = wh.dim_institution.where(F.col("institution_id").isin(list(institution_ids)))
     narrowed = wh.replace(
         dim_institution=chosen,
-        bridge_publication_institution=wh.bridge_publication_institution.join(
+        bridge_publication_institution=wh.stored(relation.bridge_name).join(
             chosen.select(relation.key), relation.key, "left_semi"
         ),
     )
@@ -361,7 +362,7 @@ def citation_ranking(
     citations = (
         F.sum(cited).cast("double")
         if method == FULL
-        else M.stable(M.exact_sum(cited * F.col("fractional_weight")))
+        else Fractional(cited)
     )
     rows = member_totals(
         wh, f, relation.name, [], cumulative_citations=citations, publications=counted(method)

@@ -106,12 +106,14 @@ class Relation:
     def dimension(self, wh: Warehouse) -> DataFrame:
         return wh.table(f"dim_{self.name}")
 
-    def bridge(self, wh: Warehouse) -> DataFrame:
-        return wh.table(f"bridge_publication_{self.name}")
+    @property
+    def bridge_name(self) -> str:
+        return f"bridge_publication_{self.name}"
 
     def selected_bridge(self, wh: Warehouse, f: FilterState) -> DataFrame:
-        """Bridge rows whose member passes the member filter."""
-        rows = self.bridge(wh).select("publication_key", self.key, "fractional_weight")
+        """Bridge rows of the filter's years whose member passes the member filter."""
+        rows = wh.within(self.bridge_name, f.start_year, f.end_year)
+        rows = rows.select("publication_key", self.key, "fractional_weight")
         predicate = self.members(f)
         if predicate is None:
             return rows
@@ -155,8 +157,9 @@ RELATIONS = {
 }
 
 
-def dated(publications: DataFrame, first: int | None, last: int | None) -> DataFrame:
-    """Closed year window as a range on date_key, which Parquet can skip row groups with."""
+def dated(wh: Warehouse, first: int | None, last: int | None) -> DataFrame:
+    """Facts of a closed range of years: its folders, where facts are stored by year, and a range of date_key."""
+    publications = wh.within("fact_publication", first, last)
     if first is not None:
         publications = publications.where(F.col("date_key") >= first * 10000)
     if last is not None:
@@ -204,7 +207,7 @@ def filtered_publications(
     inner join already keeps exactly the publications its semi-join would keep, so the
     semi-join is left out.
     """
-    publications = dated(wh.fact_publication, f.start_year, f.end_year)
+    publications = dated(wh, f.start_year, f.end_year)
     own = all_of(
         [
             nullable_members(F.col("publication_type"), f.publication_types),

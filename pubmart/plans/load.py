@@ -126,9 +126,9 @@ def load_warehouse(
 ) -> Warehouse:
     """Reconciled tables to a checked and published warehouse.
 
-    The fact and the bridges are written sorted by publication. With ``buckets`` they are also
-    bucketed by it, so that queries join them without a shuffle; choose the number so that one
-    bucket of the largest bridge fits a task.
+    The fact and the bridges are written in a folder for each year, sorted by publication. With
+    ``buckets`` they are also bucketed by it, so that queries join them without a shuffle; choose the
+    number so that one bucket of the largest bridge, over the years asked for, fits a task.
     """
     C.require_columns(reconciled, WAREHOUSE_INPUT)
     release = Release(spark, root, buckets)

@@ -27,7 +27,7 @@ from pubmart.schemas import (
 
 
 def _dated_publications(wh: Warehouse, first: int, last: int) -> DataFrame:
-    return with_calendar(dated(wh.fact_publication, first, last))
+    return with_calendar(dated(wh, first, last))
 
 
 # ---- research growth -----------------------------------------------------------------

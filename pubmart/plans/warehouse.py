@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pubmart.schemas import WAREHOUSE
+from pubmart.schemas import PUBLICATION_YEAR, WAREHOUSE
 
 
 class Warehouse:
@@ -22,13 +23,29 @@ class Warehouse:
         self._sources = {name: tables[name] for name in WAREHOUSE}
         self._opened: dict[str, DataFrame] = {}
 
-    def table(self, name: str) -> DataFrame:
+    def stored(self, name: str) -> DataFrame:
+        """The table as it is stored: with its publication year, if it lies in folders by year."""
         if name not in self._opened:
             source = self._sources[name]
-            rows = source() if callable(source) else source
-            self._opened[name] = rows.select(*WAREHOUSE[name])
+            self._opened[name] = source() if callable(source) else source
         return self._opened[name]
 
+    def table(self, name: str) -> DataFrame:
+        return self.stored(name).select(*WAREHOUSE[name])
+
+    def within(self, name: str, first: int | None, last: int | None) -> DataFrame:
+        """The table, read from the folders of a closed range of years only where it is stored by year.
+
+        A fact still needs its own predicate on dates; a bridge is joined with such a fact.
+        """
+        rows = self.stored(name)
+        if PUBLICATION_YEAR in rows.columns:
+            if first is not None:
+                rows = rows.where(F.col(PUBLICATION_YEAR) >= first)
+            if last is not None:
+                rows = rows.where(F.col(PUBLICATION_YEAR) <= last)
+        return rows.select(*WAREHOUSE[name])
+
     def replace(self, **tables: DataFrame) -> Warehouse:
         return Warehouse({**self._sources, **self._opened, **tables})
 

@@ -4,8 +4,11 @@ Layout: ``<root>/version=<n>/<table>`` and the log ``<root>/_releases``. Readers
 logged version, so a run that fails before its log row leaves the previous version in place.
 One writer at a time is assumed.
 
-Tables may be written in hash buckets of one key. Tables bucketed alike then join and group on
-that key without a shuffle; buckets are part of a table's definition in the session catalog,
+Rows that carry a publication year are written to one folder a year, so that a query over some years
+opens the folders of these years only, of the fact and of the bridges alike.
+
+Tables may be written in hash buckets of one key, below the years. Tables bucketed alike then join and
+group on that key without a shuffle; buckets are part of a table's definition in the session catalog,
 which readers set up from the log.
 """
 
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pubmart.plans.warehouse import Warehouse
-from pubmart.schemas import WAREHOUSE
+from pubmart.schemas import PUBLICATION_YEAR, WAREHOUSE
 
 _LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>, buckets BIGINT"
 BUCKET_KEY = "publication_key"
@@ -62,14 +65,16 @@ def open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     """A bucketed table by its path, entered into the session catalog when it is new there."""
     name = catalog_name(path)
     if not spark.catalog.tableExists(name):
-        columns = ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema
-        )
+        schema = spark.read.parquet(path).schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by_year = f"PARTITIONED BY ({PUBLICATION_YEAR}) " if PUBLICATION_YEAR in schema.names else ""
         spark.sql(
-            f"CREATE TABLE {name} ({columns}) USING parquet "
+            f"CREATE TABLE {name} ({columns}) USING parquet {by_year}"
             f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) INTO {int(buckets)} BUCKETS "
             f"LOCATION '{path}'"
         )
+        if by_year:
+            spark.catalog.recoverPartitions(name)
     return spark.table(name)
 
 
@@ -103,9 +108,13 @@ class Release:
         path = table_path(self.root, self.version, name)
         if self.buckets and BUCKET_KEY in rows.columns:
             return self._stage_bucketed(name, rows, path)
-        if order:
-            rows = rows.sortWithinPartitions(*order)
-        rows.write.mode("overwrite").parquet(path)
+        by_year = [PUBLICATION_YEAR] if PUBLICATION_YEAR in rows.columns else []
+        if by_year:
+            # Rows of a year meet in few tasks; adaptive execution splits large years.
+            rows = rows.hint("rebalance", *by_year)
+        if order or by_year:
+            rows = rows.sortWithinPartitions(*by_year, *order)
+        rows.write.mode("overwrite").partitionBy(*by_year).parquet(path)
         self.tables.append(name)
         return self.spark.read.parquet(path)
 
@@ -113,6 +122,8 @@ class Release:
         # Partitioned like the buckets, each task writes one bucket instead of a part of all.
         placed = rows.repartition(self.buckets, BUCKET_KEY)
         writer = placed.write.mode("overwrite").format("parquet").option("path", path)
+        if PUBLICATION_YEAR in rows.columns:
+            writer = writer.partitionBy(PUBLICATION_YEAR)
         writer = writer.bucketBy(self.buckets, BUCKET_KEY).sortBy(BUCKET_KEY)
         writer.saveAsTable(catalog_name(path))
         self.tables.append(name)

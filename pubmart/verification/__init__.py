@@ -8,11 +8,12 @@ def build_registry() -> Registry:
         dashboard_cases,
         derived_cases,
         extract_cases,
+        layout_cases,
         reconcile_cases,
         session_cases,
     )
 
     registry = Registry()
-    for cases in (session_cases, dashboard_cases, derived_cases, reconcile_cases, extract_cases):
+    for cases in (session_cases, dashboard_cases, derived_cases, reconcile_cases, extract_cases, layout_cases):
         cases.register(registry)
     return registry

@@ -13,10 +13,10 @@ from pubmart.plans import dashboard as D
 from pubmart.plans import derived as V
 from pubmart.plans import gates
 from pubmart.plans import sessions as S
-from pubmart.plans.attribution import FRACTIONAL, FULL, hierarchy_output
+from pubmart.plans.attribution import FRACTIONAL, FULL, Fractional, fractional_count, hierarchy_output, totals_by
 from pubmart.plans.filters import FilterState, filtered_publications
 from pubmart.plans.load import load_reconciled, load_warehouse
-from pubmart.schemas import MISSING_VALUE
+from pubmart.schemas import BY_YEAR, MISSING_VALUE, WAREHOUSE
 from pubmart.sources.releases import current_version, open_warehouse
 
 ALL = FilterState()
@@ -226,6 +226,52 @@ def test_plans_scan_only_what_they_need(wh):
     assert text.count("fractional_weight") <= 4 and "bridge_publication_topic" not in text
 
 
+def test_year_folders_of_both_sides(spark, loaded, tmp_path):
+    """A query over one year opens that year's folders of the fact and of the bridge, with and without buckets."""
+    reconciled, wh, _ = loaded
+    stored = {
+        "plain": load_warehouse(spark, reconciled, str(tmp_path / "plain")),
+        "bucketed": load_warehouse(spark, reconciled, str(tmp_path / "bucketed"), buckets=4),
+    }
+    for kind, warehouse in stored.items():
+        for name in BY_YEAR:
+            assert warehouse.table(name).columns == list(WAREHOUSE[name])
+            folders = warehouse.within(name, 2022, 2022).select("_metadata.file_path").distinct().collect()
+            assert folders and all("publication_year=2022/" in r.file_path for r in folders), (kind, name)
+            assert warehouse.table(name).count() == wh.table(name).count()
+        query = D.country_output(warehouse, FilterState(2022, 2022), FRACTIONAL)
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        pruned = [line for line in plan.splitlines() if "PartitionFilters: [isnotnull(publication_year" in line]
+        assert len(pruned) == 2 and plan.count("FileScan parquet") == 3, kind
+        assert rows(query) == rows(D.country_output(wh, FilterState(2022, 2022), FRACTIONAL))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        query = D.country_output(stored["bucketed"], FilterState(2022, 2023), FRACTIONAL)
+        plan = query._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(publication_key" not in plan and plan.count("Bucketed: true") == 2
+        # A later session finds the folders again.
+        for table in spark.catalog.listTables():
+            spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+        again = open_warehouse(spark, str(tmp_path / "bucketed"))
+        assert rows(D.publications_by_year(again, FilterState(2023, 2023))) == [(2023, 1, 2, 2.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_undated_publications_have_a_folder(spark, wh, tmp_path):
+    from pubmart.plans.build import with_years
+    from pubmart.sources.releases import Release
+
+    facts = wh.fact_publication.withColumn("date_key", F.when(F.col("publication_key") > 1, F.col("date_key")))
+    release = Release(spark, str(tmp_path / "undated"))
+    tables = with_years(wh.replace(fact_publication=facts))
+    stored = wh.replace(**{name: release.stage(name, tables[name], ("publication_key",)) for name in BY_YEAR})
+    assert rows(D.publications_by_year(stored, ALL))[-1][:2] == (None, 1)
+    assert rows(D.publications_by_year(stored, FilterState(2000, 2100))) == rows(D.publications_by_year(stored, ALL))[:-1]
+    assert sum(r.publications for r in D.country_output(stored, ALL, FRACTIONAL).collect()) == pytest.approx(3)
+    assert sum(r.publications for r in D.country_output(stored, FilterState(2000), FRACTIONAL).collect()) == pytest.approx(2)
+
+
 def test_buckets_save_the_shuffle(spark, loaded, tmp_path):
     reconciled, wh, _ = loaded
     root = str(tmp_path / "bucketed")
@@ -271,15 +317,62 @@ def test_readiness(wh):
 
 
 def test_exact_totals_do_not_depend_on_order(spark):
-    rows = spark.range(2_000_000).selectExpr("id % 2 AS member", "1.0D / (3 + id div 2 % 11) AS w", "id")
-    total = M.stable(M.exact_sum(F.col("w"))).alias("total")
+    rows = spark.range(2_000_000).selectExpr("id % 2 AS member", "1.0D / (3 + id div 2 % 11) AS fractional_weight", "id")
     found = set()
     for order in ("id", "-id", "hash(id)"):
         placed = rows.repartitionByRange(7, F.expr(order)).sortWithinPartitions(F.expr(order))
-        found |= {r.total for r in placed.groupBy("member").agg(total).collect()}
+        found |= {r.total for r in totals_by(placed, ["member"], total=Fractional(F.lit(1))).collect()}
     assert len(found) == 1  # both members hold equal weights: a tie in every order
 
 
+def test_thirty_million_thirds_tie_with_ten_million_wholes(spark):
+    wholes = spark.range(10_000_000).selectExpr("'whole' AS member", "1.0D AS fractional_weight", "1 AS publication_count")
+    thirds = spark.range(30_000_000).selectExpr("'thirds' AS member", "1.0D / 3 AS fractional_weight", "1 AS publication_count")
+    mixed = spark.range(40_000_000).selectExpr("'mixed' AS member", "1.0D / if(id % 4 = 0, 2, 6) AS fractional_weight", "1 AS publication_count")
+    found = totals_by(wholes.union(thirds).union(mixed), ["member"], full=F.sum("publication_count"), fractional=fractional_count())
+    assert {tuple(r) for r in found.collect()} == {("whole", 10_000_000, 1e7), ("thirds", 30_000_000, 1e7), ("mixed", 40_000_000, 1e7)}
+
+
+def test_fractions_against_exact_rationals(spark):
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.randrange(1, 400), rng.choice([None, 0, 1, 7, 10**12])) for _ in range(3000)] + [(9, 7, None), (8, 10**15, 5)]
+    frame = spark.createDataFrame(rows, "member int, n long, cited long").selectExpr("member", "1.0D / n AS fractional_weight", "cited")
+    found = {r.member: r for r in totals_by(frame, ["member"], shown=Fractional(F.col("cited")), exact=Fractional(F.col("cited"), shown=False)).collect()}
+    assert found[9].shown is None and found[9].exact is None
+    for member in (0, 1, 2, 8):
+        want = sum((Fraction(c, n) for m, n, c in rows if m == member and c is not None), Fraction(0))
+        assert abs(Fraction(found[member].exact) - want) < Fraction(1, 10**15) and found[member].shown == pytest.approx(float(want))
+
+
+def test_totals_of_fractions_hash_whole_numbers(spark):
+    frame = spark.range(10).selectExpr("id % 2 AS member", "1.0D / (1 + id % 3) AS fractional_weight", "id + 1 AS publication_count")
+    plan = totals_by(frame, ["member"], n=fractional_count())._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 4
+    first = [line for line in plan.splitlines() if "partial_sum" in line][-1]
+    assert "decimal" not in first and "partial_sum(publication_count" in first
+
+
+def test_leaders_of_yearly_thirds_tie_with_wholes(spark, wh):
+    """Three publications of a third in three years weigh as much as a whole one: the smaller id leads."""
+    topics = spark.createDataFrame(
+        [(1, "A", "a", "SA", "sa", "F", "f", "D", "d"), (2, "B", "b", "SB", "sb", "F", "f", "D", "d"), (3, "C", "c", "SC", "sc", "F", "f", "D", "d")],
+        "topic_key long, topic_id string, topic_name string, subfield_id string, subfield_name string, field_id string, field_name string, domain_id string, domain_name string",
+    )
+    facts = spark.createDataFrame(
+        [(k, f"W{k}", year * 10000 + 101, None, "article", "en", True, 1, 0) for k, year in ((1, 2018), (2, 2019), (3, 2020), (4, 2020))], wh.fact_publication.schema
+    )
+    pairs = [(k, t, 1 / 3) for k in (1, 2, 3) for t in (1, 3, 2)] + [(4, 2, 1.0)]
+    bridge = spark.createDataFrame([(k, t, 1, 0.5, True, w) for k, t, w in pairs if (k, t) != (9, 9)], "publication_key long, topic_key long, topic_rank int, topic_score double, is_primary_topic boolean, fractional_weight double")
+    found = hierarchy_output(wh.replace(dim_topic=topics, fact_publication=facts, bridge_publication_topic=bridge), ALL, FRACTIONAL, "topic", "Subfield", 2, evolution=True)
+    totals = {}
+    for r in found.collect():
+        totals[r.member_id] = totals.get(r.member_id, 0) + r.publications
+    assert totals == {"SA": pytest.approx(1), "SB": pytest.approx(2)}
+
+
 def test_weights_of_many_members(spark):
     def bridge(n: int, extra: float):
         return spark.range(n).selectExpr("7L AS publication_key", f"1.0D / {n} + if(id = 0, {extra}D, 0D) AS fractional_weight")
