@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,19 +11,25 @@ from pyspark.sql import functions as F
 def merge_entities(rows: DataFrame, key: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
     """One row per key: each field's only known value, and the fields with more than one.
 
-    A field contradicts itself exactly when its smallest and largest known values differ. Both
-    are partial aggregates, so a key with very many copies shrinks before the shuffle, and the
-    outcome does not depend on row order.
+    Equal copies go first: all fields are grouping keys of one hash aggregation, which needs no sort and
+    shrinks a key with very many copies before the shuffle. A key with one row left is settled and passes
+    through. Only the rows of other keys, found by a hashed count, are merged value by value: a field
+    contradicts itself exactly when its smallest and largest known values differ. Text values make that a
+    sorting aggregation, over these rows alone. The outcome does not depend on row order; NULL keys are one key.
     """
     values = [f for f in fields if f not in key]
-    bounds = [
-        bound(f).alias(f"{name}_{f}") for f in values for name, bound in (("low", F.min), ("high", F.max))
-    ]
-    merged = rows.groupBy(*key).agg(*bounds) if bounds else rows.select(*key).distinct()
+    rows = rows.select(*fields).distinct()
+    if not values:
+        return rows.withColumn("conflicts", F.array().cast("array<string>"))
+    found = rows.groupBy(*key).agg(F.count("*").alias("_rows"))
+    contested = found.where("_rows > 1").select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    settled = rows.join(contested, same, "left_anti").withColumn("conflicts", F.array().cast("array<string>"))
+    bounds = [bound(f).alias(f"{name}_{f}") for f in values for name, bound in (("low", F.min), ("high", F.max))]
+    merged = rows.join(contested, same, "left_semi").groupBy(*key).agg(*bounds)
     differing = [F.when(F.col(f"low_{f}") != F.col(f"high_{f}"), F.lit(f)) for f in values]
-    conflicts = F.array_compact(F.array(*differing)) if differing else F.array().cast("array<string>")
     columns = [F.col(f) if f in key else F.col(f"high_{f}").alias(f) for f in fields]
-    return merged.select(*columns, conflicts.alias("conflicts"))
+    return settled.unionByName(merged.select(*columns, F.array_compact(F.array(*differing)).alias("conflicts")))
 
 
 def conflicting(merged: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
-"""Versioned table sets: written aside, checked, then made current by one appended row.
+"""Versioned table sets: written aside, checked, then made current by one new log file.
 
-Layout: ``<root>/version=<n>/<table>`` and the log ``<root>/_releases``. Readers use the highest
-logged version, so a run that fails before its log row leaves the previous version in place.
-One writer at a time is assumed.
+Layout: ``<root>/version=<n>/<table>`` and the log ``<root>/_releases``, one file a release. Readers use the
+version of the log's last file, so a run that fails before its log file leaves the previous one in place.
+
+Several writers may work at once. Each claims a version of its own, by a file that only one can create, and so
+writes to folders that no other writes to. To publish is to create the log file that follows the release
+the writer began from; of two writers that began from the same release one creates it and the other is told.
+Both rest on the file system's "create unless it exists".
 
 Rows that carry a publication year are written to one folder a year, so that a query over some years
 opens the folders of these years only, of the fact and of the bridges alike.
@@ -15,16 +19,18 @@ which readers set up from the log.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterable
 from functools import partial
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pubmart.plans.warehouse import Warehouse
 from pubmart.schemas import PUBLICATION_YEAR, WAREHOUSE
 
-_LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>, buckets BIGINT"
+_LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>, buckets BIGINT, sequence BIGINT"
 BUCKET_KEY = "publication_key"
 
 
@@ -32,18 +38,55 @@ class NotPublished(LookupError):
     pass
 
 
+class PublishConflict(RuntimeError):
+    """Another writer has published since this one began; nothing of this one is visible."""
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists on whatever file system its scheme names."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def current_version(spark: SparkSession, root: str) -> int:
-    """Version readers see; 0 before the first release."""
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file unless it exists; whether this call created it."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        stream = system.create(location, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName() or system.exists(location):
+            return False
+        raise
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in system.listStatus(location)] if system.exists(location) else []
+
+
+def last_release(spark: SparkSession, root: str) -> tuple[int, int, int | None]:
+    """Sequence, version and buckets of the release readers see; zeros before the first one.
+
+    A log file that is still being written has no version yet and does not count.
+    """
     log = f"{root}/_releases"
     if not path_exists(spark, log):
-        return 0
-    return spark.read.schema(_LOG_SCHEMA).json(log).agg(F.max("version").alias("v")).first().v or 0
+        return 0, 0, None
+    rows = spark.read.schema(_LOG_SCHEMA).json(log).where("version IS NOT NULL")
+    # releases logged without a sequence follow each other by version
+    rows = rows.withColumn("sequence", F.coalesce("sequence", "version"))
+    last = rows.orderBy(F.desc("sequence")).first()
+    return (last.sequence, last.version, last.buckets) if last else (0, 0, None)
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """Number of the release readers see; 0 before the first one."""
+    return last_release(spark, root)[0]
 
 
 def table_path(root: str, version: int, name: str) -> str:
@@ -51,7 +94,7 @@ def table_path(root: str, version: int, name: str) -> str:
 
 
 def open_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    version = current_version(spark, root)
+    _, version, _ = last_release(spark, root)
     if version == 0:
         raise NotPublished(f"Nothing is published under {root}")
     return spark.read.parquet(table_path(root, version, name))
@@ -80,11 +123,9 @@ def open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
 
 def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     """The current warehouse; every table of it comes from the same version."""
-    version = current_version(spark, root)
+    _, version, buckets = last_release(spark, root)
     if version == 0:
         raise NotPublished(f"Nothing is published under {root}")
-    log = spark.read.schema(_LOG_SCHEMA).json(f"{root}/_releases")
-    buckets = log.where(F.col("version") == version).first().buckets
 
     def opener(name: str):
         path = table_path(root, version, name)
@@ -95,12 +136,22 @@ def open_warehouse(spark: SparkSession, root: str) -> Warehouse:
     return Warehouse({name: opener(name) for name in WAREHOUSE})
 
 
+def _claimed(spark: SparkSession, root: str) -> int:
+    """A version that no other writer has, and that no folder is there of."""
+    names = file_names(spark, f"{root}/_claims") + [n.removeprefix("version=") for n in file_names(spark, root) if n.startswith("version=")]
+    version = max((int(n) for n in names if n.isdigit()), default=0) + 1
+    while not create_once(spark, f"{root}/_claims/{version}", ""):
+        version += 1
+    return version
+
+
 class Release:
-    """The next version of a table set while it is being written."""
+    """A new version of a table set while it is being written."""
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None) -> None:
         self.spark, self.root, self.buckets = spark, root, buckets
-        self.version = current_version(spark, root) + 1
+        self.begun_from = last_release(spark, root)[0]
+        self.version = _claimed(spark, root)
         self.tables: list[str] = []
 
     def stage(self, name: str, rows: DataFrame, order: Iterable[str] = ()) -> DataFrame:
@@ -135,8 +186,14 @@ class Release:
         observed = rows.observe(observation, *[value.alias(key) for key, value in metrics.items()])
         return self.stage(name, observed), observation.get
 
-    def publish(self) -> int:
-        """Make this version the current one."""
-        row = self.spark.createDataFrame([(self.version, sorted(self.tables), self.buckets)], _LOG_SCHEMA)
-        row.coalesce(1).write.mode("append").json(f"{self.root}/_releases")
-        return self.version
+    def publish(self, retries: int = 0) -> int:
+        """Make this version the current one, or raise PublishConflict.
+
+        A load that does not build on the release before may ask to follow up to ``retries`` other
+        releases that came meanwhile.
+        """
+        for sequence in range(self.begun_from + 1, self.begun_from + 2 + retries):
+            entry = {"version": self.version, "tables": sorted(self.tables), "buckets": self.buckets, "sequence": sequence}
+            if create_once(self.spark, f"{self.root}/_releases/{sequence:020d}.json", json.dumps(entry) + "\n"):
+                return self.version
+        raise PublishConflict(f"Another release of {self.root} was published meanwhile; version {self.version} is not visible")

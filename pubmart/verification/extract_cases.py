@@ -37,8 +37,16 @@ def _roles(*ctes: str, select: str) -> str:
     return "WITH " + ",\n".join([ROLE_SQL.strip(), *ctes]) + "\n" + select
 
 
+def _lines(spark, sf_dir):
+    """All qualifying lines with their hashes; some works have two, with different text."""
+    works = typed_role_works(spark, sf_dir).where(S.in_corpus(YEARS))
+    return works.withColumn("line_hash", F.sha2(F.to_json(F.struct("*")), 256))
+
+
 def _corpus(spark, sf_dir):
-    return typed_role_works(spark, sf_dir).dropDuplicates(["work_id"]).where(S.in_corpus(YEARS))
+    """Whole works, each by the line that the operator picks."""
+    lines = _lines(spark, sf_dir)
+    return lines.join(S.one_line_each(lines), ["work_id", "line_hash"], "left_semi")
 
 
 def _allocation(spark, sf_dir):
@@ -193,6 +201,17 @@ def _text_functions(spark, sf_dir):
     )
 
 
+def _digest_sql(name: str, columns: tuple[str, ...]) -> str:
+    """The digest of all columns, sorted by name: sums of the words of each row's SHA-256."""
+    texts = [f"CAST(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)) AS VARCHAR)" if c == "o_totalprice" else f"CAST({c} AS VARCHAR)" for c in columns]
+    line = " || ',' || ".join(f"coalesce(length({t}) || ':' || {t}, '-')" for t in texts)
+    words = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)), 0) AS w{i}" for i in range(8))
+    joined = " || ':' || ".join(f"CAST(w{i} AS VARCHAR)" for i in range(8))
+    return f"""WITH hashed AS (SELECT sha256({line}) AS h FROM {name}),
+      summed AS (SELECT count(*) AS row_count, {words} FROM hashed)
+      SELECT row_count, sha256(row_count || ':' || {joined}) AS digest FROM summed"""
+
+
 def _merged_parts(spark, sf_dir):
     """Line items merged per order, ship date known on returned lines only."""
     lines = table(spark, sf_dir, "lineitem").select(
@@ -229,18 +248,34 @@ def register(registry: Registry) -> None:
         """SELECT unnest(['sample size', 'allocation met', 'duplicate key', 'guardrails']) AS "check",
           unnest(['sample', 'sample', 'sample.work_id', 'sample']) AS relation, 0::BIGINT AS violations""",
     )
+    add(
+        "sample_checks_of_all_lines",
+        # every line is taken for a sample: wrong sizes, doubled works, and works beyond the guardrails' years
+        lambda spark, sf_dir: S.sample_checks(_lines(spark, sf_dir), _allocation(spark, sf_dir), TARGET, years=YEARS[1:]),
+        _raw(
+            _CORPUS_SQL,
+            _ALLOCATION_SQL,
+            "lines AS (SELECT y, o_orderkey, CASE WHEN o_orderkey % 89 = 0 THEN 2 ELSE 1 END AS n FROM corpus)",
+            "by_year AS (SELECT y, sum(n) AS drawn FROM lines GROUP BY y)",
+            select=f"""SELECT 'sample size' AS "check", 'sample' AS relation, (sum(n) <> {TARGET})::BIGINT AS violations FROM lines
+            UNION ALL SELECT 'allocation met', 'sample', count(*) FILTER (WHERE coalesce(drawn, 0) <> allocation)
+              FROM allocation LEFT JOIN by_year ON y = year
+            UNION ALL SELECT 'duplicate key', 'sample.work_id', count(*) FILTER (WHERE n > 1) FROM lines
+            UNION ALL SELECT 'guardrails', 'sample', coalesce(sum(n) FILTER (WHERE y = {YEARS[0]}), 0)::BIGINT FROM lines""",
+        ),
+    )
     add(
         "reject_reasons",
         lambda spark, sf_dir: typed_role_works(spark, sf_dir)
-        .dropDuplicates(["work_id"])
         .groupBy(S.reject_reason(range(1996, 2001)).alias("reason"))
         .agg(F.count("*").alias("works")),
         _raw(
             """judged AS (SELECT CASE WHEN publication_year IS NULL OR publication_year NOT BETWEEN 1996 AND 2000 THEN 'publication_year'
               WHEN work_type = 'dataset' THEN 'work_type' WHEN is_retracted IS NULL OR is_retracted THEN 'retracted_or_unknown'
               WHEN o_orderkey % 4 = 0 THEN 'primary_topic'
-              WHEN (o_custkey + o_orderkey % (o_orderkey % 4)) % 3 <> 1 THEN 'primary_topic_subfield' END AS reason FROM r_work)""",
-            select="SELECT reason, count(*) AS works FROM judged GROUP BY 1",
+              WHEN (o_custkey + o_orderkey % (o_orderkey % 4)) % 3 <> 1 THEN 'primary_topic_subfield' END AS reason,
+              CASE WHEN o_orderkey % 89 = 0 THEN 2 ELSE 1 END AS lines FROM r_work)""",
+            select="SELECT reason, sum(lines)::BIGINT AS works FROM judged GROUP BY 1",
         ),
     )
     add(
@@ -387,6 +422,7 @@ def register(registry: Registry) -> None:
     add(
         "row_digest",
         lambda spark, sf_dir: sinks.rows_digest(table(spark, sf_dir, "orders")),
+        _digest_sql("orders", ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")),
     )
     add(
         "calendar_spine",

@@ -323,5 +323,59 @@ def test_digest(spark, tmp_path):
     sinks.verify_rows(rows, digest.digest)
     with pytest.raises(sinks.ChecksumMismatch):
         sinks.verify_rows(rows.limit(99), digest.digest)
+    # a value and a NULL, or a border between values, are not mistaken for one another
+    pair = lambda *r: sinks.rows_digest(spark.createDataFrame([r], "a string, b string")).first().digest
+    assert len({pair("-", None), pair(None, "-"), pair("1:a", "b"), pair("1", "a:b"), pair("", None), pair(None, "")}) == 6
     sinks.write_csv(rows.coalesce(1), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "v"]
+
+
+def test_files_are_digested_in_splits(spark, tmp_path):
+    """A map of many files; the digest of a file does not depend on its splits; every kind of damage is named."""
+    folder = tmp_path / "data"
+    lines = {f"part-{i}.jsonl": [f'{{"n": {i}, "k": {k}}}' for k in range(i * 400)] for i in range(1, 6)}
+    (folder / "below").mkdir(parents=True)
+    lines["below/a b.jsonl"] = ["x", "x", "", "y"]
+    for name, rows in lines.items():
+        (folder / name).write_text("".join(r + "\n" for r in rows))
+    read = {"spark.sql.files.maxPartitionBytes": "700b", "spark.sql.files.openCostInBytes": "1b"}
+    found = {}
+    for settings in ({}, read):
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            files = sinks.file_digests(spark, str(folder))
+            found[len(settings)] = ({r.file: (r.row_count, r.digest) for r in files.collect()}, sinks.tree_digest(files).first())
+        finally:
+            for key in settings:
+                spark.conf.unset(key)
+    assert found[0] == found[2]
+    map_, tree = found[0]
+    assert {name: n for name, (n, _) in map_.items()} == {name: len(rows) for name, rows in lines.items() if "/" not in name}
+    recorded = {name: digest for name, (_, digest) in map_.items()}
+    sinks.verify_files(spark, str(folder), recorded)
+    (folder / "part-1.jsonl").write_text("".join(r + "\n" for r in lines["part-1.jsonl"][1:]))
+    (folder / "part-2.jsonl").unlink()
+    (folder / "part-9.jsonl").write_text("new\n")
+    wrong = {r.file: r.problem for r in sinks.differing_files(spark, str(folder), recorded).collect()}
+    assert wrong == {"part-1.jsonl": "differs", "part-2.jsonl": "missing", "part-9.jsonl": "not recorded"}
+    with pytest.raises(sinks.ChecksumMismatch, match="part-2.jsonl missing"):
+        sinks.verify_files(spark, str(folder), recorded)
+    assert sinks.tree_digest(sinks.file_digests(spark, str(folder))).first().digest != tree.digest
+
+
+def test_merge_sorts_contested_rows_only(spark, tmp_path):
+    """Copies and settled keys meet hash aggregations; a sorting one reads contested keys alone."""
+    path = str(tmp_path / "entities")
+    spark.range(2000).selectExpr("concat('k', id % 500) AS id", "if(id % 500 < 5 AND id > 1000, 'other', concat('n', id % 500)) AS a", "if(id % 2 = 0, 'b', null) AS b").write.parquet(path)
+    merged = merge_entities(spark.read.parquet(path), ("id",), ("id", "a", "b"))
+    assert merged.count() == 500 and merged.where("size(conflicts) > 0").count() == 5
+    assert merged.where("id = 'k2'").first().conflicts == ["a"] and merged.where("id = 'k100'").first().b == "b"
+    plan = merged._jdf.queryExecution().executedPlan().toString().splitlines()
+    sorting = [i for i, line in enumerate(plan) if "SortAggregate" in line]
+    joins = [i for i, line in enumerate(plan) if "LeftSemi" in line]
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line]
+    # below every sorting aggregation the next branch is the semi-join with the contested keys
+    assert sorting and all(any(i < j < min(s for s in scans if s > i) for j in joins) for i in sorting)
+    none = spark.createDataFrame([(None, "x", None), (None, None, "y"), (None, "x", None)], "id string, a string, b string")
+    assert [tuple(r) for r in merge_entities(none, ("id",), ("id", "a", "b")).collect()] == [(None, "x", "y", [])]

@@ -17,7 +17,7 @@ from pubmart.plans.attribution import FRACTIONAL, FULL, Fractional, fractional_c
 from pubmart.plans.filters import FilterState, filtered_publications
 from pubmart.plans.load import load_reconciled, load_warehouse
 from pubmart.schemas import BY_YEAR, MISSING_VALUE, WAREHOUSE
-from pubmart.sources.releases import current_version, open_warehouse
+from pubmart.sources.releases import PublishConflict, Release, create_once, current_version, open_table, open_warehouse
 
 ALL = FilterState()
 
@@ -260,7 +260,6 @@ def test_year_folders_of_both_sides(spark, loaded, tmp_path):
 
 def test_undated_publications_have_a_folder(spark, wh, tmp_path):
     from pubmart.plans.build import with_years
-    from pubmart.sources.releases import Release
 
     facts = wh.fact_publication.withColumn("date_key", F.when(F.col("publication_key") > 1, F.col("date_key")))
     release = Release(spark, str(tmp_path / "undated"))
@@ -380,3 +379,70 @@ def test_weights_of_many_members(spark):
     assert C.weight_sums(bridge(100_000, 0.0), "b").first().violations == 0
     assert C.weight_sums(bridge(100_000, 1e-5), "b").first().violations == 1
     assert C.weight_sums(bridge(3, 1e-9), "b").first().violations == 1
+
+
+def test_overview_filters_publications_once(wh):
+    """One scan of the fact and of each bridge; members are bits, not distinct pairs."""
+    plan = D.overview_metrics(wh, FilterState(2022, 2023))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert sum("publication_count" in line for line in scans) == 1
+    assert sum("publication_key" in line for line in scans) == 4
+    assert "bitmap_construct_agg" in plan
+
+
+def test_overview_counts_only_members_of_the_dimensions(spark, wh):
+    """Keys of several buckets, and keys without a member."""
+    keys = [1, 2, 32_768, 32_769, 70_000, 10**9]
+    members = spark.createDataFrame([(k, f"I{k}", "n", "education", None) for k in keys], "institution_key long, institution_id string, institution_name string, institution_type string, country_code_iso2 string")
+    pairs = spark.createDataFrame([(1, k, 0.1) for k in keys[1:]] + [(2, k, 0.1) for k in keys[:4]] + [(2, 5, 0.1), (99, 1, 1.0)], "publication_key long, institution_key long, fractional_weight double")
+    found = D.overview_metrics(wh.replace(dim_institution=members, bridge_publication_institution=pairs), ALL).first()
+    assert (found.publications, found.institutions, found.countries) == (3, 6, 5)
+    only = wh.replace(dim_institution=members, bridge_publication_institution=pairs.where("publication_key = 1"))
+    assert D.overview_metrics(only, ALL).first().institutions == 5
+
+
+def test_two_writers(spark, tmp_path):
+    """One of two writers that began from the same release wins, the other is told, and readers see one whole version."""
+    root = str(tmp_path / "releases")
+    first, second = Release(spark, root), Release(spark, root)
+    assert first.version != second.version and current_version(spark, root) == 0
+    for name in ("a", "b"):
+        first.stage(name, spark.range(3))
+        second.stage(name, spark.range(5))
+    second.publish()
+    with pytest.raises(PublishConflict):
+        first.publish()
+    seen = lambda: {name: open_table(spark, root, name).count() for name in ("a", "b")}
+    assert seen() == {"a": 5, "b": 5} and current_version(spark, root) == 1
+    first.publish(retries=1)
+    assert seen() == {"a": 3, "b": 3} and current_version(spark, root) == 2
+    # a log file that is still being written does not count; the number is taken
+    late = Release(spark, root)
+    assert create_once(spark, f"{root}/_releases/{3:020d}.json", "")
+    assert seen() == {"a": 3, "b": 3} and not create_once(spark, f"{root}/_releases/{3:020d}.json", "x")
+    late.stage("a", spark.range(7))
+    with pytest.raises(PublishConflict):
+        late.publish()
+
+
+def test_many_writers_claim_different_versions(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "claims")
+    with ThreadPoolExecutor(4) as pool:
+        releases = list(pool.map(lambda _: Release(spark, root), range(4)))
+    assert sorted(r.version for r in releases) == [1, 2, 3, 4]
+
+
+def test_releases_logged_without_a_sequence_are_read(spark, tmp_path):
+    root = str(tmp_path / "old")
+    for version in (1, 2):
+        spark.range(version).write.parquet(f"{root}/version={version}/a")
+        row = spark.createDataFrame([(version, ["a"], None)], "version BIGINT, tables ARRAY<STRING>, buckets BIGINT")
+        row.coalesce(1).write.mode("append").json(f"{root}/_releases")
+    assert current_version(spark, root) == 2 and open_table(spark, root, "a").count() == 2
+    release = Release(spark, root)
+    release.stage("a", spark.range(9))
+    assert release.version == 3
+    release.publish()
+    assert current_version(spark, root) == 3 and open_table(spark, root, "a").count() == 9
