@@ -112,9 +112,18 @@ def panel_checks(panel: DataFrame, countries: DataFrame, years=YEARS) -> DataFra
     )
 
 
+def quality_lists(panel: DataFrame) -> dict[str, DataFrame]:
+    """The cells, rows and countries behind the document's counts, each list complete."""
+    return {
+        "out_of_range": out_of_range(panel),
+        "all_null_rows": all_null_rows(panel),
+        "countries_without_values": countries_without_values(panel),
+    }
+
+
 def quality_document(panel: DataFrame, countries: DataFrame, years=YEARS) -> DataFrame:
-    """Profile of the panel as one row. Its lists have one entry per measure and year; the
-    lists of single cells are the separate frames above."""
+    """Profile of the panel as one row. Its lists have one entry per measure and year; those of
+    single cells, rows and countries are ``quality_lists``."""
     per_field = completeness(panel)
     overall = per_field.where(F.col("year").isNull()).drop("year")
     by_year = per_field.where(F.col("year").isNotNull())

@@ -42,6 +42,7 @@ from pubmart.sources.records import json_lines, read_panel, typed_works
 from pubmart.sources.releases import Release, open_table, open_warehouse, path_exists, table_path
 
 _SHOWN = 20  # examples named in an error; the counts are complete
+_LISTED = 1000  # unexpected codes listed in a manifest, which also holds their number
 
 
 def read_manifest(spark: SparkSession, path: str | None) -> dict:
@@ -180,6 +181,8 @@ def extract_panel(
     sinks.write_json_lines(panel, at.format("panel"), "country_code_iso3", "year")
     quality = P.quality_document(panel, countries, years)
     sinks.write_document(quality, at.format("quality"))
+    for name, listed in P.quality_lists(panel).items():
+        sinks.write_json_lines(listed, at.format(f"quality_{name}"), *listed.columns)
     sinks.write_document(
         panel_manifest(entities, aggregates, panel, metadata, triaged, years), at.format("manifest")
     )
@@ -205,6 +208,8 @@ def panel_manifest(
     coverage = P.completeness(panel)
     overall = coverage.where(F.col("year").isNull()).withColumnRenamed("field", "output_field")
     lineage = metadata.join(overall.drop("year"), "output_field")
+    # codes come from the source, so their number has no bound: the list names the most frequent ones
+    unexpected = triaged.where("status = 'unexpected_indicator'").groupBy("indicator").agg(F.count("*").alias("observations"))
     returned = entities.agg(F.count("*").alias("n")).scalar()
     excluded = aggregates.agg(F.count("*").alias("n")).scalar()
     return panel.agg(F.count("*").alias("actual_rows")).select(
@@ -220,6 +225,8 @@ def panel_manifest(
         _entries(lineage, "output_field", "code", "official_name", "unit", "source_name", "present", "missing", "coverage_pct").alias("indicators"),
         _entries(coverage.where(F.col("year").isNotNull()), "year", "field", "missing").alias("missing_by_year"),
         _entries(triaged.groupBy("status").agg(F.count("*").alias("observations")), "status", "observations").alias("observations"),
+        unexpected.agg(F.count("*").alias("n")).scalar().alias("unexpected_indicator_count"),
+        _entries(unexpected.orderBy(F.desc("observations"), "indicator").limit(_LISTED), "indicator", "observations").alias("unexpected_indicators"),
         F.lit(True).alias("no_missing_values_imputed"),
     )
 

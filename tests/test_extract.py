@@ -271,6 +271,12 @@ def test_panel_extraction(spark, tmp_path, landing):
     assert (quality.country_count, quality.row_count, quality.expected_rows) == (2, 16, 16)
     assert (quality.all_null_rows, quality.duplicate_rows) == (14, 0)
     assert [(o.field, o["values"]) for o in quality.out_of_range] == [("internet_users_pct", 1)]
+    listed = {name: [tuple(r) for r in spark.read.json(table_path(root, 1, f"quality_{name}")).collect()] for name in P.quality_lists(panel)}
+    assert listed["out_of_range"] == [("DEU", "internet_users_pct", 120.5, 2019)]
+    assert len(listed["all_null_rows"]) == 14 and ("DEU", 2018) in listed["all_null_rows"] and ("DEU", 2019) not in listed["all_null_rows"]
+    assert ("ITA", "internet_users_pct") in listed["countries_without_values"] and len(listed["countries_without_values"]) == 8
+    assert manifest.unexpected_indicator_count == 1
+    assert [tuple(u) for u in manifest.unexpected_indicators] == [("XX", 1)]
     parts = sorted(Path(table_path(root, 1, "panel")).glob("part-*.json"))
     keys = [(r["country_code_iso3"], r["year"]) for p in parts for r in map(json.loads, p.read_text().splitlines())]
     assert keys == sorted(keys) and len(keys) == 16
