@@ -101,15 +101,18 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([p for p in pairs if p[0] != p[1]], columns=["a", "b"]).astype("int64")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, starred: bool = False) -> DataFrame:
     """(node, component): the smallest node that each node of an edge list reaches.
 
-    ``edges`` has two long columns a and b. Each round links every node to the smallest
+    ``edges`` has two long columns a and b; ``starred`` says that its tasks have reduced them to stars, which
+    saves a second Python worker beside theirs. Each round links every node to the smallest
     neighbour of its neighbourhood and then halves the paths, so the number of rounds grows with
     the logarithm of the diameter. A hub's edges are pre-aggregated by partial ``min``; nothing
     is gathered in the driver but a count of changed rows. The label table is written each round.
     """
-    edges = edges.where("a <> b").select("a", "b").mapInPandas(_forest, "a long, b long")
+    edges = edges.where("a <> b").select("a", "b")
+    if not starred:
+        edges = edges.mapInPandas(_forest, "a long, b long")
     edges = staged(edges.distinct(), "edges")
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = staged(

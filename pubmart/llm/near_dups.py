@@ -383,6 +383,8 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], least_bytes: in
         held = table.slice(starts[-2])
     if held is not None:
         yield held.combine_chunks(), np.array([0, held.num_rows])
+    # the worker goes on with other tasks: it need not keep the largest batch's memory
+    pa.default_memory_pool().release_unused()
 
 
 def _region_links(rows: DataFrame) -> DataFrame:
@@ -531,9 +533,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # candidates: neighbours in the sorted orders, then whole regions; a clump is what they connect
     ordered = regions.repartitionByRange(parts(spark), "part", "place").sortWithinPartitions("part", "place")
-    labels = components(_neighbours(ordered))
+    labels = components(_neighbours(ordered), starred=True)
     more = _region_links(_labelled(regions, labels, "label"))
-    clumps = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
+    clumps = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more), starred=True)
     clumps = clumps.select(F.col("node").alias("id"), F.col("component").alias("clump"))
 
     # exact links in blocks of a clump's sets, then between the blocks
@@ -546,11 +548,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # ids with several sets are one node, and so are their classes
     shared = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z")
     same = members.join(shared.select("doc_id", "a"), "doc_id").where("a < id").select("a", F.col("id").alias("b"))
-    labels = components(near.union(same))
+    labels = components(near.union(same), starred=True)
     large = _labelled(rows.join(blocks.where("blocks > 1"), "clump").drop("blocks"), labels, "label").withColumn("weight", weight)
     shares = staged(_shares(large, ["clump"], BLOCK_SHINGLES), "open-clumps")
     across = _set_links(_blocks(large.drop("weight"), ["clump"], shares), ["clump", "ask_block", "block"], True)
-    labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(across))
+    labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(across), starred=True)
 
     found = _labelled(members, labels, "component").groupBy("doc_id").agg(F.min("component").alias("component"))
     found = found.select(F.col("doc_id").alias("named"), "component")
