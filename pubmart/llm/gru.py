@@ -19,9 +19,11 @@ UNITS = 32
 INPUTS = HEAD + TAILS + 1
 START = HEAD + TAILS
 WINDOW = 16
-STREAMS = 64
+#: Streams learnt side by side, each of so many tokens at least.
+STREAMS = 256
+STREAM_TOKENS = 1024
 SEGMENT = 1024
-RATE = 0.01
+RATE = 0.02
 CLIP = 5.0
 SEED = 5
 
@@ -51,10 +53,9 @@ def started(head_counts: np.ndarray, tail_counts: np.ndarray) -> Weights:
     return out
 
 
-def _gates(w: Weights, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    x = w["read"][ids]
-    x += w["bias"]
-    g = h @ w["again"]
+def _gates(again: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gates, and the state behind inputs x: rows of ``read`` with the bias."""
+    g = h @ again
     both = x[:, : 2 * UNITS] + g[:, : 2 * UNITS]
     both *= 0.5
     np.tanh(both, out=both)
@@ -110,6 +111,7 @@ def log_likelihoods(w: Weights, texts: list[np.ndarray], window: int = 32, block
         return total
     h = np.zeros((len(texts), UNITS), dtype=np.float32)
     last = np.full(len(texts), START, dtype=np.int64)
+    read = w["read"] + w["bias"]
     for begin in range(0, int(lengths[0]), window):
         n = int(np.searchsorted(-lengths, -begin))
         stop = np.minimum(lengths[:n] - begin, window)
@@ -119,7 +121,7 @@ def log_likelihoods(w: Weights, texts: list[np.ndarray], window: int = 32, block
         states, owners, targets = [], [], []
         for t in range(int(stop[0])):
             alive = int(np.searchsorted(-stop, -t))
-            h = _gates(w, last[:alive], h[:alive])[-1]
+            h = _gates(w["again"], read[last[:alive]], h[:alive])[-1]
             last = ids[:alive, t]
             states.append(h)
             owners.append(np.arange(alive))
@@ -140,9 +142,13 @@ def _slopes(w: Weights, ids: np.ndarray, target: np.ndarray, h: np.ndarray, weig
     """
     steps, streams = ids.shape
     kept = []
+    x = (w["read"] + w["bias"])[ids]
+    begins = ids == START
+    some = begins.any(axis=1)
     for t in range(steps):
-        h = np.where((ids[t] == START)[:, None], 0, h).astype(np.float32)
-        kept.append((h, *_gates(w, ids[t], h)))
+        if some[t]:
+            h = np.where(begins[t][:, None], np.float32(0), h)
+        kept.append((h, *_gates(w["again"], x[t], h)))
         h = kept[-1][-1]
     states = np.concatenate([k[-1] for k in kept])
     goal, mass = target.reshape(-1), (weight / max(1.0, weight.sum())).reshape(-1).astype(np.float32)
@@ -174,7 +180,9 @@ def _slopes(w: Weights, ids: np.ndarray, target: np.ndarray, h: np.ndarray, weig
         to_read[t] = np.concatenate([d_z, d_r, d_fresh], axis=1)
         through = np.concatenate([d_z, d_r, d_fresh * r], axis=1)
         slopes["again"] += before.T @ through
-        carry = (d * z + through @ w["again"].T) * (ids[t] != START)[:, None]
+        carry = d * z + through @ w["again"].T
+        if some[t]:
+            carry *= ~begins[t][:, None]
     flat = to_read.reshape(-1, 3 * UNITS)
     slopes["bias"] = flat.sum(axis=0)
     order = np.argsort(ids.reshape(-1), kind="stable")
@@ -211,8 +219,9 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
     w = {k: v.copy() for k, v in w.items()}
     adam = Adam(w, rate)
     # texts are dealt to parallel streams, longest first to the shortest stream
-    streams: list[list[np.ndarray]] = [[] for _ in range(STREAMS)]
-    sizes = np.zeros(STREAMS, dtype=np.int64)
+    width = min(STREAMS, max(1, sum(map(len, texts)) // STREAM_TOKENS))
+    streams: list[list[np.ndarray]] = [[] for _ in range(width)]
+    sizes = np.zeros(width, dtype=np.int64)
     for text in sorted(texts, key=len, reverse=True):
         s = int(sizes.argmin())
         streams[s].append(text)
@@ -221,9 +230,9 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
     if not longest:
         return w, 0
     steps = -(-longest // WINDOW) * WINDOW
-    ids = np.full((steps, STREAMS), START, dtype=np.int64)
-    target = np.zeros((steps, STREAMS), dtype=np.int64)
-    weight = np.zeros((steps, STREAMS), dtype=np.float32)
+    ids = np.full((steps, width), START, dtype=np.int64)
+    target = np.zeros((steps, width), dtype=np.int64)
+    weight = np.zeros((steps, width), dtype=np.float32)
     for s, mine in enumerate(streams):
         at = 0
         for text in mine:
@@ -232,7 +241,7 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
             target[at : at + n, s] = text
             weight[at : at + n, s] = 1
             at += n
-    h = np.zeros((STREAMS, UNITS), dtype=np.float32)
+    h = np.zeros((width, UNITS), dtype=np.float32)
     for at in range(0, steps, WINDOW):
         part = slice(at, at + WINDOW)
         slopes, h = _slopes(w, ids[part], target[part], h, weight[part])
@@ -240,6 +249,10 @@ def train(w: Weights, texts: list[np.ndarray], rate: float = RATE) -> tuple[Weig
     return w, int(sizes.sum())
 
 
+def size() -> int:
+    return sum(int(np.prod(s)) for s in SHAPES.values())
+
+
 def flat(w: Weights) -> np.ndarray:
     return np.concatenate([w[k].reshape(-1) for k in SHAPES])
 

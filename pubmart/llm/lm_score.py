@@ -1,9 +1,9 @@
 """Log-likelihood of documents under a gated recurrent language model (operator 1).
 
 Counts of all training tokens give the unigram base and the shares inside tail classes. The
-recurrent part learns by truncated backpropagation on all training documents: replicas of
+recurrent part learns by truncated backpropagation on all training documents, once: replicas of
 about REPLICA_TOKENS tokens start from the same weights, and their results are averaged
-by tokens, ROUNDS times. Counting, learning and scoring all grow with the corpus and are split over
+by tokens. A replica is a run of what one task reads, so that no text is dealt out. Counting, learning and scoring all grow with the corpus and are split over
 it; the driver holds the weights and the KNOWN most frequent words, both of fixed size.
 
 Texts stay where they are. Words outside the KNOWN ones are scored by joining (row, word) pairs
@@ -21,10 +21,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -36,8 +35,8 @@ from pubmart.llm.common import bounded_batches, chunks_of, merged, split_words,
 FOLDS = 7
 HELD_OUT = 2
 KNOWN = 200_000
-ROUNDS = 2
-REPLICA_TOKENS = 500_000
+REPLICA_TOKENS = 2_000_000
+FAN = 64
 FLUSH = 300_000
 SCORED_BYTES = 24 << 20
 
@@ -139,53 +138,75 @@ def model_ids(index: np.ndarray, rare: list[str], vocab: Vocabulary) -> np.ndarr
     return out
 
 
-def _learner(before: gru.Weights, rate: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """One replica's pass, its weights multiplied by its tokens."""
+def _lessons(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """tokens and weights (times the tokens, as bytes) of each task, over all its replicas.
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        after, tokens = gru.train(before, list(group["ids"]), rate)
-        values = gru.flat(after).astype(np.float64) * tokens
-        return pd.DataFrame({"place": np.arange(len(values)), "value": values, "tokens": tokens})
+    A replica is what a task has read when it holds REPLICA_TOKENS tokens; a long text is cut into segments,
+    and may lie in several. So neither equal rows nor one id nor one long text make a large replica.
+    """
 
-    return learn
-
-
-def dealt(docs: DataFrame, vocab: Vocabulary, replicas: int) -> DataFrame:
-    """replica and ids of every document."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = vocab.started()
+        total, tokens = np.zeros(gru.size()), 0
+        held: list[np.ndarray] = []
+        n = 0
+
+        def learn() -> None:
+            nonlocal total, tokens, held, n
+            after, learnt = gru.train(begun, held)
+            total += gru.flat(after).astype(np.float64) * learnt
+            tokens += learnt
+            held, n = [], 0
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [model_ids(*coded(split_words(t), vocab), vocab).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("replica"), pa.array(ids, type=pa.list_(pa.int32()))], names=["replica", "ids"]
-            )
+            for text in batch.column("text").to_pylist():
+                ids = model_ids(*coded(split_words(text), vocab), vocab).astype(np.int32)
+                for at in range(0, len(ids), gru.SEGMENT):
+                    held.append(ids[at : at + gru.SEGMENT])
+                    n += len(held[-1])
+                    if n >= REPLICA_TOKENS:
+                        learn()
+        learn()
+        yield _row(tokens, total)
 
     bounded_batches(docs.sparkSession)
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(replicas).cast("long")).alias("replica"))
-    return rows.mapInArrow(encode, "replica long, ids array<int>")
+    return docs.select("text").mapInArrow(run, "tokens long, weights binary")
+
+
+def _row(tokens: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([tokens], type=pa.int64()), pa.array([total.tobytes()], type=pa.binary())], names=["tokens", "weights"]
+    )
+
+
+def _added(tokens: list[int], weights: list[bytes]) -> tuple[int, np.ndarray]:
+    total = np.zeros(gru.size())
+    for x in weights:
+        total += np.frombuffer(x)
+    return sum(tokens), total
 
 
 def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
-    """Weights after ROUNDS of averaged learning on all documents."""
-    replicas = max(1, -(-vocab.tokens // REPLICA_TOKENS))
-    lessons = staged(dealt(docs, vocab, replicas), "lm-lessons")
-    weights = vocab.started()
-    for turn in range(ROUNDS):
-        means = (
-            # more partitions than replicas, so that few replicas share a task
-            lessons.repartition(4 * replicas, "replica")
-            .groupBy("replica")
-            .applyInPandas(_learner(weights, gru.RATE / 2**turn), "place long, value double, tokens long")
-            .groupBy("place")
-            .agg((F.sum("value") / F.sum("tokens")).alias("value"))
-            .toPandas()
-        )
-        if not len(means):
-            break
-        values = np.zeros(len(means))
-        values[means["place"].to_numpy()] = means["value"].to_numpy()
-        weights = gru.shaped(values)
-    return weights
+    """The mean weights, by tokens, of replicas that together learn from all documents once.
+
+    The sums of the tasks are added up in tasks, FAN at a time, until the driver takes FAN at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, total = 0, np.zeros(gru.size())
+        for batch in batches:
+            more = _added(batch.column("tokens").to_pylist(), batch.column("weights").to_pylist())
+            tokens, total = tokens + more[0], total + more[1]
+        yield _row(tokens, total)
+
+    sums = _lessons(docs, vocab)
+    count = sums.rdd.getNumPartitions()
+    while count > FAN:
+        count = -(-count // FAN)
+        sums = sums.repartition(count).mapInArrow(run, "tokens long, weights binary")
+    found = sums.toArrow()
+    tokens, total = _added(found["tokens"].to_pylist(), found["weights"].to_pylist())
+    return gru.shaped(total / tokens) if tokens else vocab.started()
 
 
 def _scored(docs: DataFrame, vocab: Vocabulary, weights: gru.Weights) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from pubmart.llm import ann, bpe, chunks, common, gru, lm_score, near_dups, packing, pii, quality, queries, spotsigs, url_filter
@@ -103,16 +104,98 @@ def test_the_language_model_learns_from_all_training_documents(spark, monkeypatc
     docs = spark.createDataFrame(rows_of([(i, prose(rng, 20)) for i in range(200)]), DOCS)
     training = docs.where(~lm_score.held_out())
     kept = []
+    lessons = lm_score._lessons
 
-    def seen(frame, name):
-        kept.append((name, frame))
-        return common.staged(frame, name)
+    def seen(docs, vocab):
+        kept.append(lessons(docs, vocab))
+        return kept[-1]
 
-    monkeypatch.setattr(lm_score, "staged", seen)
-    lm_score.scores(docs)
-    (lessons,) = [f for _, f in kept if set(f.columns) == {"replica", "ids"}]
+    monkeypatch.setattr(lm_score, "_lessons", seen)
+    monkeypatch.setattr(lm_score, "REPLICA_TOKENS", 100)
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    lm_score.scores(docs.repartition(7))
     # the end of a text is a token
-    assert Counter(len(r.ids) for r in lessons.collect()) == {21: training.count()}
+    assert sum(r.tokens for r in kept[0].collect()) == 21 * training.count()
+    assert kept[0].count() > 2
+
+
+def test_equal_rows_and_long_texts_make_no_large_replica(spark, monkeypatch):
+    """A third of all rows with a null id and one text, and one very long text: replicas stay of their size."""
+    rng = random.Random(18)
+    rows = [(None, "the same text again")] * 300 + [(i, prose(rng, 30)) for i in range(600)] + [(1000, prose(rng, 5000))]
+    docs = spark.createDataFrame(rows_of(rows), DOCS).coalesce(1)
+    sizes = []
+    train = gru.train
+
+    def seen(w, texts, rate=gru.RATE):
+        sizes.append(sum(map(len, texts)))
+        return train(w, texts, rate)
+
+    monkeypatch.setattr(gru, "train", seen)
+    monkeypatch.setattr(lm_score, "REPLICA_TOKENS", 4000)
+    training = docs.where(~lm_score.held_out())
+    counts = lm_score.word_counts(training)
+    vocab = lm_score.vocabulary(counts, training.count())
+    batches = [pa.RecordBatch.from_pydict({"text": [r.text for r in training.collect()]})]
+
+    class Frame:
+        sparkSession = spark
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return list(run(iter(batches)))
+
+    (row,) = lm_score._lessons(Frame(), vocab)
+    assert row.column("tokens").to_pylist() == [vocab.tokens] == [sum(sizes)]
+    assert max(sizes) < 4000 + gru.SEGMENT
+
+
+def test_scores_against_a_plain_reading(spark, monkeypatch):
+    """Each token's class and its share of the class, one at a time: known, rare, unseen and held-out words."""
+    rng = random.Random(19)
+    rows = [(i, prose(rng, rng.randint(1, 60))) for i in range(60)] + [(100, "neverseen " * 3 + "the"), (101, None), (None, "the of zzz")]
+    docs = spark.createDataFrame(rows_of(rows), DOCS)
+    kept = []
+    trained = lm_score.trained
+
+    def seen(docs, vocab):
+        kept.append((vocab, trained(docs, vocab)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(lm_score, "trained", seen)
+    monkeypatch.setattr(lm_score, "KNOWN", 40)
+    got = {r.doc_id: r.score for r in lm_score.scores(docs).collect()}
+    vocab, w = kept[0]
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
+    count = Counter(x for d, t in rows if not held(d) for x in (t or "").split())
+    known = dict(vocab.index)
+    tails = Counter()
+    for x, n in count.items():
+        if x not in known:
+            tails[lm_score.tail_of(x)] += n + 1
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    for doc, text in rows:
+        h, last, total = np.zeros(gru.UNITS), gru.START, 0.0
+        for word in [*(text or "").split(), None]:
+            x, g = w["read"][last] + w["bias"], h @ w["again"]
+            z, r = sigmoid(x[: gru.UNITS] + g[: gru.UNITS]), sigmoid(x[gru.UNITS : 2 * gru.UNITS] + g[gru.UNITS : 2 * gru.UNITS])
+            fresh = np.tanh(x[2 * gru.UNITS :] + r * g[2 * gru.UNITS :])
+            h = z * h + (1 - z) * fresh
+            classes = softmax(h @ w["to_class"] + w["class_bias"])
+            if word is None or word in known:
+                last = 0 if word is None else known[word]
+                c, place = divmod(last, gru.CLASS_SIZE)
+                share = softmax(h @ w["to_word"][c] + w["word_bias"][c])[place]
+            else:
+                tail = lm_score.tail_of(word)
+                last, c = gru.HEAD + tail, gru.HEAD_CLASSES + tail
+                share = (count[word] + 1) / (tails[tail] + 1)
+            total += np.log10(classes[c]) + np.log10(share)
+        assert got[doc] == pytest.approx(total, rel=1e-4), doc
 
 
 def test_chances_sum_to_one_and_windows_do_not_matter():
@@ -140,7 +223,8 @@ def test_gradient_against_differences():
     def value() -> float:
         h, total = start, 0.0
         for t in range(5):
-            h = gru._gates(w, ids[t], np.where((ids[t] == gru.START)[:, None], 0, h))[-1]
+            x = (w["read"] + w["bias"])[ids[t]]
+            h = gru._gates(w["again"], x, np.where((ids[t] == gru.START)[:, None], 0, h))[-1]
             total += gru._log_chances(w, h, target[t]).sum()
         return total / 15
 
