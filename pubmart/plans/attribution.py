@@ -18,7 +18,7 @@ FRACTIONAL = "Fractional"
 
 def check_method(method: str) -> None:
     if method not in (FULL, FRACTIONAL):
-        raise ValueError(f"Unsupported counting method: {method}")
+        raise ValueError(f"Publications are counted {FULL} or {FRACTIONAL}, not {method}")
 
 
 @dataclass(frozen=True)
@@ -130,13 +130,12 @@ def hierarchy_output(
     """Members of a hierarchy level, over the whole period or per year: all, or the ``limit`` leading.
 
     Full counts a publication once per member of the level even when several of its leaves
-    belong to it. Fractional adds the leaf weights, which are never scaled up again after
-    filtering.
+    belong to it. Fractional adds the weights of the leaves that pass the filters, as they are.
     """
     check_method(method)
     relation = relation_for(dimension)
     if level not in relation.levels:
-        raise ValueError(f"Unsupported {dimension} hierarchy level: {level}")
+        raise ValueError(f"{dimension} has the levels {sorted(relation.levels)}, not {level}")
     id_column, name_column = relation.levels[level]
     labels = relation.dimension(wh).select(
         relation.key,

@@ -33,8 +33,6 @@ from pubmart.plans.sessions import drill_across, group_year, period_growth, sour
 from pubmart.plans.warehouse import Warehouse
 from pubmart.schemas import MEASURES, MISSING_LABEL, MISSING_VALUE
 
-_LAST = "zzzz"  # sort label of the missing member, after every real name
-
 
 def year_bounds(wh: Warehouse) -> DataFrame:
     return wh.dim_date.agg(
@@ -45,30 +43,40 @@ def year_bounds(wh: Warehouse) -> DataFrame:
 # ---- filter catalogue ----------------------------------------------------------------
 
 
-def _options(rows: DataFrame, name: str, value: Column, label: Column, sort: Column) -> DataFrame:
-    return rows.select(
+def _option(name: str, value: Column, label: Column, sort: Column | None = None) -> Column:
+    """One entry of the catalogue; without a sort label it comes last."""
+    return F.struct(
         F.lit(name).alias("filter_name"),
         value.alias("value"),
         label.alias("label"),
-        sort.alias("sort_label"),
+        (label if sort is None else sort).alias("sort_label"),
     )
 
 
-def _missing(rows: DataFrame, name: str) -> DataFrame:
-    """One sentinel row when the frame has any row at all."""
-    return _options(rows.limit(1), name, F.lit(MISSING_VALUE), F.lit(MISSING_LABEL), F.lit(_LAST))
+def _attribute(name: str, column: str) -> Column:
+    """Member of a nullable attribute; NULL shows as the sentinel, after all others."""
+    value = F.col(column)
+    return _option(name, F.coalesce(value, F.lit(MISSING_VALUE)), F.coalesce(value, F.lit(MISSING_LABEL)), value)
 
 
-def _attribute(rows: DataFrame, name: str, column: str) -> DataFrame:
-    """Distinct members of a nullable attribute; NULL shows as the sentinel."""
-    value = F.col(column)
-    return _options(
-        rows.select(column).distinct(),
-        name,
-        F.coalesce(value, F.lit(MISSING_VALUE)),
-        F.coalesce(value, F.lit(MISSING_LABEL)),
-        F.coalesce(value, F.lit(_LAST)),
-    )
+def _level(name: str, identifier: str, named: str, missing: bool = False) -> Column:
+    """Member of a hierarchy level. A level that shows missing members takes a name of its own from the id."""
+    value, label = F.col(identifier), F.col(named)
+    if not missing:
+        return _option(name, value, label)
+    label = F.coalesce(label, value)
+    return _option(name, F.coalesce(value, F.lit(MISSING_VALUE)), F.coalesce(label, F.lit(MISSING_LABEL)), label)
+
+
+_ONE_NAME = ("field", "domain")  # levels whose members show one of their names
+
+
+def _catalogue(rows: DataFrame, *options: Column) -> DataFrame:
+    """Distinct options of several filters from one pass over a table; a NULL value is none."""
+    entries = rows.select(F.explode(F.array(*options)).alias("o")).select("o.*").where("value IS NOT NULL")
+    several = F.when(~F.col("filter_name").isin(*_ONE_NAME), F.col("label")).alias("_label")
+    members = entries.groupBy("filter_name", "value", several)
+    return members.agg(F.max("label").alias("label"), F.max("sort_label").alias("sort_label")).drop("_label")
 
 
 def _fact_attributes(facts: DataFrame) -> DataFrame:
@@ -88,54 +96,43 @@ def _fact_attributes(facts: DataFrame) -> DataFrame:
     rows = combinations.select(F.explode(members).alias("m")).select("m.*").distinct()
     value, is_flag = F.col("member"), F.col("filter_name") == "open_access"
     label = F.when(is_flag, M.open_access_label(value.try_cast("boolean"))).otherwise(value)
-    order = F.when(is_flag, F.when(value == "true", "1").otherwise("2")).otherwise(value)
+    order = F.when(is_flag & (value == "true"), "").otherwise(value)
     return rows.select(
         "filter_name",
         F.coalesce(value, F.lit(MISSING_VALUE)).alias("value"),
         F.coalesce(label, F.lit(MISSING_LABEL)).alias("label"),
-        F.when(value.isNull(), _LAST).otherwise(order).alias("sort_label"),
+        F.when(value.isNotNull(), order).alias("sort_label"),
     )
 
 
 def filter_options(wh: Warehouse) -> DataFrame:
-    """Every selectable member of the twelve filters with its label."""
-    country, topic, source = wh.dim_country, wh.dim_topic, wh.dim_source
-    iso2, topic_id, subfield = F.col("country_code_iso2"), F.col("topic_id"), F.col("subfield_id")
+    """Every selectable member of the twelve filters with its label; each dimension is read once."""
+    iso2, topic_id = F.col("country_code_iso2"), F.col("topic_id")
     country_name = F.coalesce(F.col("country_name"), iso2)
     topic_name = F.coalesce(F.col("topic_name"), topic_id)
     families = [
-        _options(
-            country, "country", iso2, F.concat(country_name, F.lit(" ("), iso2, F.lit(")")), country_name
-        ),
-        _attribute(country, "region", "region_name"),
-        _attribute(country, "income_level", "income_level_name"),
-        _options(
-            topic,
-            "topic",
-            topic_id,
-            F.concat(topic_name, F.lit(" · "), M.labelled(F.col("subfield_name"))),
-            topic_name,
+        _catalogue(
+            wh.dim_country,
+            _option("country", iso2, F.concat(country_name, F.lit(" ("), iso2, F.lit(")")), country_name),
+            _attribute("region", "region_name"),
+            _attribute("income_level", "income_level_name"),
         ),
-        _options(
-            topic.where(subfield.isNotNull()).select("subfield_id", "subfield_name").distinct(),
-            "subfield",
-            subfield,
-            F.coalesce(F.col("subfield_name"), subfield),
-            F.coalesce(F.col("subfield_name"), subfield),
+        _catalogue(
+            wh.dim_topic,
+            _option("topic", topic_id, F.concat(topic_name, F.lit(" · "), M.labelled(F.col("subfield_name"))), topic_name),
+            _level("subfield", "subfield_id", "subfield_name", missing=True),
+            _level("field", "field_id", "field_name"),
+            _level("domain", "domain_id", "domain_name"),
         ),
-        _missing(topic.where(subfield.isNull()), "subfield"),
-        _attribute(wh.dim_institution, "institution_type", "institution_type"),
-        _attribute(source.where(F.col("source_type").isNotNull()), "source_type", "source_type"),
-        _missing(of_source_types(wh.fact_publication, wh, (MISSING_VALUE,)), "source_type"),
+        _catalogue(wh.dim_institution, _attribute("institution_type", "institution_type")),
+        _catalogue(wh.dim_source.where(F.col("source_type").isNotNull()), _attribute("source_type", "source_type")),
+        of_source_types(wh.fact_publication, wh, (MISSING_VALUE,))
+        .limit(1)
+        .select(_option("source_type", F.lit(MISSING_VALUE), F.lit(MISSING_LABEL), F.lit(None).cast("string")).alias("o"))
+        .select("o.*"),
         _fact_attributes(wh.fact_publication),
     ]
-    for level in ("field", "domain"):
-        names = topic.where(F.col(f"{level}_id").isNotNull()).groupBy(f"{level}_id")
-        named = names.agg(F.max(f"{level}_name").alias("name"))
-        families.append(_options(named, level, F.col(f"{level}_id"), F.col("name"), F.col("name")))
-    catalogue = families[0]
-    for family in families[1:]:
-        catalogue = catalogue.unionByName(family)
+    catalogue = reduce(DataFrame.unionByName, families)
     return catalogue.orderBy("filter_name", F.asc_nulls_last("sort_label"), "value").select(
         "filter_name", "value", "label"
     )

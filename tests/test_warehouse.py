@@ -446,3 +446,14 @@ def test_releases_logged_without_a_sequence_are_read(spark, tmp_path):
     assert release.version == 3
     release.publish()
     assert current_version(spark, root) == 3 and open_table(spark, root, "a").count() == 9
+
+
+def test_catalogue_reads_each_dimension_once(wh):
+    plan = D.filter_options(wh)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    for column in ("topic_name", "country_name", "institution_type"):
+        assert sum(column in line for line in scans) == 1, column
+    labels = [(r.filter_name, r.label) for r in D.filter_options(wh).collect()]
+    assert labels.index(("open_access", "Open Access")) + 1 == labels.index(("open_access", "Not Open Access"))
+    regions = [label for name, label in labels if name == "region"]
+    assert regions[-1] == "Missing / unavailable" and regions[:-1] == sorted(regions[:-1])
