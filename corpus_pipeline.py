@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and gives the documents it keeps, with their own columns; the
 last one gives the packed pieces. ``run`` writes each stage's result as Parquet into the shared
 folder and reads it again, so that a lost executor repeats one stage at most.
+
+Defined results: a null text counts as empty in every decision and stays null until packing, where it is
+the end alone. Rows with a null doc_id are judged like others, never linked and never cut against themselves.
+Of rows that share a doc_id, those of equal word sets count once in near-duplicates, the smallest text first;
+others stay. Ties between groups go to the smallest doc_id. Very long texts are read whole; packing
+spreads them over as many sequences as they need. Further columns of the documents pass through to packing.
+An empty table gives no pieces; without labels of both classes no document is rejected that the share of
+label 1 (0.5 without labels) keeps.
 """
 
 from __future__ import annotations
