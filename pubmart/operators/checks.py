@@ -84,6 +84,52 @@ def orphans(
     return _result(lost, "orphan", f"{relation}.{column}", F.sum("_rows"))
 
 
+def key_checks(
+    parent: DataFrame,
+    column: str,
+    children: Iterable[tuple[DataFrame, str, str]],
+    unique: str | None = None,
+) -> DataFrame:
+    """All checks that meet on one key, from one aggregation: references of every child, and duplicates.
+
+    The parent's keys and the children's references, (rows, column, relation), are tagged and counted
+    side by side per key: each table is read once and one shuffle serves all. Partial counts shrink
+    a key that very many rows hold. ``unique`` names the relation whose duplicate keys are counted as well.
+    """
+    children = list(children)
+    tagged = [parent.select(F.col(column).alias("_key"), F.lit(0).alias("_side"))]
+    tagged += [rows.select(F.col(name).alias("_key"), F.lit(i).alias("_side")) for i, (rows, name, _) in enumerate(children, 1)]
+    sides = [F.count_if(F.col("_side") == i).alias(f"n{i}") for i in range(len(tagged))]
+    keys = reduce(DataFrame.unionAll, tagged).groupBy("_key").agg(*sides)
+    lost = F.col("_key").isNotNull() & (F.col("n0") == 0)
+    found = {("orphan", f"{relation}.{name}"): F.sum(F.when(lost, F.col(f"n{i}"))) for i, (_, name, relation) in enumerate(children, 1)}
+    if unique:
+        found["duplicate key", unique] = F.count_if(F.col("n0") > 1)
+    counts = [F.coalesce(violations, F.lit(0)).cast("bigint").alias(f"v{i}") for i, violations in enumerate(found.values())]
+    entries = [
+        F.struct(F.lit(check).alias("check"), F.lit(relation).alias("relation"), F.col(f"v{i}").alias("violations"))
+        for i, (check, relation) in enumerate(found)
+    ]
+    return keys.agg(*counts).select(F.inline(F.array(*entries)))
+
+
+def table_checks(
+    tables: Mapping[str, DataFrame],
+    keys: Mapping[str, tuple[str, ...]],
+    references: Iterable[tuple[str, str, str, str]],
+) -> list[DataFrame]:
+    """Duplicate keys of all tables and all references, (child, column, parent, key), fused by parent key."""
+    by_parent: dict[tuple[str, str], list] = {}
+    for child, column, parent, key in references:
+        by_parent.setdefault((parent, key), []).append((tables[child], column, child))
+    fused = {parent for parent, key in by_parent if keys.get(parent) == (key,)}
+    found = [
+        key_checks(tables[parent], key, children, parent if keys.get(parent) == (key,) else None)
+        for (parent, key), children in by_parent.items()
+    ]
+    return found + [duplicate_keys(tables[name], name, key) for name, key in keys.items() if name not in fused]
+
+
 def same_count(left: DataFrame, right: DataFrame, relation: str) -> DataFrame:
     """Difference in row counts of a table and its source."""
     counts = left.select(F.lit(1).alias("n")).unionAll(right.select(F.lit(-1).alias("n")))

@@ -60,11 +60,7 @@ def reconciled_checks(r: Mapping[str, DataFrame], panel: DataFrame | None = None
     rules["r_country_year_indicator"]["year range"] = F.col("year").between(1, 9999)
     found = [C.not_empty(r[name], name) for name in ("r_work", "r_country", "r_country_year_indicator")]
     found += [C.row_rules(r[name], name, checks) for name, checks in rules.items()]
-    found += [C.duplicate_keys(r[name], name, key) for name, key in RECONCILED_KEYS.items()]
-    found += [
-        C.orphans(r[child], column, r[parent], parent_column, child)
-        for child, column, parent, parent_column in RECONCILED_REFERENCES
-    ]
+    found += C.table_checks(r, RECONCILED_KEYS, RECONCILED_REFERENCES)
     found += [
         C.duplicate_keys(country, "r_country.country_code_iso3", ("country_code_iso3",)),
         primary_topic_membership(work, r["r_work_topic"]),
@@ -104,11 +100,7 @@ def warehouse_checks(
     days = work.where(F.col("publication_date").isNotNull()).select("publication_date").distinct()
     found = [C.same_count(w["dim_date"], days, "dim_date")]
     found += [C.same_count(w[name], r[source], name) for name, source in WAREHOUSE_SOURCES.items()]
-    found += [C.duplicate_keys(w[name], name, key) for name, key in WAREHOUSE_KEYS.items()]
-    found += [
-        C.orphans(w[child], column, w[parent], parent_column, child)
-        for child, column, parent, parent_column in WAREHOUSE_REFERENCES
-    ]
+    found += C.table_checks(w, WAREHOUSE_KEYS, WAREHOUSE_REFERENCES)
     source_works = work.select(
         "work_id", F.col("cited_by_count").alias("citation_count"), "is_open_access"
     )

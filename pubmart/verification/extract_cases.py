@@ -135,11 +135,7 @@ def _checks(spark, sf_dir):
         "population", F.when(F.col("country_key") == 5, F.col("population") + 1).otherwise(F.col("population"))
     )
     return C.all_checks(
-        [C.duplicate_keys(w.table(name), name, key) for name, key in WAREHOUSE_KEYS.items()]
-        + [
-            C.orphans(w.table(child), column, w.table(parent), parent_column, child)
-            for child, column, parent, parent_column in WAREHOUSE_REFERENCES
-        ]
+        C.table_checks(w.tables(), WAREHOUSE_KEYS, WAREHOUSE_REFERENCES)
         + [
             C.duplicate_keys(table(spark, sf_dir, "lineitem"), "lineitem", ("l_orderkey", "l_linenumber")),
             C.orphans(fact, "publication_key", w.bridge_publication_topic, "publication_key", "fact_publication"),

@@ -457,3 +457,26 @@ def test_catalogue_reads_each_dimension_once(wh):
     assert labels.index(("open_access", "Open Access")) + 1 == labels.index(("open_access", "Not Open Access"))
     regions = [label for name, label in labels if name == "region"]
     assert regions[-1] == "Missing / unavailable" and regions[:-1] == sorted(regions[:-1])
+
+
+def test_fused_key_checks_against_single_ones(spark):
+    """Seeded faults: doubled keys, lost references, NULLs on both sides, a parent without children."""
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "k long")
+    parent, one, two = frame([1, 2, 2, 3, None, None]), frame([1, 1, 4, 4, 4, None]), frame([5, 2])
+    found = {(r.check, r.relation): r.violations for r in C.key_checks(parent, "k", [(one, "k", "one"), (two, "k", "two")], "parent").collect()}
+    single = [C.duplicate_keys(parent, "parent", ("k",)), C.orphans(one, "k", parent, "k", "one"), C.orphans(two, "k", parent, "k", "two")]
+    assert found == {(r.check, r.relation): r.violations for r in C.all_checks(single).collect()}
+    assert found == {("duplicate key", "parent"): 2, ("orphan", "one.k"): 3, ("orphan", "two.k"): 1}
+    none = {r.violations for r in C.key_checks(frame([]), "k", [(frame([]), "k", "one")], "parent").collect()}
+    assert none == {0}
+
+
+def test_key_checks_read_each_table_once(wh):
+    from pubmart.schemas import WAREHOUSE_KEYS, WAREHOUSE_REFERENCES
+
+    checks = C.all_checks(C.table_checks(wh.tables(), WAREHOUSE_KEYS, WAREHOUSE_REFERENCES))
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    wanted = {(child, column) for child, column, *_ in WAREHOUSE_REFERENCES} | {(parent, key) for *_, parent, key in WAREHOUSE_REFERENCES}
+    wanted |= {(name, key[0]) if len(key) == 1 else (name, key) for name, key in WAREHOUSE_KEYS.items()}
+    assert plan.count("FileScan parquet") <= len(wanted)
+    assert {r.violations for r in checks.collect()} == {0}
