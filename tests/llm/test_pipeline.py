@@ -82,3 +82,32 @@ def test_empty_corpus(spark, tmp_path):
     pd.DataFrame({n: pd.Series(dtype="str" if n in ("text", "lang", "source") else "int64") for n in NAMES}).to_parquet(tmp_path / "documents.parquet")
     pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}).to_parquet(tmp_path / "labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_odd_corpus(spark, tmp_path):
+    """Null texts and ids, repeated ids, extra columns and a very long text go through every stage."""
+    rng = random.Random(23)
+    texts, marks = labelled(rng, 60)
+    long = prose(rng, 20_000)
+    rows = [*texts.items(), (500, None), (501, ""), (None, texts[1]), (None, None), (2, texts[2]), (2, prose(rng, 90)), (502, long)]
+    extra = ["score", "part", "component_id", "votes"]
+    frame = pd.DataFrame([[*r[:5], "x", 1, 2, 3] for r in rows_of(rows)], columns=NAMES + extra)
+    frame["doc_id"] = frame["doc_id"].astype("Int64")
+    frame["n_chars"] = frame["n_chars"].astype("Int64")
+    frame.to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame(marks, columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    given = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == NAMES + extra, name
+        kept = docs.collect()
+        assert 0 < len(kept) <= given and all((r.score, r.part, r.component_id, r.votes) == ("x", 1, 2, 3) for r in kept), name
+        docs, given = spark.createDataFrame(kept, docs.schema), len(kept)
+    ids = [r.doc_id for r in kept]
+    assert ids.count(2) <= 2 and [r.text for r in kept if r.doc_id == 502] in ([], [long])
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id for p in pieces} == set(ids)
+    offsets = sorted((p.sequence_id, p.offset, p.length) for p in pieces)
+    places = [s * packing.LENGTH + o for s, o, _ in offsets]
+    assert places == [0, *(p + n for p, (_, _, n) in zip(places, offsets, strict=True))][:-1]

@@ -63,12 +63,13 @@ def test_accuracies_and_correlations_are_estimated():
     y = rng.random(n) < 0.3
     good = np.where(rng.random(n) < 0.9, y, ~y)
     poor = np.where(rng.random(n) < 0.6, y, ~y)
-    votes = np.stack([good, poor, poor, np.where(rng.random(n) < 0.8, y, ~y)], axis=1) @ (1 << np.arange(4))
-    labelled = np.zeros((2, 16))
+    others = [np.where(rng.random(n) < p, y, ~y) for p in (0.8, 0.85, 0.8)]
+    votes = np.stack([good, poor, poor, *others], axis=1) @ (1 << np.arange(6))
+    labelled = np.zeros((2, 64))
     np.add.at(labelled, (y[:200].astype(int), votes[:200]), 1)
-    model = T.LabelModel(4).fit(np.bincount(votes, minlength=16).astype(float), labelled)
+    model = T.LabelModel(6).fit(np.bincount(votes, minlength=64).astype(float), labelled)
     assert model.accuracy[1, 0] == pytest.approx(0.9, abs=0.05) and model.accuracy[1, 1] == pytest.approx(0.6, abs=0.06)
-    assert (model.parent[2] == 1 or model.parent[1] == 2) and model.dependence[1, 2] == model.dependence[~np.eye(4, dtype=bool)].max()
+    assert (model.parent[2] == 1 or model.parent[1] == 2) and model.dependence[1, 2] == model.dependence[~np.eye(6, dtype=bool)].max()
     assert ((model.posterior()[votes] > 0.5) == y).mean() > 0.88
 
 
