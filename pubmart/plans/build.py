@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pubmart.functions import measures as M
 from pubmart.operators.keys import ordered_keys
 from pubmart.plans.warehouse import Warehouse
-from pubmart.schemas import BRIDGES, BY_YEAR, PUBLICATION_YEAR, RECONCILED, WAREHOUSE
+from pubmart.schemas import BRIDGES, BY_YEAR, STORED_YEAR, RECONCILED, WAREHOUSE
 
 
 def dim_date(r: Mapping[str, DataFrame]) -> DataFrame:
@@ -56,7 +56,7 @@ def fact_publication(r: Mapping[str, DataFrame], sources: DataFrame) -> DataFram
     works = r["r_work"].select(
         "work_id",
         M.date_key(F.col("publication_date")).alias("date_key"),
-        F.year("publication_date").alias(PUBLICATION_YEAR),
+        F.year("publication_date").alias(STORED_YEAR),
         "source_id",
         F.col("work_type").alias("publication_type"),
         "language",
@@ -76,7 +76,7 @@ def fact_country_year(r: Mapping[str, DataFrame], countries: DataFrame) -> DataF
     return ordered_keys(rows, ("country_code_iso2", "year"), "country_year_key")
 
 
-_PUBLICATION = ("work_id", "publication_key", PUBLICATION_YEAR)
+_PUBLICATION = ("work_id", "publication_key", STORED_YEAR)
 
 
 def _bridge(
@@ -138,14 +138,14 @@ BUILDERS = {
 
 
 def stored_columns(name: str) -> tuple[str, ...]:
-    return (*WAREHOUSE[name], PUBLICATION_YEAR) if name in BY_YEAR else WAREHOUSE[name]
+    return (*WAREHOUSE[name], STORED_YEAR) if name in BY_YEAR else WAREHOUSE[name]
 
 
 def with_years(wh: Warehouse) -> dict[str, DataFrame]:
     """The tables of a warehouse that was not stored by year, with the year that its folders need."""
     tables = wh.tables()
-    facts = tables["fact_publication"].withColumn(PUBLICATION_YEAR, M.year_of(F.col("date_key")))
-    years = facts.select("publication_key", PUBLICATION_YEAR)
+    facts = tables["fact_publication"].withColumn(STORED_YEAR, M.year_of(F.col("date_key")))
+    years = facts.select("publication_key", STORED_YEAR)
     bridges = {name: tables[name].join(years, "publication_key", "left") for name in BRIDGES}
     return {**tables, "fact_publication": facts, **bridges}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pubmart.schemas import PUBLICATION_YEAR, WAREHOUSE
+from pubmart.schemas import STORED_YEAR, WAREHOUSE
 
 
 class Warehouse:
@@ -39,11 +39,11 @@ class Warehouse:
         A fact still needs its own predicate on dates; a bridge is joined with such a fact.
         """
         rows = self.stored(name)
-        if PUBLICATION_YEAR in rows.columns:
+        if STORED_YEAR in rows.columns:
             if first is not None:
-                rows = rows.where(F.col(PUBLICATION_YEAR) >= first)
+                rows = rows.where(F.col(STORED_YEAR) >= first)
             if last is not None:
-                rows = rows.where(F.col(PUBLICATION_YEAR) <= last)
+                rows = rows.where(F.col(STORED_YEAR) <= last)
         return rows.select(*WAREHOUSE[name])
 
     def replace(self, **tables: DataFrame) -> Warehouse:

@@ -200,6 +200,6 @@ WAREHOUSE_REFERENCES = (
     ("bridge_publication_institution", "institution_key", "dim_institution", "institution_key"),
 )
 BRIDGES = tuple(name for name in WAREHOUSE if name.startswith("bridge_"))
-# Stored in one folder a year; the folder's column is no part of the table's contract.
+# Stored in one folder a year. The folder's column is no part of any table's contract, and named like none of theirs.
 BY_YEAR = ("fact_publication", *BRIDGES)
-PUBLICATION_YEAR = "publication_year"
+STORED_YEAR = "stored_year"

@@ -8,7 +8,7 @@ writes to folders that no other writes to. To publish is to create the log file
 the writer began from; of two writers that began from the same release one creates it and the other is told.
 Both rest on the file system's "create unless it exists".
 
-Rows that carry a publication year are written to one folder a year, so that a query over some years
+Rows that carry the year they are stored by are written to one folder a year, so that a query over some years
 opens the folders of these years only, of the fact and of the bridges alike.
 
 Tables may be written in hash buckets of one key, below the years. Tables bucketed alike then join and
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pubmart.plans.warehouse import Warehouse
-from pubmart.schemas import PUBLICATION_YEAR, WAREHOUSE
+from pubmart.schemas import STORED_YEAR, WAREHOUSE
 
 _LOG_SCHEMA = "version BIGINT, tables ARRAY<STRING>, buckets BIGINT, sequence BIGINT"
 BUCKET_KEY = "publication_key"
@@ -110,7 +110,7 @@ def open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
     if not spark.catalog.tableExists(name):
         schema = spark.read.parquet(path).schema
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-        by_year = f"PARTITIONED BY ({PUBLICATION_YEAR}) " if PUBLICATION_YEAR in schema.names else ""
+        by_year = f"PARTITIONED BY ({STORED_YEAR}) " if STORED_YEAR in schema.names else ""
         spark.sql(
             f"CREATE TABLE {name} ({columns}) USING parquet {by_year}"
             f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) INTO {int(buckets)} BUCKETS "
@@ -159,24 +159,32 @@ class Release:
         path = table_path(self.root, self.version, name)
         if self.buckets and BUCKET_KEY in rows.columns:
             return self._stage_bucketed(name, rows, path)
-        by_year = [PUBLICATION_YEAR] if PUBLICATION_YEAR in rows.columns else []
+        by_year = [STORED_YEAR] if STORED_YEAR in rows.columns else []
         if by_year:
             # Rows of a year meet in few tasks; adaptive execution splits large years.
             rows = rows.hint("rebalance", *by_year)
         if order or by_year:
             rows = rows.sortWithinPartitions(*by_year, *order)
-        rows.write.mode("overwrite").partitionBy(*by_year).parquet(path)
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(*by_year) if by_year else writer).parquet(path)
+        self._keep_schema(path, rows)
         self.tables.append(name)
         return self.spark.read.parquet(path)
 
+    def _keep_schema(self, path: str, rows: DataFrame) -> None:
+        """A table without rows has no year folder: one file without rows tells readers its columns."""
+        if STORED_YEAR in rows.columns and not any(n.startswith(STORED_YEAR) for n in file_names(self.spark, path)):
+            self.spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+
     def _stage_bucketed(self, name: str, rows: DataFrame, path: str) -> DataFrame:
         # Partitioned like the buckets, each task writes one bucket instead of a part of all.
         placed = rows.repartition(self.buckets, BUCKET_KEY)
         writer = placed.write.mode("overwrite").format("parquet").option("path", path)
-        if PUBLICATION_YEAR in rows.columns:
-            writer = writer.partitionBy(PUBLICATION_YEAR)
+        if STORED_YEAR in rows.columns:
+            writer = writer.partitionBy(STORED_YEAR)
         writer = writer.bucketBy(self.buckets, BUCKET_KEY).sortBy(BUCKET_KEY)
         writer.saveAsTable(catalog_name(path))
+        self._keep_schema(path, rows)
         self.tables.append(name)
         return open_bucketed(self.spark, path, self.buckets)
 

@@ -237,11 +237,11 @@ def test_year_folders_of_both_sides(spark, loaded, tmp_path):
         for name in BY_YEAR:
             assert warehouse.table(name).columns == list(WAREHOUSE[name])
             folders = warehouse.within(name, 2022, 2022).select("_metadata.file_path").distinct().collect()
-            assert folders and all("publication_year=2022/" in r.file_path for r in folders), (kind, name)
+            assert folders and all("stored_year=2022/" in r.file_path for r in folders), (kind, name)
             assert warehouse.table(name).count() == wh.table(name).count()
         query = D.country_output(warehouse, FilterState(2022, 2022), FRACTIONAL)
         plan = query._jdf.queryExecution().executedPlan().toString()
-        pruned = [line for line in plan.splitlines() if "PartitionFilters: [isnotnull(publication_year" in line]
+        pruned = [line for line in plan.splitlines() if "PartitionFilters: [isnotnull(stored_year" in line]
         assert len(pruned) == 2 and plan.count("FileScan parquet") == 3, kind
         assert rows(query) == rows(D.country_output(wh, FilterState(2022, 2022), FRACTIONAL))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -480,3 +480,17 @@ def test_key_checks_read_each_table_once(wh):
     wanted |= {(name, key[0]) if len(key) == 1 else (name, key) for name, key in WAREHOUSE_KEYS.items()}
     assert plan.count("FileScan parquet") <= len(wanted)
     assert {r.violations for r in checks.collect()} == {0}
+
+
+@pytest.mark.parametrize("buckets", [None, 2])
+def test_a_bridge_without_rows_is_stored_and_read(spark, loaded, tmp_path, buckets):
+    reconciled, _, _ = loaded
+    none = {**reconciled, "r_work_institution": reconciled["r_work_institution"].limit(0), "r_institution": reconciled["r_institution"].limit(0)}
+    root = str(tmp_path / "none")
+    load_warehouse(spark, none, root, buckets=buckets)
+    for table in spark.catalog.listTables():
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+    again = open_warehouse(spark, root)
+    assert again.table("bridge_publication_institution").count() == 0 and again.fact_publication.count() == 3
+    assert rows(D.institution_output(again, FilterState(2022, 2023), FRACTIONAL)) == []
+    assert D.overview_metrics(again, ALL).first().institutions == 0
