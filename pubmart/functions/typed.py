@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,5 +59,8 @@ def not_code(leaf: Column, length: int) -> Column:
 
 
 def problems(rules: dict[str, Column]) -> Column:
-    """Names of the rules a record breaks."""
-    return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+    """Names of the rules a record breaks. They are listed only where one is broken: the test for
+    that is compiled, the list is not."""
+    names = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
+    broken = reduce(lambda a, b: a | b, rules.values())
+    return F.when(broken, names).otherwise(F.array().cast("array<string>"))

@@ -39,12 +39,19 @@ def parsed(lines: DataFrame, record: str) -> DataFrame:
 # ---- works ---------------------------------------------------------------------------
 #
 # Works are parsed into plain types, which is fast but would turn a number in a text field into
-# text. The JSON types of the whole record, as one string, show whether any field of a text
-# field's name holds something else; only then is the record parsed again with VARIANT leaves
-# to name the wrong fields exactly.
+# text. A pattern over the line shows whether a key of a text field's name has another value
+# than a text, null or an array of these; only then is the record parsed again with VARIANT
+# leaves to name the wrong fields exactly. The pattern may suspect too much, never too little:
+# a key that it cannot read, with escaped letters or in single quotes, makes a line suspect.
 
 _STRICT_WORK = re.sub(r"\b(STRING|BIGINT|DOUBLE|BOOLEAN)\b", "VARIANT", WORK_RECORD)
-_WRONG_TEXT = rf"\b({'|'.join(WORK_TEXTS)}): (?!STRING|VOID|ARRAY<STRING>|ARRAY<VOID>)"
+_NAMES = "|".join(WORK_TEXTS)
+_ONE_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+){0,99}+"'
+_TEXTS = rf"\[\s*+(?:(?:{_ONE_TEXT}|null)\s*+(?:,\s*+|(?=\])))*+\]"
+# looks at the value's first letter before the key's name, since few values are no texts
+_WRONG_TEXT = rf'"(?=\s*+:\s*+[^"n\s])(?<="(?:{_NAMES})")\s*+:\s*+(?!{_TEXTS})'
+_OTHER_QUOTES = rf"'(?:{_NAMES})'\s*+:"
+_ESCAPED_LETTER = r"\\u00[0-7]"
 _LEVELS = ("subfield", "field", "domain")
 
 
@@ -145,7 +152,9 @@ def _work_problems() -> Column:
         strict.isNull() | strict["_corrupt"].isNotNull() | ~F.ltrim("value").startswith("{"),
         F.array(F.lit(MALFORMED)),
     ).otherwise(X.problems(work_type_rules(strict)))
-    suspect = F.col("malformed") | F.coalesce(F.col("kinds").rlike(_WRONG_TEXT), F.lit(True))
+    line = F.col("value")
+    unreadable = (line.contains("'") & line.rlike(_OTHER_QUOTES)) | (line.contains("\\u00") & line.rlike(_ESCAPED_LETTER))
+    suspect = F.col("malformed") | F.coalesce(line.rlike(_WRONG_TEXT) | unreadable, F.lit(True))
     none = F.array().cast("array<string>")
     return F.concat(
         F.when(F.col("malformed"), none).otherwise(X.problems(work_value_rules(F.col("record")))),
@@ -156,9 +165,7 @@ def _work_problems() -> Column:
 def typed_works(lines: DataFrame, *more: str) -> DataFrame:
     """Typed columns and broken rules of JSON works, and ``more`` columns of the lines. Topics
     keep their order; authors are flattened."""
-    works = parsed(lines, WORK_RECORD).withColumn(
-        "kinds", F.schema_of_variant(F.try_parse_json("value"))
-    )
+    works = parsed(lines, WORK_RECORD)
     r = F.col("record")
     source = r["primary_location"]["source"]
 

@@ -68,6 +68,19 @@ def _institution(order: Column, number: Column) -> Column:
     )
 
 
+_TASK_ROWS = 50_000
+
+
+def spread(rows: DataFrame, each: int = _TASK_ROWS) -> DataFrame:
+    """The rows dealt evenly to tasks of at most about ``each`` rows.
+
+    A file is split by row groups, which hold any number of narrow rows; a task that parses what
+    is made of one would grow with it. Dealt in turn, so no key decides and none can be too full.
+    """
+    least = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(least, -(-rows.count() // each)))
+
+
 def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON text per record, in a column named value."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -108,7 +121,7 @@ def raw_works(spark: SparkSession, sf_dir: str) -> DataFrame:
         _unless(k % 61 == 0, F.struct(oa.alias("is_oa"))).alias("open_access"),
     )
     copies = F.explode(F.when(k % 89 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     orders = orders.withColumn("copy", copies)
     return orders.select(F.to_json(record).alias("value"))
 
