@@ -55,9 +55,9 @@ def reject_reason(
     )
 
 
-def one_line_each(corpus: DataFrame) -> DataFrame:
-    """work_id, line_hash and publication_year: for each work its line of smallest hash."""
-    line = F.min(F.struct("line_hash", "publication_year")).alias("line")
+def one_line_each(corpus: DataFrame, *more: str) -> DataFrame:
+    """work_id, line_hash, publication_year and ``more`` columns: for each work its line of smallest hash."""
+    line = F.min(F.struct("line_hash", "publication_year", *more)).alias("line")
     return corpus.groupBy("work_id").agg(line).select("work_id", "line.*")
 
 

@@ -4,14 +4,18 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from samples import JOURNAL, cell, four_cells, institution, three_works, topic, work
 
+from pubmart.functions.text import WHITE_SPACE, clean_text, trimmed
 from pubmart.operators.checks import CheckFailed
 from pubmart.plans.load import load_reconciled, open_reconciled
 from pubmart.plans.reconcile import coverage_summary
-from pubmart.sources.records import read_panel, read_works
+from pubmart.sources.records import read_panel, read_works, typed_works
 from pubmart.sources.releases import NotPublished, current_version
 from pubmart.sources.sinks import ChecksumMismatch
+from pubmart.verification import build_registry
+from pubmart.verification.raw_roles import raw_works, spread, typed_role_works
 
 
 def core_works() -> list[dict]:
@@ -228,3 +232,53 @@ def test_manifest_checksum(tmp_path, load, write_lines):
     with pytest.raises(ChecksumMismatch):
         load(core_works(), manifest_path=str(manifest))
     load(core_works(), manifest_path=str(tmp_path / "absent.json"))
+
+
+def test_records_of_one_row_group_are_made_and_parsed_by_many_tasks(spark, tmp_path):
+    orders = spark.range(1, 201).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "9000D AS o_totalprice",
+        "timestamp'1997-03-04 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    raw = raw_works(spark, str(tmp_path))
+    assert raw.select(F.spark_partition_id()).distinct().count() > 1
+    assert raw.count() == 202 and raw.distinct().count() == 202  # orders 89 and 178 have two records
+    assert spread(orders, 10).rdd.getNumPartitions() == 20
+    found = typed_works(raw).select("work_id", F.size("problems").alias("n"))
+    assert found.distinct().count() == 200 and found.where("n > 0").count() == 0
+
+
+def test_reject_reasons_count_works_by_one_line_each(spark, tmp_path):
+    orders = spark.createDataFrame([(89, 3), (178, 3), (267, 3), (1, 4)], "o_orderkey LONG, o_custkey LONG").selectExpr(
+        "*", "'F' AS o_orderstatus", "9000D AS o_totalprice",
+        "timestamp'1997-03-04 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert typed_role_works(spark, str(tmp_path)).count() == 7
+    found = build_registry().queries["reject_reasons"](spark, str(tmp_path))
+    assert sum(row.works for row in found.collect()) == 4
+
+
+@pytest.mark.parametrize(
+    ("line", "expected"),
+    [
+        ('{"id": "W1", "title" : 5, "display_name": "5"}', ["title is not text"]),
+        ('{"id": "W1", "t\\u0069tle": 5, "display_name": "5"}', ["title is not text"]),
+        ("{'id': 'W1', 'title': 5, 'display_name': '5'}", ["title is not text"]),
+        ('{"id": "W1", "authorships": [{"countries": ["IT", null, 5]}]}', ["author country code", "author countries with wrong types"]),
+        ('{"id": "W1", "authorships": [{"countries": ["IT" , "US"]}]}', []),
+        ('{"id": "W1", "language": {"a": "x"}}', ["language is not text"]),
+        ('{"id": "W1", "language":true}', ["language is not text"]),
+        ('{"id": "W1", "language": null, "other": {"type": "\\\\\\"id\\\\\\": 5"}}', []),
+        ('{"id": "\\u00a0 \\t"}', ["id is missing"]),
+    ],
+)
+def test_wrong_types_are_found_however_the_line_is_written(spark, line, expected):
+    lines = spark.createDataFrame([(line,)], "value STRING")
+    assert typed_works(lines).first().problems == expected
+
+
+@pytest.mark.parametrize("text", ["", " ", "x", " x", "x ", " x y　", "\x7f", "\x7fx", "é", " é\x85", "!~", "~", "\x1f!"])
+def test_trimming_of_plain_and_other_ends(spark, text):
+    row = spark.createDataFrame([(text,)], "t STRING").select(trimmed(F.col("t")).alias("a"), clean_text(F.col("t")).alias("b")).first()
+    assert row.a == text.strip(WHITE_SPACE) and row.b == (text.strip(WHITE_SPACE) or None)
