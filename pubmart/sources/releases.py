@@ -49,11 +49,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def create_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file unless it exists; whether this call created it."""
+    """Create a small file unless it exists; whether this call created it.
+
+    Hadoop's local file system looks and then creates, so two threads may both succeed; there the file
+    is claimed by the operating system's exclusive create first.
+    """
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    local = system.getUri().getScheme() == "file"
+    if local:
+        file = spark._jvm.java.io.File(system.makeQualified(location).toUri().getPath())
+        file.getParentFile().mkdirs()
+        if not file.createNewFile():
+            return False
     try:
-        stream = system.create(location, False)
+        stream = system.create(location, local)
     except Py4JJavaError as error:
         if "FileAlreadyExistsException" in error.java_exception.getClass().getName() or system.exists(location):
             return False
