@@ -12,10 +12,13 @@ WHITE_SPACE = (
 )
 
 
+_VISIBLE = "".join(chr(code) for code in range(33, 127))
+
+
 def _visible_ends(text: Column) -> Column:
-    """First and last character are visible ASCII, so there is nothing to trim: two comparisons
-    instead of a search in all white space at both ends."""
-    return (text >= "!") & (text < "\x7f") & F.substring(text, -1, 1).between("!", "~")
+    """First and last character are visible ASCII, so there is nothing to trim: two comparisons and a
+    look-up instead of a search in all white space at both ends. The empty text fails the first one."""
+    return (text >= "!") & (text < "\x7f") & F.lit(_VISIBLE).contains(F.substring(text, -1, 1))
 
 
 def _stripped(text: Column) -> Column:

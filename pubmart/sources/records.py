@@ -48,8 +48,10 @@ _STRICT_WORK = re.sub(r"\b(STRING|BIGINT|DOUBLE|BOOLEAN)\b", "VARIANT", WORK_REC
 _NAMES = "|".join(WORK_TEXTS)
 _ONE_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+){0,99}+"'
 _TEXTS = rf"\[\s*+(?:(?:{_ONE_TEXT}|null)\s*+(?:,\s*+|(?=\])))*+\]"
-# looks at the value's first letter before the key's name, since few values are no texts
-_WRONG_TEXT = rf'"(?=\s*+:\s*+[^"n\s])(?<="(?:{_NAMES})")\s*+:\s*+(?!{_TEXTS})'
+# Goes by the colons, which are fewer than the quotes, and looks at what stands next to one before the
+# key's name, since few values are no texts. More white space than a look-behind can take is suspect.
+_NAMED = rf'(?<="(?:{_NAMES})":)|(?<=\s:)(?:(?<="(?:{_NAMES})"\s{{1,200}}:)|(?<=\s{{200}}:))'
+_WRONG_TEXT = rf':(?<=["\s]:)(?=\s*+[^"n\s])(?:{_NAMED})(?!\s*+{_TEXTS})'
 _OTHER_QUOTES = rf"'(?:{_NAMES})'\s*+:"
 _ESCAPED_LETTER = r"\\u00[0-7]"
 _LEVELS = ("subfield", "field", "domain")
@@ -71,6 +73,49 @@ def _topic(t: Column) -> list[Column]:
     return parts
 
 
+# A function of an array's structs is interpreted, and each use of a field reads the struct again. Fields
+# taken from all structs at once are compiled; only the texts, one by one, meet the interpreted cleaning.
+
+
+def _all_clean(texts: Column) -> Column:
+    return F.transform(texts, clean_text)
+
+
+def _listed_topics(topics: Column) -> dict[str, Column]:
+    """The cleaned texts of all topics, an array for each field of ``_topic``."""
+    found = {"topic_id": topics["id"], "topic_name": topics["display_name"]}
+    for level in _LEVELS:
+        found[f"{level}_id"] = topics[level]["id"]
+        found[f"{level}_name"] = topics[level]["display_name"]
+    return {name: _all_clean(texts) for name, texts in found.items()}
+
+
+def _joined(lists: Column) -> Column:
+    """The entries of all lists; missing lists have none."""
+    return F.flatten(F.transform(_entries(lists), _entries))
+
+
+_INSTITUTION = {
+    "institution_id": "id", "display_name": "display_name", "institution_type": "type", "country_code_iso2": "country_code"
+}
+
+
+def _with_lists(works: DataFrame) -> DataFrame:
+    """Columns of arrays, which the typed fields and the rules share."""
+    authors = F.col("record.authorships")
+    works = works.withColumns(
+        {"_countries": _joined(authors["countries"]), "_institutions": _joined(authors["institutions"])}
+    )
+    topics = {f"_topic_{k}": v for k, v in _listed_topics(F.col("record.topics")).items()}
+    members = {f"_of_{k}": _all_clean(F.col("_institutions")[v]) for k, v in _INSTITUTION.items()}
+    return works.withColumns({**topics, **members})
+
+
+def _zipped(arrays: dict[str, Column]) -> Column:
+    """Arrays of equal length as one array of structs."""
+    return F.arrays_zip(*[values.alias(name) for name, values in arrays.items()])
+
+
 def _day(value: Column) -> Column:
     return F.try_to_date(clean_text(value), "yyyy-MM-dd")
 
@@ -80,16 +125,17 @@ def _bad_code(code: Column) -> Column:
 
 
 def work_value_rules(r: Column) -> dict[str, Column]:
-    """Rules on the values of a parsed work, by name; true when the record breaks one."""
+    """Rules on the values of a parsed work with its lists, by name; true when the record breaks one."""
     primary, source = r["primary_topic"], r["primary_location"]["source"]
     day, date_text = _day(r["publication_date"]), clean_text(r["publication_date"])
     well_dated = date_text.rlike(r"^\d{4}-\d{2}-\d{2}\z") & day.isNotNull()
-    related = _any(r["topics"], lambda t: trimmed(t["id"]) == trimmed(primary["id"]))
+    topic_ids, primary_id = F.col("_topic_topic_id"), clean_text(primary["id"])
+    related = F.when(
+        primary_id.isNotNull(), F.coalesce(F.array_contains(topic_ids, primary_id), F.lit(False))
+    ).otherwise(_any(r["topics"], lambda t: trimmed(t["id"]) == trimmed(primary["id"])))
 
-    def bad_institution(i: Column) -> Column:
-        code = i["country_code"]
-        wrong_code = code.isNotNull() & (code != "") & _bad_code(code)
-        return clean_text(i["id"]).isNull() | wrong_code
+    def wrong_code(code: Column) -> Column:
+        return code.isNotNull() & (code != "") & _bad_code(code)
 
     return {
         "id is missing": clean_text(r["id"]).isNull(),
@@ -99,17 +145,14 @@ def work_value_rules(r: Column) -> dict[str, Column]:
         "cited_by_count is negative": r["cited_by_count"] < 0,
         "publication_date is not a date": date_text.isNotNull() & ~well_dated,
         "publication_date and publication_year differ": F.year(day) != r["publication_year"],
-        "topics without id": _any(r["topics"], lambda t: clean_text(t["id"]).isNull()),
-        "primary_topic without id": primary.isNotNull() & clean_text(primary["id"]).isNull(),
+        "topics without id": _any(topic_ids, lambda t: t.isNull()),
+        "primary_topic without id": primary.isNotNull() & primary_id.isNull(),
         "primary_topic is absent from topics": primary.isNotNull() & ~related,
         "source without id": source.isNotNull() & clean_text(source["id"]).isNull(),
         "authorships with null": _any(r["authorships"], lambda a: a.isNull()),
-        "author country code": _any(
-            r["authorships"], lambda a: _any(a["countries"], lambda c: c.isNull() | _bad_code(c))
-        ),
-        "institution id or country code": _any(
-            r["authorships"], lambda a: _any(a["institutions"], bad_institution)
-        ),
+        "author country code": _any(F.col("_countries"), lambda c: c.isNull() | _bad_code(c)),
+        "institution id or country code": _any(F.col("_of_institution_id"), lambda i: i.isNull())
+        | _any(F.col("_institutions")["country_code"], wrong_code),
     }
 
 
@@ -165,19 +208,11 @@ def _work_problems() -> Column:
 def typed_works(lines: DataFrame, *more: str) -> DataFrame:
     """Typed columns and broken rules of JSON works, and ``more`` columns of the lines. Topics
     keep their order; authors are flattened."""
-    works = parsed(lines, WORK_RECORD)
+    works = _with_lists(parsed(lines, WORK_RECORD))
     r = F.col("record")
     source = r["primary_location"]["source"]
-
-    def institution(i: Column) -> Column:
-        return F.struct(
-            clean_text(i["id"]).alias("institution_id"),
-            clean_text(i["display_name"]).alias("display_name"),
-            clean_text(i["type"]).alias("institution_type"),
-            clean_text(i["country_code"]).alias("country_code_iso2"),
-        )
-
-    authors = _entries(r["authorships"])
+    topics = {name: F.col(f"_topic_{name}") for name in _listed_topics(r["topics"])}
+    members = {name: F.col(f"_of_{name}") for name in _INSTITUTION}
     return works.select(
         clean_text(r["id"]).alias("work_id"),
         clean_text(r["doi"]).alias("doi"),
@@ -190,7 +225,7 @@ def typed_works(lines: DataFrame, *more: str) -> DataFrame:
         r["is_retracted"].alias("is_retracted"),
         r["open_access"]["is_oa"].alias("is_open_access"),
         F.when(r["primary_topic"].isNotNull(), F.struct(*_topic(r["primary_topic"]))).alias("primary_topic"),
-        F.transform(r["topics"], lambda t: F.struct(*_topic(t), t["score"].alias("score"))).alias("topics"),
+        _zipped({**topics, "score": r["topics"]["score"]}).alias("topics"),
         F.when(
             source.isNotNull(),
             F.struct(
@@ -200,12 +235,8 @@ def typed_works(lines: DataFrame, *more: str) -> DataFrame:
                 clean_text(source["issn_l"]).alias("issn_l"),
             ),
         ).alias("source"),
-        F.flatten(
-            F.transform(authors, lambda a: F.transform(_entries(a["countries"]), clean_text))
-        ).alias("author_countries"),
-        F.flatten(
-            F.transform(authors, lambda a: F.transform(_entries(a["institutions"]), institution))
-        ).alias("institutions"),
+        _all_clean(F.col("_countries")).alias("author_countries"),
+        _zipped(members).alias("institutions"),
         _work_problems().alias("problems"),
         *more,
     )
