@@ -14,7 +14,7 @@ from pubmart.schemas import COUNTRY_RECORD, MEASURES, WAREHOUSE_KEYS, WAREHOUSE_
 from pubmart.sources import landed as L
 from pubmart.sources import sinks
 from pubmart.verification.case import Registry
-from pubmart.verification.raw_roles import RAW_SQL, typed_role_panel, typed_role_works
+from pubmart.verification.raw_roles import RAW_SQL, staged, typed_role_panel, typed_role_works
 from pubmart.verification.roles import ROLE_SQL, role_warehouse, table, topic_pairs
 
 YEARS = tuple(range(1995, 2002))
@@ -43,7 +43,8 @@ def _hashed(works):
 
 def _lines(spark, sf_dir):
     """All qualifying lines with their hashes; some works have two, with different text."""
-    return _hashed(typed_role_works(spark, sf_dir).where(S.in_corpus(YEARS)))
+    # staged, as a load does: a sample reads them several times, and a line's hash costs a JSON text
+    return staged(spark, sf_dir, "corpus", lambda: _hashed(typed_role_works(spark, sf_dir).where(S.in_corpus(YEARS))))
 
 
 def _reject_reasons(spark, sf_dir):

@@ -135,8 +135,8 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _staged(spark: SparkSession, sf_dir: str, name: str, typed) -> DataFrame:
-    """Typed records behind a reliable checkpoint, as a load stages them; kept per application."""
+def staged(spark: SparkSession, sf_dir: str, name: str, typed) -> DataFrame:
+    """Records behind a reliable checkpoint, as a load stages them; kept per application."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STAGED:
         ensure_checkpoint_dir(spark)
@@ -148,14 +148,14 @@ def typed_role_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     def typed():
         return typed_works(raw_works(spark, sf_dir))
 
-    return _staged(spark, sf_dir, "works", typed)
+    return staged(spark, sf_dir, "works", typed)
 
 
 def typed_role_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     def typed():
         return typed_panel(raw_panel(spark, sf_dir))
 
-    return _staged(spark, sf_dir, "panel", typed)
+    return staged(spark, sf_dir, "panel", typed)
 
 
 def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def broken_works(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = raw_works(spark, sf_dir).withColumn("kind", k % 40).select(value.alias("value"))
     # staged first: an explode on the parsing projection would parse each record again
-    typed = _staged(spark, sf_dir, "broken works", lambda: typed_works(lines).select("problems"))
+    typed = staged(spark, sf_dir, "broken works", lambda: typed_works(lines).select("problems"))
     return typed.select(F.explode("problems").alias("problem")).groupBy("problem").count()
 
 

@@ -282,3 +282,35 @@ def test_wrong_types_are_found_however_the_line_is_written(spark, line, expected
 def test_trimming_of_plain_and_other_ends(spark, text):
     row = spark.createDataFrame([(text,)], "t STRING").select(trimmed(F.col("t")).alias("a"), clean_text(F.col("t")).alias("b")).first()
     assert row.a == text.strip(WHITE_SPACE) and row.b == (text.strip(WHITE_SPACE) or None)
+
+
+def test_members_are_cleaned_text_by_text(spark):
+    """Interpreted functions see single texts: none of them reads fields of topics or institutions."""
+    line = json.dumps(
+        {
+            "id": "W1",
+            "topics": [None, {"id": " T1 ", "subfield": {"id": " "}, "score": 0.5}],
+            "primary_topic": {"id": "T1"},
+            "authorships": [None, {"countries": None, "institutions": [None, {"id": "I1", "country_code": " "}]}],
+        }
+    )
+    typed = typed_works(spark.createDataFrame([(line,)], "value STRING"))
+    row = typed.first()
+    assert [t.topic_id for t in row.topics] == [None, "T1"] and row.topics[1].score == 0.5
+    assert row.topics[1].subfield_id is None
+    assert [i.institution_id for i in row.institutions] == [None, "I1"]
+    assert row.problems == ["topics without id", "authorships with null", "institution id or country code"]
+    topics = typed.select("topics")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" in topics and ".subfield.id" in topics
+    assert "lambdafunction(named_struct" not in topics
+
+
+def test_sample_lines_are_hashed_once(spark, tmp_path):
+    orders = spark.range(1, 401).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "9000D AS o_totalprice",
+        "timestamp'1997-03-04 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    drawn = build_registry().queries["sample_allocation"](spark, str(tmp_path))
+    assert "sha2" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert [(row.year, row.allocation) for row in drawn.collect()] == [(1997, 500)]
