@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pubmart.functions import typed as X
 from pubmart.functions.text import clean_text, is_country_code, trimmed
-from pubmart.schemas import MEASURES, PANEL_RECORD, WORK_RECORD, WORK_TEXTS
+from pubmart.schemas import MEASURES, PANEL_RECORD, WORK_RECORD
 
 
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
@@ -39,22 +39,23 @@ def parsed(lines: DataFrame, record: str) -> DataFrame:
 # ---- works ---------------------------------------------------------------------------
 #
 # Works are parsed into plain types, which is fast but would turn a number in a text field into
-# text. A pattern over the line shows whether a key of a text field's name has another value
-# than a text, null or an array of these; only then is the record parsed again with VARIANT
-# leaves to name the wrong fields exactly. The pattern may suspect too much, never too little:
-# a key that it cannot read, with escaped letters or in single quotes, makes a line suspect.
+# text. Such a text is written as the JSON value was: a number, a flag, an object or an array. Only a
+# record with a text of that look is parsed again with VARIANT leaves, to name the wrong fields exactly. The
+# look may suspect too much (a title of digits), never too little.
 
 _STRICT_WORK = re.sub(r"\b(STRING|BIGINT|DOUBLE|BOOLEAN)\b", "VARIANT", WORK_RECORD)
-_NAMES = "|".join(WORK_TEXTS)
+# quotes are written around numbers that are none; no number begins with 0 and a digit, or goes on like a date
+_NUMBER_LOOK = r'\A(?:"|[-+]?(?:0|[1-9]\d*+|\.\d)(?![\d-])|[-+]INF)'
 _ONE_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+){0,99}+"'
-_TEXTS = rf"\[\s*+(?:(?:{_ONE_TEXT}|null)\s*+(?:,\s*+|(?=\])))*+\]"
-# looks at the value's first letter before the key's name, since few values are no texts
-_WRONG_TEXT = rf'"(?=\s*+:\s*+[^"n\s])(?<="(?:{_NAMES})")\s*+:\s*+(?!{_TEXTS})'
-_OTHER_QUOTES = rf"'(?:{_NAMES})'\s*+:"
-_ESCAPED_LETTER = r"\\u00[0-7]"
+# an array of texts in place of a text is let through, as before
+_TEXTS = rf"\A\[\s*+(?:(?:{_ONE_TEXT}|null)\s*+(?:,\s*+|(?=\])))*+\]"
+_WORD_LOOKS = ("true", "false", "NaN", "INF", "Infinity")
 _LEVELS = ("subfield", "field", "domain")
 
 
+_TOPIC_TEXTS = ("topic_id", "topic_name", *[f"{level}_{part}" for level in _LEVELS for part in ("id", "name")])
+
+
 def _any(values: Column, test) -> Column:
     return F.coalesce(F.exists(values, test), F.lit(False))
 
@@ -187,15 +188,38 @@ def work_type_rules(r: Column) -> dict[str, Column]:
     }
 
 
+def _looks_like_json(text: Column) -> Column:
+    """A parsed text may be a JSON value that was no text. Nearly all texts need no search."""
+    return (
+        ((text < ":") & text.rlike(_NUMBER_LOOK))
+        | text.startswith("{")
+        | (text.startswith("[") & ~text.rlike(_TEXTS))
+        | text.isin(*_WORD_LOOKS)
+    )
+
+
+def _lists() -> Column:
+    """All texts of a record's lists."""
+    names = [f"_topic_{name}" for name in _TOPIC_TEXTS] + [f"_of_{name}" for name in _INSTITUTION]
+    return F.concat(*[_entries(F.col(name)) for name in names], _entries(F.col("_countries")))
+
+
+def _single_texts(r: Column) -> list[Column]:
+    """A record's texts outside of lists."""
+    primary, source = r["primary_topic"], r["primary_location"]["source"]
+    texts = [r[name] for name in ("id", "doi", "title", "display_name", "publication_date", "type", "language")]
+    texts += [entity[part] for entity in (primary, *[primary[level] for level in _LEVELS]) for part in ("id", "display_name")]
+    return texts + [source[part] for part in ("id", "display_name", "type", "issn_l")]
+
+
 def _work_problems() -> Column:
     strict = F.from_json("value", f"{_STRICT_WORK}, _corrupt STRING", PERMISSIVE)
     wrong_types = F.when(
         strict.isNull() | strict["_corrupt"].isNotNull() | ~F.ltrim("value").startswith("{"),
         F.array(F.lit(MALFORMED)),
     ).otherwise(X.problems(work_type_rules(strict)))
-    line = F.col("value")
-    unreadable = (line.contains("'") & line.rlike(_OTHER_QUOTES)) | (line.contains("\\u00") & line.rlike(_ESCAPED_LETTER))
-    suspect = F.col("malformed") | F.coalesce(line.rlike(_WRONG_TEXT) | unreadable, F.lit(True))
+    looks = [_any(_lists(), _looks_like_json), *[_looks_like_json(text) for text in _single_texts(F.col("record"))]]
+    suspect = reduce(lambda a, b: a | b, [F.coalesce(found, F.lit(False)) for found in looks], F.col("malformed"))
     none = F.array().cast("array<string>")
     return F.concat(
         F.when(F.col("malformed"), none).otherwise(X.problems(work_value_rules(F.col("record")))),

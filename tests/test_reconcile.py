@@ -11,6 +11,7 @@ from pubmart.functions.text import WHITE_SPACE, clean_text, trimmed
 from pubmart.operators.checks import CheckFailed
 from pubmart.plans.load import load_reconciled, open_reconciled
 from pubmart.plans.reconcile import coverage_summary
+from pubmart.sources import records
 from pubmart.sources.records import read_panel, read_works, typed_works
 from pubmart.sources.releases import NotPublished, current_version
 from pubmart.sources.sinks import ChecksumMismatch
@@ -278,6 +279,25 @@ def test_wrong_types_are_found_however_the_line_is_written(spark, line, expected
     assert typed_works(lines).first().problems == expected
 
 
+def test_no_json_value_passes_for_a_text(spark):
+    values = ["5", "0", "-0.5", "1.5e3", "NaN", "-INF", "+INF", "Infinity", "false", "[5]", '["a", {}]', '{"a": 1}', "9" * 50]
+    work = '{"id": "W1", "topics": [{"id": "T1", "domain": {"id": %s}}], "primary_location": {"source": {"id": "S1", "type": %s}}}'
+    lines = spark.createDataFrame([(work % (v, v),) for v in values], "value STRING").coalesce(1)
+    found = [row.problems for row in typed_works(lines).collect()]
+    assert found == [["topics with wrong types", "source with wrong types"]] * len(values)
+
+
+def test_texts_are_judged_as_parsed_and_lines_are_not_searched(spark):
+    """Keys and texts that only look like wrong values cost no second, strict parse: the line itself meets no pattern."""
+    line = '{"id": "W1", "title": "007", "other": {"type": 5}, "primary_location": {"source": {"id": "S1", "issn_l": "00001234"}}}'
+    typed = typed_works(spark.createDataFrame([(line,)], "value STRING"))
+    assert typed.first().problems == []
+    assert "RLIKE(value" not in typed._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    looks = "007|00001234|1996-04-03|1234-5678|0000-0001|topic 5|true story".split("|")
+    texts = spark.createDataFrame([(t,) for t in looks], "t STRING")
+    assert texts.where(records._looks_like_json(F.col("t"))).count() == 0
+
+
 @pytest.mark.parametrize("text", ["", " ", "x", " x", "x ", " x y　", "\x7f", "\x7fx", "é", " é\x85", "!~", "~", "\x1f!"])
 def test_trimming_of_plain_and_other_ends(spark, text):
     row = spark.createDataFrame([(text,)], "t STRING").select(trimmed(F.col("t")).alias("a"), clean_text(F.col("t")).alias("b")).first()
