@@ -18,6 +18,7 @@ from pubmart.plans.filters import FilterState, filtered_publications
 from pubmart.plans.load import load_reconciled, load_warehouse
 from pubmart.schemas import BY_YEAR, MISSING_VALUE, WAREHOUSE
 from pubmart.sources.releases import PublishConflict, Release, create_once, current_version, open_table, open_warehouse
+from pubmart.verification import layout_cases
 
 ALL = FilterState()
 
@@ -510,3 +511,35 @@ def test_labels_by_leaf_keep_unnamed_members_and_repeated_leaves_apart(spark):
     members, leaves = _labels_by_leaf(labels, "topic_key")
     assert sorted(rows(members.select("member_id", "raw_name", "_label")), key=str) == [("a", "a", 1), ("a", None, 2), ("b", "b", 2)]
     assert sorted(rows(leaves)) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_buckets_follow_the_largest_table(spark):
+    tables = [spark.range(25), spark.range(101)]
+    assert layout_cases.buckets_for(tables, 4, each=10) == 11
+    assert layout_cases.buckets_for(tables, 4, each=50) == 4
+    assert layout_cases.buckets_for([spark.range(0)], 4, each=10) == 4
+
+
+def test_tables_are_stored_in_more_buckets_than_asked_for_when_they_are_large(spark, tmp_path, monkeypatch):
+    orders = spark.range(1, 41).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "9000D AS o_totalprice",
+        "timestamp'1997-03-04 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, 81).selectExpr("id % 40 + 1 AS l_orderkey", "id AS l_partkey", "id % 3 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    others = {
+        "nation": "id AS n_nationkey, id AS n_regionkey, 'N' AS n_name",
+        "region": "id AS r_regionkey, 'R' AS r_name",
+        "supplier": "id AS s_suppkey, 'S' AS s_name, id AS s_nationkey",
+        "customer": "id AS c_custkey, 'C' AS c_name, 'M' AS c_mktsegment, id AS c_nationkey",
+        "part": "id AS p_partkey, 'P' AS p_name, 'B1' AS p_brand, 'T' AS p_type",
+    }
+    for name, columns in others.items():
+        spark.range(3).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    asked = []
+    monkeypatch.setattr(layout_cases.buckets_for, "__defaults__", (10,))
+    monkeypatch.setattr(layout_cases, "Release", lambda spark, root, buckets: asked.append(buckets) or Release(spark, root, buckets))
+    stored = layout_cases.stored_by_year(spark, str(tmp_path), "topic", buckets=4)
+    assert asked == [8] and stored.bridge_publication_topic.count() == 80
+    layout_cases.stored_by_year(spark, str(tmp_path), "topic")
+    assert asked == [8, None]
