@@ -14,17 +14,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from pubmart.llm.common import flat_ranges, mix64, per_text, whole_texts
+from pubmart.llm.common import mix64, per_text, whole_texts
 
 FILE = "byte_bpe_multi_50k.tiktoken"
 BUCKET = 4
-#: Distinct pre-tokens kept from one batch to the next before the table starts anew.
+#: Distinct pre-tokens of a generation.
 KEPT = 200_000
 
 
@@ -89,83 +91,125 @@ class PerfectHash:
         return self.rank[self._slots(codes, shift)]
 
 
-def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a piece that is not a token: repeatedly join the pair of lowest rank, leftmost first."""
-    n = len(piece)
-    start = list(range(n))
-    end = [i + 1 for i in range(n)]
-    after = list(range(1, n)) + [-1]
-    before = list(range(-1, n - 1))
-    heap = []
-
-    def offer(left: int, right: int) -> None:
-        rank = ranks.get(piece[start[left] : end[right]])
-        if rank is not None:
-            heapq.heappush(heap, (rank, left, right, end[right]))
-
-    for i in range(n - 1):
-        offer(i, i + 1)
-    while heap:
-        _, left, right, stop = heapq.heappop(heap)
-        # stale: the left part has grown or gone, or the right part has grown since
-        if end[left] != start[right] or end[right] != stop or after[left] != right:
-            continue
-        end[left] = stop
-        after[left] = after[right]
-        end[right] = -1
-        if after[left] >= 0:
-            before[after[left]] = left
-            offer(left, after[left])
-        if before[left] >= 0:
-            offer(before[left], left)
-    ids, at = [], 0
-    while at >= 0:
-        ids.append(ranks[piece[start[at] : end[at]]])
-        at = after[at]
-    return ids
+class Merges:
+    """Ids of pieces that are not tokens: repeatedly join the pair of lowest rank, leftmost first.
+
+    Every part is a token at any time, so a pair is looked up by its two ids and not by its bytes; a joined
+    token's id is its rank. The heaps' first entries are found for many pieces at once.
+    """
+
+    SHIFT = 32
+
+    def __init__(self, tokens: list[bytes]):
+        ranks = {t: i for i, t in enumerate(tokens)}
+        if any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("Every byte must be a token")
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.two = np.full(1 << 16, -1, dtype=np.int64)  # ranks of pairs of bytes
+        self.joined: dict[int, int] = {}
+        for joined, token in enumerate(tokens):
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.joined[left << self.SHIFT | right] = joined
+            if len(token) == 2:
+                self.two[token[0] << 8 | token[1]] = joined
+
+    def __call__(self, pieces: list[bytes]) -> Iterator[list[int]]:
+        """Ids of each piece; no piece is empty."""
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        stops = np.cumsum(sizes)
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8).astype(np.int64)
+        # the rank of each part's pair with the part behind it; -1: no token, or the last part
+        rank = np.full(len(flat), -1, dtype=np.int64)
+        rank[:-1] = self.two[flat[:-1] << 8 | flat[1:]]
+        rank[stops - 1] = -1
+        some = rank >= 0
+        entries = (rank << self.SHIFT | np.arange(len(flat)) - np.repeat(stops - sizes, sizes))[some].tolist()
+        ids, ranks = self.single[flat].tolist(), rank.tolist()
+        begin = first = 0
+        for stop, last in zip(stops.tolist(), np.cumsum(some)[stops - 1].tolist(), strict=True):
+            yield self._merged(ids[begin:stop], ranks[begin:stop], entries[first:last])
+            begin, first = stop, last
+
+    def _merged(self, ids: list[int], rank: list[int], heap: list[int]) -> list[int]:
+        joined, pop, push, n, shift = self.joined, heapq.heappop, heapq.heappush, len(ids), self.SHIFT
+        place = (1 << shift) - 1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heapq.heapify(heap)
+        while heap:
+            low = pop(heap)
+            left, token = low & place, low >> shift
+            if rank[left] != token:  # stale: the pair has changed or gone
+                continue
+            right = after[left]
+            ids[left], ids[right], rank[right] = token, -1, -1
+            behind = after[left] = after[right]
+            rank[left] = -1
+            if behind < n:
+                before[behind] = left
+                pair = token << shift | ids[behind]
+                if pair in joined:
+                    rank[left] = found = joined[pair]
+                    push(heap, found << shift | left)
+            front = before[left]
+            if front >= 0:
+                rank[front] = -1
+                pair = ids[front] << shift | token
+                if pair in joined:
+                    rank[front] = found = joined[pair]
+                    push(heap, found << shift | front)
+        return [i for i in ids if i >= 0]
 
 
 class TwoTier:
-    """Encoder of whole texts; one per task."""
+    """Encoder of whole texts; one per task.
+
+    Distinct pre-tokens are remembered in two generations of at most KEPT and a batch: one that is used
+    again moves to the new one, so that rare ones leave and frequent ones stay.
+    """
 
-    def __init__(self, tokens: list[bytes], perfect: PerfectHash, pattern: str):
+    def __init__(self, tokens: list[bytes], perfect: PerfectHash, merges: Merges, pattern: str):
         self.tokens = tokens
         self.perfect = perfect
-        self.ranks = {t: i for i, t in enumerate(tokens)}
+        self.merges = merges
         self.pattern = regex.compile(pattern)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.lengths: list[int] = []
-
-    def _learn(self, missing: list[str]) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {}
+        new, old, tokens = self.new, self.old, self.tokens
+        missing = []
+        for piece in pieces.difference(new):
+            ids = old.get(piece)
+            if ids is None:
+                missing.append(piece)
+            else:
+                new[piece] = ids
+        if not missing:
+            return
         keys = [m.encode("utf-8", "replace") for m in missing]
-        for text, key, rank in zip(missing, keys, self.perfect.candidates(keys).tolist(), strict=True):
-            ids = [rank] if self.tokens[rank] == key else merge_bytes(key, self.ranks)
-            self.known[text] = len(self.lengths)
-            self.flat.extend(ids)
-            self.lengths.append(len(ids))
+        ranks = self.perfect.candidates(keys).tolist()
+        rest = []
+        for text, key, rank in zip(missing, keys, ranks, strict=True):
+            if tokens[rank] == key:
+                new[text] = rank.to_bytes(4, "little")
+            else:
+                rest.append((text, key))
+        if rest:
+            texts, keys = zip(*rest, strict=True)
+            new.update((text, array("I", ids).tobytes()) for text, ids in zip(texts, self.merges(keys), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT:
-            self._clear()
         found = [self.pattern.findall(t) for t in texts]
-        distinct = set()
+        distinct: set[str] = set()
         for pieces in found:
             distinct.update(pieces)
-        missing = sorted(p for p in distinct if p not in self.known)
-        if missing:
-            self._learn(missing)
-        flat = np.array(self.flat, dtype=np.uint32)
-        lengths = np.array(self.lengths, dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        out = []
-        for pieces in found:
-            index = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-            out.append(flat[flat_ranges(starts[index], lengths[index])])
-        return out
+        self._learn(distinct)
+        known = self.new
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4") for pieces in found]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -174,14 +218,14 @@ class TwoTier:
 def encoded(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids themselves.
 
-    The hash table is built once in the driver (its size is the vocabulary's) and travels with
+    The tables of both tiers are built once in the driver (their size is the vocabulary's) and travel with
     the task; texts are not shuffled.
     """
     tokens = load_ranks(path)
-    perfect = PerfectHash(tokens)
+    perfect, merges = PerfectHash(tokens), Merges(tokens)
 
     def start():
-        coder = TwoTier(tokens, perfect, pattern)
+        coder = TwoTier(tokens, perfect, merges, pattern)
 
         def of_texts(texts: list[str]) -> list[list]:
             ids = coder.encode(texts)

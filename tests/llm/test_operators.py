@@ -613,6 +613,37 @@ def test_bpe_against_the_library(odd, odd_docs, no_docs):
     assert bpe.encoded(no_docs, path, public_tokenizers.PATTERN).collect() == []
 
 
+def test_bpe_merges_many_pieces_at_once():
+    import public_tokenizers
+    import tiktoken
+
+    tokens = bpe.load_ranks(queries.tokenizer_path(bpe.FILE))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rng = random.Random(8)
+    pieces = [bytes(rng.choices(range(256) if i % 2 else b"abceghinorst \xc3\xa9", k=rng.randint(1, 40))) for i in range(2000)]
+    pieces += [b"a", b"ab" * 3000]
+    assert list(bpe.Merges(tokens)(pieces)) == [library._core_bpe.encode_single_piece(p) for p in pieces]
+    with pytest.raises(ValueError, match="byte"):
+        bpe.Merges(tokens[256:])
+
+
+def test_bpe_keeps_pieces_that_are_used_again(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    tokens = bpe.load_ranks(queries.tokenizer_path(bpe.FILE))
+    merges, merged = bpe.Merges(tokens), Counter()
+
+    def seen(pieces):
+        merged.update(pieces)
+        return merges(pieces)
+
+    coder = bpe.TwoTier(tokens, bpe.PerfectHash(tokens), seen, public_tokenizers.PATTERN)
+    for i in range(20):
+        assert coder.decode(coder.encode([f" qxzvkqxz rare{i}zzqx yy{i}vvqxk"])[0]).decode() == f" qxzvkqxz rare{i}zzqx yy{i}vvqxk"
+    assert merged[b" qxzvkqxz"] == 1 and len(coder.new) + len(coder.old) <= 20
+
+
 def test_the_hash_is_perfect_and_minimal():
     tokens = bpe.load_ranks(queries.tokenizer_path(bpe.FILE))[:5000]
     perfect = bpe.PerfectHash(tokens)
