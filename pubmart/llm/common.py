@@ -165,6 +165,7 @@ KINDS = {
     "binary": pa.binary(),
     "array<long>": pa.list_(pa.int64()),
     "array<int>": pa.list_(pa.int32()),
+    "array<string>": pa.list_(pa.string()),
     "array<double>": pa.list_(pa.float64()),
 }
 

@@ -6,7 +6,7 @@ about REPLICA_TOKENS tokens start from the same weights, and their results are a
 by tokens. A replica is a run of what one task reads, so that no text is dealt out. Counting, learning and scoring all grow with the corpus and are split over
 it; the driver holds the weights and the KNOWN most frequent words, both of fixed size.
 
-Texts stay where they are. Words outside the KNOWN ones are scored by joining (row, word) pairs
+Texts stay where they are; their words are looked up once, and learning and scoring read the written ids. Words outside the KNOWN ones are scored by joining (row, word) pairs
 with the counts; as the frequent words are not among them, no word is hot.
 
 Score of a text: sum over its words and the end of log10 P(class | state) + log10 P(word | class).
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmart.llm import gru
-from pubmart.llm.common import bounded_batches, chunks_of, merged, split_words, staged, whole_texts
+from pubmart.llm.common import KINDS, bounded_batches, chunks_of, merged, split_words, staged, whole_texts
 
 FOLDS = 7
 HELD_OUT = 2
@@ -38,7 +38,8 @@ KNOWN = 200_000
 REPLICA_TOKENS = 2_000_000
 FAN = 64
 FLUSH = 300_000
-SCORED_BYTES = 24 << 20
+#: Ids scored at a time, two bytes each.
+SCORED_BYTES = 8 << 20
 
 
 def held_out() -> Column:
@@ -138,11 +139,22 @@ def model_ids(index: np.ndarray, rare: list[str], vocab: Vocabulary) -> np.ndarr
     return out
 
 
+def _ids(batch: pa.RecordBatch, vocab: Vocabulary) -> Iterator[np.ndarray]:
+    """Ids of the model of each row: those written by ``_coded``, or of its text."""
+    if "ids" in batch.schema.names:
+        for ids in batch.column("ids").to_pylist():
+            yield np.frombuffer(ids, dtype=np.int16)
+    else:
+        for text in batch.column("text").to_pylist():
+            yield model_ids(*coded(split_words(text), vocab), vocab).astype(np.int16)
+
+
 def _lessons(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """tokens and weights (times the tokens, as bytes) of each task, over all its replicas.
 
-    A replica is what a task has read when it holds REPLICA_TOKENS tokens; a long text is cut into segments,
-    and may lie in several. So neither equal rows nor one id nor one long text make a large replica.
+    ``docs`` has the column ids of ``_coded``, or text. A replica is what a task has read when it holds
+    REPLICA_TOKENS tokens; a long text is cut into segments, and may lie in several. So neither equal rows nor
+    one id nor one long text make a large replica.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +171,7 @@ def _lessons(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             held, n = [], 0
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids = model_ids(*coded(split_words(text), vocab), vocab).astype(np.int32)
+            for ids in _ids(batch, vocab):
                 for at in range(0, len(ids), gru.SEGMENT):
                     held.append(ids[at : at + gru.SEGMENT])
                     n += len(held[-1])
@@ -170,7 +181,7 @@ def _lessons(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         yield _row(tokens, total)
 
     bounded_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "tokens long, weights binary")
+    return docs.mapInArrow(run, "tokens long, weights binary")
 
 
 def _row(tokens: int, total: np.ndarray) -> pa.RecordBatch:
@@ -209,19 +220,18 @@ def trained(docs: DataFrame, vocab: Vocabulary) -> gru.Weights:
     return gru.shaped(total / tokens) if tokens else vocab.started()
 
 
-def _scored(docs: DataFrame, vocab: Vocabulary, weights: gru.Weights) -> DataFrame:
-    """A row per document with a row number, its sums over known words, and its other words."""
+def _coded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """A row per document with a row number, its sums over known words, its other words, and the model's ids (16 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in merged(batches, SCORED_BYTES):  # a few long texts at a time keep all steps wide
+        for batch in batches:
             texts = batch.column("text").to_pylist()
-            for part in chunks_of(texts, SCORED_BYTES):
-                rows, ids = [], []
+            for part in chunks_of(texts):
+                rows = []
                 for text in texts[part]:
                     index, rare = coded(split_words(text), vocab)
                     model = model_ids(index, rare, vocab)
-                    ids.append(model.astype(np.int16))
                     seen = index[index >= 0]
                     inside = vocab.inside[seen].sum()
                     if rare:
@@ -235,29 +245,40 @@ def _scored(docs: DataFrame, vocab: Vocabulary, weights: gru.Weights) -> DataFra
                             inside,
                             list(counts),
                             list(counts.values()),
+                            model.astype(np.int16).tobytes(),
                         )
                     )
-                likely = gru.log_likelihoods(weights, ids) / np.log(10)
                 columns = list(zip(*rows, strict=True))
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number + np.arange(n)),
-                        batch.column("doc_id").slice(part.start, n),
-                        pa.array(columns[0], type=pa.int64()),
-                        pa.array(columns[1], type=pa.int64()),
-                        pa.array(columns[2], type=pa.float64()),
-                        pa.array(likely + np.array(columns[3])),
-                        pa.array(columns[4], type=pa.list_(pa.string())),
-                        pa.array(columns[5], type=pa.list_(pa.int32())),
-                    ],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base", "model", "words", "times"],
+                    [pa.array(number + np.arange(n)), batch.column("doc_id").slice(part.start, n)]
+                    + [pa.array(c, type=KINDS[k]) for c, k in zip(columns, kinds.values(), strict=True)],
+                    names=["row", "doc_id", *kinds],
                 )
                 number += n
 
+    kinds = {"n_tokens": "long", "n_known": "long", "base": "double", "inside": "double"}
+    kinds |= {"words": "array<string>", "times": "array<int>", "ids": "binary"}
     bounded_batches(docs.sparkSession)
-    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, words array<string>, times array<int>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "row long, doc_id long, " + ", ".join(f"{c} {k}" for c, k in kinds.items()))
+
+
+def _scored(rows: DataFrame, weights: gru.Weights) -> DataFrame:
+    """The rows of ``_coded`` with the model's log10 probability instead of words and ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in merged(batches, SCORED_BYTES):  # many texts at a time keep all steps wide
+            texts = batch.column("ids").to_pylist()
+            for part in chunks_of(texts, SCORED_BYTES):
+                likely = gru.log_likelihoods(weights, [np.frombuffer(x, dtype=np.int16) for x in texts[part]]) / np.log(10)
+                mine = batch.slice(part.start, len(likely))
+                model = pa.array(likely + mine.column("inside").to_numpy())
+                yield pa.RecordBatch.from_arrays([mine.column(c) for c in kept] + [model], names=[*kept, "model"])
+
+    kept = ["row", "doc_id", "n_tokens", "n_known", "base"]
+    bounded_batches(rows.sparkSession)
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double"
+    return rows.select(*kept, "inside", "ids").mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -266,8 +287,8 @@ def scores(docs: DataFrame) -> DataFrame:
     training = texts.where(~held_out())
     counts = staged(word_counts(training), "word-counts")
     vocab = vocabulary(counts, training.count())
-    weights = trained(training, vocab)
-    rows = staged(_scored(texts, vocab, weights), "lm-rows")
+    rows = staged(_coded(texts, vocab), "lm-rows")
+    weights = trained(rows.where(~held_out()).select("ids"), vocab)
     rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("pair")).select(
         "row", F.col("pair.words").alias("word"), F.col("pair.times").alias("times")
     )
@@ -278,7 +299,7 @@ def scores(docs: DataFrame) -> DataFrame:
     )
     more = F.coalesce("more", F.lit(0.0))
     total = float(np.log10(vocab.tokens + vocab.types + 1))
-    return rows.drop("words", "times").join(found, "row", "left").select(
+    return _scored(rows, weights).join(found, "row", "left").select(
         "doc_id",
         held_out().alias("held_out"),
         "n_tokens",

@@ -489,6 +489,57 @@ def test_one_document_of_each_group_stays(odd, odd_docs, no_docs):
     assert near_dups.near_duplicates(no_docs).collect() == []
 
 
+def test_the_model_learns_and_scores_without_looking_words_up_again(spark, monkeypatch):
+    """Words become ids once; learning and scoring read the written ids."""
+    rng = random.Random(23)
+    docs = spark.createDataFrame(rows_of([(i, prose(rng, rng.randint(1, 40))) for i in range(80)] + [(100, None)]), DOCS)
+    columns = []
+    lessons = lm_score._lessons
+
+    def seen(docs, vocab):
+        columns.append(docs.columns)
+        return lessons(docs, vocab)
+
+    monkeypatch.setattr(lm_score, "_lessons", seen)
+    lm_score.scores(docs)
+    assert columns == [["ids"]]
+    monkeypatch.undo()
+    texts = common.whole_texts(docs)
+    training = texts.where(~lm_score.held_out())
+    vocab = lm_score.vocabulary(lm_score.word_counts(training), training.count())
+    rows = lm_score._coded(texts.coalesce(1), vocab)
+    again = lm_score.trained(rows.where(~lm_score.held_out()).select("ids"), vocab)
+    plain = lm_score.trained(training.select("text").coalesce(1), vocab)
+    assert all((again[k] == plain[k]).all() for k in plain)
+
+
+def test_learning_asks_for_its_memory_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, gru.HEAD, gru.STREAM_TOKENS) for _ in range(3)]
+    rooms = []
+    slopes = gru._slopes
+
+    def seen(w, ids, target, h, weight, room):
+        rooms.append((room, {k: id(v) for k, v in room.held.items() if k != "mine"}))
+        return slopes(w, ids, target, h, weight, room)
+
+    monkeypatch.setattr(gru, "_slopes", seen)
+    gru.train(gru.started(np.ones(gru.HEAD), np.ones(gru.TAILS)), texts)
+    assert len(rooms) == gru.STREAM_TOKENS // gru.WINDOW and len({id(r) for r, _ in rooms}) == 1
+    assert rooms[1][1]["x"] == rooms[-1][1]["x"] and rooms[1][1]["through"] == rooms[-1][1]["through"]
+
+
+def test_scores_beyond_the_range_of_exponentials_stay_finite():
+    rng = np.random.default_rng(5)
+    w = {k: v.astype(np.float32) for k, v in gru.started(np.ones(gru.HEAD), np.ones(gru.TAILS)).items()}
+    w["to_class"] = rng.normal(0, 60, gru.SHAPES["to_class"]).astype(np.float32)
+    w["to_word"] = rng.normal(0, 60, gru.SHAPES["to_word"]).astype(np.float32)
+    assert not gru._tame(w["to_class"], w["class_bias"]) and not gru._tame(w["to_word"], w["word_bias"])
+    h = np.repeat(np.tanh(rng.normal(size=(1, gru.UNITS))).astype(np.float32), gru.HEAD + gru.TAILS, 0)
+    chances = gru._log_chances(w, h, np.arange(gru.HEAD + gru.TAILS))
+    assert np.isfinite(chances).all() and abs(np.exp(chances).sum() - 1) < 1e-4
+
+
 # 7 packing
 
 
