@@ -59,6 +59,9 @@ class LetterMerges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank = keys[order], order.astype(np.int32)
         self.joined = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
+        # ranks of all pairs of bytes inside a word, and of those that end it
+        self.first = self._ranks(np.repeat(self.inner, 256), np.tile(self.inner, 256))
+        self.last = self._ranks(np.repeat(self.inner, 256), np.tile(self.final, 256))
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         wanted = left << 20 | right
@@ -69,7 +72,9 @@ class LetterMerges:
         raw = np.frombuffer(b"".join(words), dtype=np.uint8).reshape(len(words), n)
         ids = self.inner[raw]
         ids[:, -1] = self.final[raw[:, -1]]
-        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        pairs = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        ranks = self.first[pairs]
+        ranks[:, -1:] = self.last[pairs[:, -1:]]
         rows, out = np.arange(len(words)), [b""] * len(words)
         while len(rows):
             size = ids.shape[1]
@@ -132,16 +137,15 @@ class WordIds:
             self.old, self.new = new, {}
             new, old = self.new, self.old
         missing, letters, split = set(), set(), []
-        for piece in pieces:
-            if piece in new:
-                continue
+        for piece in pieces.difference(new):
             ids = old.get(piece)
             if ids is not None:
                 new[piece] = ids
                 continue
             # Latin letters before signs: two pre-tokens, and letters are the same in lower case
-            core = piece.rstrip(SIGNS)
-            if core.isalpha() and len(core) <= LetterMerges.LONGEST // 2 and (core.isascii() or max(core) <= "\u00ff"):
+            alpha = piece.isalpha()
+            core = piece if alpha else piece.rstrip(SIGNS)
+            if (alpha or core.isalpha()) and len(core) <= LetterMerges.LONGEST // 2 and (core.isascii() or max(core) <= "\u00ff"):
                 signs, core = piece[len(core) :], core.lower()
                 if core != piece:
                     split.append((piece, core, signs))

@@ -582,6 +582,22 @@ def test_letter_merges_equal_the_library():
     assert words([text])[0] == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_letter_merges_look_up_changed_pairs_only(monkeypatch):
+    """First pairs come from a table; each join then looks at the pairs on its two sides."""
+    words = packing.WordIds(queries.tokenizer_path(packing.VOCABULARY))
+    looked = []
+    ranks = words.letters._ranks
+
+    def seen(left, right):
+        looked.append(left.size)
+        return ranks(left, right)
+
+    monkeypatch.setattr(words.letters, "_ranks", seen)
+    made = ["thethingandé", "qxzvkqxz", "a", "inter"]
+    joins = sum(len(w.encode()) - len(ids) // 4 for w, ids in zip(made, words.letters(made), strict=True))
+    assert sum(looked) <= 2 * joins
+
+
 # 8 personal data
 
 PATTERNS = [
