@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pubmart.session import ensure_checkpoint_dir
+from pubmart.session import ensure_checkpoint_dir, shuffles_removed
 
 _ROWS_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
@@ -20,12 +20,13 @@ def ordered_keys(rows: DataFrame, natural_key: tuple[str, ...], name: str) -> Da
     numbering if either were computed again, also after the loss of an executor.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    placed = (
-        rows.repartitionByRange(*natural_key)
-        .sortWithinPartitions(*natural_key)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    with shuffles_removed(rows.sparkSession):
+        placed = (
+            rows.repartitionByRange(*natural_key)
+            .sortWithinPartitions(*natural_key)
+            .withColumn("_place", F.monotonically_increasing_id())
+            .checkpoint()
+        )
     part = F.shiftright("_place", _ROWS_BITS).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_size"))
     # One row per partition.

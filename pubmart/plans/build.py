@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pubmart.functions import measures as M
@@ -80,16 +80,21 @@ _PUBLICATION = ("work_id", "publication_key", STORED_YEAR)
 
 
 def _bridge(
-    pairs: DataFrame, publications: DataFrame, members: DataFrame, member_id: str
+    pairs: DataFrame,
+    publications: DataFrame,
+    members: DataFrame,
+    member_id: str,
+    of_pairs: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Pairs with surrogate keys and weight 1/n.
 
     The number of members is attached to the publication, by the key both sides are shuffled
-    on anyway; a window over the pairs would hold all pairs of one work in one task.
+    on anyway; a window over the pairs would hold all pairs of one work in one task. ``of_pairs``
+    are columns made of a pair and its publication, before the rows are shuffled to the members.
     """
     counts = pairs.groupBy("work_id").agg(F.count("*").alias("members"))
     publications = publications.join(counts, "work_id")
-    rows = pairs.join(publications, "work_id").join(members, member_id)
+    rows = pairs.join(publications, "work_id").withColumns(of_pairs or {}).join(members, member_id)
     return rows.withColumn("fractional_weight", F.lit(1.0) / F.col("members"))
 
 
@@ -98,9 +103,9 @@ def bridge_publication_topic(
 ) -> DataFrame:
     primary = r["r_work"].select("work_id", "primary_topic_id")
     keys = publications.select(*_PUBLICATION).join(primary, "work_id")
-    rows = _bridge(r["r_work_topic"], keys, topics.select("topic_id", "topic_key"), "topic_id")
+    members = topics.select("topic_id", "topic_key")
     is_primary = F.coalesce(F.col("topic_id") == F.col("primary_topic_id"), F.lit(False))
-    return rows.withColumn("is_primary_topic", is_primary)
+    return _bridge(r["r_work_topic"], keys, members, "topic_id", {"is_primary_topic": is_primary})
 
 
 def bridge_publication_country(

@@ -1,10 +1,13 @@
-"""Session settings and the shared checkpoint folder."""
+"""Session settings, the shared checkpoint folder and what is stored there."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Join strategy is left to the optimizer: a side is broadcast only while its measured size
 # stays under spark.sql.autoBroadcastJoinThreshold, otherwise the join shuffles and adaptive
@@ -40,3 +43,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach")
         configured = tempfile.mkdtemp(prefix="pubmart-checkpoint-")
     context.setCheckpointDir(configured)
+
+
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within, an action on a frame that was made within removes its shuffle files when it ends.
+
+    They would stay until the driver happens to collect its garbage, beside those of all later steps.
+    For actions that store their rows: nothing reads these shuffles again.
+    """
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a compressed table below the checkpoint folder; a reader opens the columns it needs."""
+    spark = rows.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

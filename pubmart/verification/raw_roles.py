@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pubmart.plans.reconcile import place_policy, reconcile
 from pubmart.schemas import RECONCILED
-from pubmart.session import ensure_checkpoint_dir
+from pubmart.session import stored
 from pubmart.sources.records import typed_panel, typed_works
 from pubmart.verification.roles import ROLE_SQL, country_rows, panel_rows, table
 
@@ -136,11 +136,10 @@ _STAGED: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def staged(spark: SparkSession, sf_dir: str, name: str, typed) -> DataFrame:
-    """Records behind a reliable checkpoint, as a load stages them; kept per application."""
+    """Records or a relation as a compressed table, as a load stages them; kept per application."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
     if at not in _STAGED:
-        ensure_checkpoint_dir(spark)
-        _STAGED[at] = typed().checkpoint()
+        _STAGED[at] = stored(typed(), name.replace(" ", "-"))
     return _STAGED[at]
 
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from pubmart.plans import build as B
 from pubmart.plans import gates
 from pubmart.plans.reconcile import coverage_summary
-from pubmart.schemas import RECONCILED, WAREHOUSE
+from pubmart.schemas import BRIDGES, RECONCILED, WAREHOUSE, WAREHOUSE_SOURCES
 from pubmart.verification.case import Registry
-from pubmart.verification.raw_roles import BROKEN_SQL, RAW_SQL, broken_works, record_problems, role_reconciled
+from pubmart.verification.raw_roles import BROKEN_SQL, RAW_SQL, broken_works, record_problems, role_reconciled, staged
 
 _TYPES = {
     "publication_date": "publication_date::VARCHAR",
@@ -32,6 +34,10 @@ def _reconciled(name: str):
 def _built(name: str):
     def build(spark, sf_dir):
         reconciled, done = role_reconciled(spark, sf_dir), {}
+        if name in BRIDGES:
+            # a bridge reads the works and its pairs several times: merged once and staged, as a load does
+            for relation in ("r_work", WAREHOUSE_SOURCES[name]):
+                reconciled[relation] = staged(spark, sf_dir, relation, partial(reconciled.get, relation))
 
         def make(table: str):
             if table not in done:

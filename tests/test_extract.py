@@ -15,6 +15,7 @@ from pubmart.operators.keys import ordered_keys
 from pubmart.operators.merge import merge_entities
 from pubmart.plans.load import extract_panel, extract_sample, load_reconciled, read_manifest, sample_manifest
 from pubmart.schemas import COUNTRY_RECORD, INDICATORS, SAMPLE_SEED, YEARS
+from pubmart.session import shuffles_removed, stored
 from pubmart.sources import landed as L
 from pubmart.sources import sinks
 from pubmart.sources.records import read_works
@@ -385,3 +386,44 @@ def test_merge_sorts_contested_rows_only(spark, tmp_path):
     assert sorting and all(any(i < j < min(s for s in scans if s > i) for j in joins) for i in sorting)
     none = spark.createDataFrame([(None, "x", None), (None, None, "y"), (None, "x", None)], "id string, a string, b string")
     assert [tuple(r) for r in merge_entities(none, ("id",), ("id", "a", "b")).collect()] == [(None, "x", "y", [])]
+
+
+def test_merge_of_numbers_takes_one_shuffle(spark, tmp_path):
+    """Values of fixed width are merged in one hash aggregation; copies, NULLs and contradictions as for texts."""
+    path = str(tmp_path / "pairs")
+    rows = [("w", "t", 1, 0.5), ("w", "t", 1, 0.5), ("w", "u", None, None), ("w", "u", 2, None), ("x", "t", 1, 0.25), ("x", "t", 3, 0.25)]
+    rows += [(None, "t", 4, None), (None, "t", None, 1.0), ("y", "t", 1, float("nan")), ("y", "t", 1, 0.5), ("z", "t", None, -0.0)]
+    spark.createDataFrame(rows, "work STRING, topic STRING, rank INT, score DOUBLE").write.parquet(path)
+    merged = merge_entities(spark.read.parquet(path), ("work", "topic"), ("work", "topic", "rank", "score"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "SortAggregate" not in plan
+    found = {(r.work, r.topic): (r["rank"], str(r.score), r.conflicts) for r in merged.collect()}
+    assert found == {
+        ("w", "t"): (1, "0.5", []), ("w", "u"): (2, "None", []), ("x", "t"): (3, "0.25", ["rank"]),
+        (None, "t"): (4, "1.0", []), ("y", "t"): (1, "nan", ["score"]), ("z", "t"): (None, "0.0", []),
+    }
+
+
+def shuffle_files(spark) -> set[str]:
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in disk.getAllFiles().mkString(" ").split() if "/shuffle_" in name}
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    rows = spark.range(2000).selectExpr("concat('k', lpad(id % 700, 3, '0')) AS nk").distinct()
+    before = shuffle_files(spark)
+    keyed = ordered_keys(rows, ("nk",), "key")
+    table = stored(rows.withColumn("n", S.F.lit(1)), "names")
+    assert shuffle_files(spark) <= before
+    assert {r.nk: r.key for r in keyed.collect()} == {f"k{i:03d}": i + 1 for i in range(700)}
+    assert table.count() == 700 and all(".zstd." in name for name in table.inputFiles())
+    # the setting holds for these steps alone, and as it was before
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    assert spark.conf.get(setting) == "false"
+    spark.conf.set(setting, "true")
+    try:
+        with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
+            1 / 0  # noqa: B018
+        assert spark.conf.get(setting) == "true"
+    finally:
+        spark.conf.unset(setting)

@@ -334,3 +334,29 @@ def test_sample_lines_are_hashed_once(spark, tmp_path):
     drawn = build_registry().queries["sample_allocation"](spark, str(tmp_path))
     assert "sha2" not in drawn._jdf.queryExecution().optimizedPlan().toString()
     assert [(row.year, row.allocation) for row in drawn.collect()] == [(1997, 500)]
+
+
+def test_topic_bridge_is_built_on_staged_tables(spark, tmp_path):
+    """Works and pairs are merged once and read as compressed tables; no row, rank or weight is lost."""
+    spark.range(1, 401).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "'F' AS o_orderstatus", "9000D AS o_totalprice",
+        "timestamp'1997-03-04 00:00:00' AS o_orderdate", "'1-URGENT' AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id AS c_custkey, 1 AS c_nationkey FROM range(7)").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("SELECT 1 AS n_nationkey, 'N' AS n_name, 0 AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("SELECT 0 AS r_regionkey, 'R' AS r_name").write.parquet(f"{tmp_path}/region.parquet")
+    works = typed_role_works(spark, str(tmp_path))
+    assert works.inputFiles() and all(".zstd." in name for name in works.inputFiles())
+    bridge = build_registry().queries["build_bridge_publication_topic"](spark, str(tmp_path))
+    assert {name.split("/")[-2].rsplit("-", 1)[0] for name in bridge.inputFiles()} == {"r_work", "r_work_topic"}
+    plan = bridge._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "LeftAnti" not in plan
+    works_by_text = sorted(range(1, 401), key=lambda k: f"W{k}")
+    topics = sorted({k % 7 + i for k in range(1, 401) for i in range(k % 4)}, key=lambda t: f"T{t}")
+    want = {
+        (works_by_text.index(k) + 1, topics.index(k % 7 + i) + 1): (i + 1, 1 - i * 0.25, str(i == k % (k % 4)).lower(), round(1 / (k % 4), 6))
+        for k in range(1, 401) for i in range(k % 4)
+    }
+    rows = bridge.collect()
+    found = {(r[0], r[1]): tuple(r)[2:] for r in rows}
+    assert len(rows) == len(want) and found == want
